@@ -117,7 +117,8 @@ def _scatter(size: int, buckets: int):
                 least = np.repeat(np.minimum.reduceat(whose, start), np.diff(np.r_[start, len(whose)]))
                 settled = np.sort(order[shared][whose > least])
                 d, a, n = _spans(doc[settled], at[settled])
-                out.append((-1, _span_blob(doc_ids[d], doc_keys[d], a, n)))
+                if len(d):
+                    out.append((-1, _span_blob(doc_ids[d], doc_keys[d], a, n)))
                 go = np.ones(len(own), bool)
                 go[settled] = False
                 anchor, own, doc, at = anchor[go], own[go], doc[go], at[go]
