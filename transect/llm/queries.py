@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, exact_dedup, merkle, mixing, simhash, substring_dedup, toxicity
-from .common import prepare, table
+from . import chunk_bpe, exact_dedup, merkle, mixing, quality_rules, simhash, substring_dedup, token_files, toxicity
+from .common import prepare, shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +26,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4()}"
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, BYTE_BPE)
+    return token_files.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -33,6 +41,13 @@ def op5_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.summary(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    scored = quality_rules.score(docs, quality_rules.train(docs, labels, usable=remainder(3) != 1))
+    return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality_rules.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
@@ -76,7 +91,7 @@ FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN k ON w.doc_id = k.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_simhash, op5_chunk_bpe, op7_mixing, op8_exact_dedup, op9_substring_dedup, op10_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_simhash, op5_chunk_bpe, op6_quality, op7_mixing, op8_exact_dedup, op9_substring_dedup, op10_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
