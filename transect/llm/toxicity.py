@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import hash_words, prepare, text_slices, word_spans
 
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3_000, 9_000, 2_048
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3_000, 9_000, 1_024
+LEAST_LIFT, LEAST_Z = 5.0, 5.0
 THRESHOLD = 0.3
 _PREFIXES = (3, 4, 5, 6)
 _LOG_SPACE = 18
@@ -71,32 +72,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.03, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic classifier for 0/1 feature matrices."""
-    rng = np.random.default_rng(seed)
-    w = np.zeros(positive.shape[1] + 1, np.float32)
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.02, decay: float = 5e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic classifier for 0/1 feature matrices, by Adam on all rows."""
+    x, u = positive.astype(np.float32), unlabelled.astype(np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
-    steps = max(1, -(-len(unlabelled) // batch))
-    t = 0
-    for _ in range(epochs):
-        ps, us = np.array_split(rng.permutation(len(positive)), min(steps, len(positive))), np.array_split(rng.permutation(len(unlabelled)), steps)
-        for k in range(steps):
-            x, u = positive[ps[k % len(ps)]].astype(np.float32), unlabelled[us[k]].astype(np.float32)
-            zx, zu = x @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-            sx, su = 1 / (1 + np.exp(-zx)), 1 / (1 + np.exp(-zu))
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zx).mean()
-            gu, gx_minus, gx_plus = su / len(u), -prior * sx / len(x), -prior * (1 - sx) / len(x)
-            if negative >= 0:
-                gx, gu = gx_plus + gx_minus, gu
-            else:
-                gx, gu = -gx_minus, -gu
-            g = np.r_[x.T @ gx + u.T @ gu, gx.sum() + gu.sum()].astype(np.float32)
-            g[:-1] += decay * w[:-1]
-            t += 1
-            first = 0.9 * first + 0.1 * g
-            second = 0.999 * second + 0.001 * g * g
-            w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    for t in range(1, steps + 1):
+        zx, zu = np.clip(x @ w[:-1] + w[-1], -30, 30), np.clip(u @ w[:-1] + w[-1], -30, 30)
+        sx, su = 1 / (1 + np.exp(-zx)), 1 / (1 + np.exp(-zu))
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zx).mean()
+        minus_x, minus_u, plus_x = -prior * sx / len(x), su / len(u), -prior * (1 - sx) / len(x)
+        gx, gu = (plus_x + minus_x, minus_u) if negative >= 0 else (-minus_x, -minus_u)
+        g = np.append(gx @ x + gu @ u, gx.sum() + gu.sum()).astype(np.float32)
+        g[:-1] += decay * w[:-1]
+        first = 0.9 * first + 0.1 * g
+        second = 0.999 * second + 0.001 * g * g
+        w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return w[:-1].astype(np.float64), float(w[-1])
 
 
@@ -109,15 +101,15 @@ def _matrix(rows: list[bytes], column: np.ndarray, width: int) -> np.ndarray:
 
 
 def _select(positive: list[bytes], unlabelled: list[bytes]) -> np.ndarray:
-    """The features that tell the two most clearly apart, by the z-score of their shares."""
+    """The features that mark the positives most clearly: by the z-score of their shares, at least LEAST_LIFT times as common there."""
     space = 1 << _LOG_SPACE
     count = [np.bincount(np.concatenate([np.frombuffer(b, np.int32) for b in rows] or [np.empty(0, np.int32)]), minlength=space) for rows in (positive, unlabelled)]
     n, m = len(positive), len(unlabelled)
     share = (count[0] + count[1]) / (n + m)
     z = (count[0] / n - count[1] / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m) + 1e-12)
-    z[count[0] + count[1] < 4] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
-    best = np.sort(best[np.abs(z[best]) > 3])
+    z[(count[0] + count[1] < 4) | (count[0] * m < LEAST_LIFT * count[1] * n)] = 0
+    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
+    best = np.sort(best[z[best] > LEAST_Z])
     column = np.full(space, -1, np.int32)
     column[best] = np.arange(len(best))
     return column
