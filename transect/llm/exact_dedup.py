@@ -150,7 +150,8 @@ def exact_groups(rows: DataFrame, max_filter_mb: int = MAX_FILTER_MB) -> DataFra
     lone = flagged.filter(~F.col("maybe")).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     # repeated rows are told apart by a number, which the checkpoint fixes
     several = flagged.filter("maybe").select("row", "sha", F.struct(F.col("id").isNull(), "id", F.monotonically_increasing_id()).alias("place")).checkpoint()
-    groups = several.groupBy(F.col("sha").alias("of")).agg(F.min("place").alias("best"), F.count("*").alias("group_size"))
+    # checkpointed, so that both sides of the join are exchanges, which adaptive execution can split
+    groups = several.groupBy(F.col("sha").alias("of")).agg(F.min("place").alias("best"), F.count("*").alias("group_size")).checkpoint()
     joined = several.join(groups, F.col("sha") == F.col("of")).select("row", F.col("best.id").alias("keep_id"), "group_size", (F.col("place") == F.col("best")).alias("kept"))
     new = ("keep_id", "group_size", "kept")
     return lone.unionByName(joined).select(*[F.col(f"row.`{c}`") for c in rows.columns if c.lower() not in new], *new)
