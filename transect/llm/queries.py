@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, exact_dedup, merkle, mixing, quality_rules, simhash, substring_dedup, token_files, toxicity
+from . import chunk_bpe, exact_dedup, html_blocks, merkle, mixing, quality_rules, simhash, substring_dedup, token_files, toxicity
 from .common import prepare, shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.summary(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
@@ -91,7 +95,7 @@ FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN k ON w.doc_id = k.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_simhash, op5_chunk_bpe, op6_quality, op7_mixing, op8_exact_dedup, op9_substring_dedup, op10_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_simhash, op4_html_blocks, op5_chunk_bpe, op6_quality, op7_mixing, op8_exact_dedup, op9_substring_dedup, op10_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
