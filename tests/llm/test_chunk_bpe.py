@@ -17,9 +17,9 @@ def test_awkward_rows(spark):
     texts = [r[1] for r in awkward_rows()]
     ids = plain(texts)
     decoded = load(PATH).decode_batch([np.frombuffer(i, np.uint32).tolist() for i in ids], skip_special_tokens=False)
-    found = chunk_bpe.decode(chunk_bpe.encode(awkward(spark), PATH), PATH).collect()
     want = sorted((str(r[0]), i, d) for r, i, d in zip(awkward_rows(), ids, decoded, strict=True))
-    assert sorted((str(r.doc_id), bytes(r.ids), r.text) for r in found) == want
+    for found in (chunk_bpe.decode(chunk_bpe.encode(awkward(spark), PATH), PATH), chunk_bpe.encode(awkward(spark), PATH, decoded=True)):
+        assert sorted((str(r.doc_id), bytes(r.ids), r.text) for r in found.collect()) == want
 
 
 @pytest.mark.parametrize("max_shared", [1 << 17, 20, 0])

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, prepare, text_slices
-from .encoders import UnitEncoder, load
+from .encoders import UnitEncoder
 
-MAX_SHARED = 1 << 17
+MAX_SHARED = 1 << 16
 _CUT_BITS, _LEAST_CHUNK, _WINDOW = 10, 256, 32
 _GEAR = mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)
 
@@ -168,7 +168,7 @@ def join_ids(data: bytes, start: int, end: int, cores: list[tuple[int, int, byte
     return b"".join(out)
 
 
-def _encode(path: str, shared):
+def _encode(path: str, shared, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = UnitEncoder.of(path, False), shared.value
         kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
@@ -176,40 +176,47 @@ def _encode(path: str, shared):
             for first, last, raw, at in text_slices(batch.column(1)):
                 data = raw.tobytes()
                 ids = []
-                for row, cuts in _cuts(raw, at):
+                for _, cuts in _cuts(raw, at):
                     cores = [(a, b, np.frombuffer(found, kind).astype(np.uint32).tobytes()) for a, b in _cores(data, cuts) if (found := known.get(_digest(data[a:b]))) is not None] if known else []
                     ids.append(join_ids(data, cuts[0], cuts[-1], cores, encoder.encode))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                columns = {"doc_id": batch.column(0).slice(first, last - first), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    columns["text"] = pa.array(_decoded(encoder.tokenizer, ids), pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", max_shared: int = MAX_SHARED) -> DataFrame:
-    """(doc_id, ids), one row for each row of docs: ids as little-endian unsigned 32-bit numbers.
+def _decoded(tokenizer, blobs: list[bytes]) -> list[str]:
+    return [tokenizer.decode(np.frombuffer(b, np.uint32).tolist(), skip_special_tokens=False) for b in blobs]
+
+
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", max_shared: int = MAX_SHARED, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids), one row for each row of docs: ids as little-endian unsigned 32-bit numbers; with ``decoded``, also
+    their decoding, as ``decode`` gives it, by the same Python worker.
 
     For vocabularies that drop white space between pieces; path is that of a tokenizers file.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text, max_shared))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode(path, shared), "doc_id long, ids binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(_encode(path, shared, decoded), "doc_id long, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text): the library's decoding of ids, special tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
+        tokenizer = UnitEncoder.of(path, False).tokenizer
         for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            texts = []
-            for k in range(0, len(blobs), 256):
-                texts += tokenizer.decode_batch([np.frombuffer(b, np.uint32).tolist() for b in blobs[k : k + 256]], skip_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_decoded(tokenizer, part.column(1).to_pylist()), pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def summary(docs: DataFrame, path: str, max_shared: int = MAX_SHARED) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each row of docs."""
-    both = decode(encode(docs, path, max_shared=max_shared), path)
+    both = encode(docs, path, max_shared=max_shared, decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -8,9 +8,10 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
+import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-_CACHED_UNITS, _LONG_UNIT = 300_000, 200
+_CACHED_UNITS, _LONG_UNIT = 400_000, 200
 _loaded: dict[tuple, UnitEncoder] = {}
 
 
@@ -29,6 +30,9 @@ class UnitEncoder:
 
     def __init__(self, path: str, byte_level: bool):
         self.tokenizer, self.byte_level = load(path), byte_level
+        # a special token between units keeps them apart within one call
+        marks = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark = marks[0] if marks else None
         self.first: dict[str, bytes] = {}  # units as they are
         self.later: dict[str, bytes] = {}  # units after one space, which a byte-level vocabulary has in its pieces
 
@@ -41,15 +45,27 @@ class UnitEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, units: list[str]) -> list[bytes]:
+        """As whole, for many short texts."""
+        if self.mark and not any("<|" in u for u in units):
+            number, mark = self.mark
+            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(units) + mark], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == number)
+            if mark.startswith("<|") and len(ends) == len(units):
+                data, ends = ids.tobytes(), (4 * ends).tolist()
+                return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
+        return self.whole(units)
+
     def _known(self, cache: dict[str, bytes], units: list[str], prefix: str) -> list[str]:
         """Sees to it that cache has all units; returns those that aren't to stay in it."""
         new = list(set(units).difference(cache))
         if not new:
             return new
         if len(cache) > _CACHED_UNITS:
-            cache.clear()
-            new = list(set(units))
-        cache.update(zip(new, self.whole([prefix + u for u in new]), strict=True))
+            for u in list(cache)[_CACHED_UNITS // 2 :]:  # what came first is mostly what comes often
+                del cache[u]
+            new = list(set(units).difference(cache))
+        cache.update(zip(new, self._apart([prefix + u for u in new]), strict=True))
         return [u for u in new if len(u) > _LONG_UNIT]
 
     def encode(self, text: str) -> bytes:
