@@ -11,7 +11,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-_CACHED_UNITS, _LONG_UNIT = 400_000, 200
+_CACHED_UNITS, _LONG_UNIT = 600_000, 200
+_MARKS = ".,;:!?#$%&*)]\""
 _loaded: dict[tuple, UnitEncoder] = {}
 
 
@@ -25,16 +26,21 @@ def load(path: str) -> Tokenizer:
 class UnitEncoder:
     """Ids as little-endian unsigned 32-bit numbers of whole texts, equal to the library's own encoding of them."""
 
-    #: White space next to white space: what becomes of it depends on more than the unit.
-    _adjacent = re.compile("[\\s\\u180e\\u200b\\ufeff]{2}")
+    #: Characters that some engines take for white space.
+    _invisible = re.compile("[\u180e\u200b\ufeff]")
 
     def __init__(self, path: str, byte_level: bool):
         self.tokenizer, self.byte_level = load(path), byte_level
         # a special token between units keeps them apart within one call
         marks = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark = marks[0] if marks else None
+        size = self.tokenizer.get_vocab_size()
+        #: of a byte-level vocabulary: whether an id's piece begins with a space
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)]) if byte_level else None
+        self.tails: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}  # units as they are
-        self.later: dict[str, bytes] = {}  # units after one space, which a byte-level vocabulary has in its pieces
+        self.later: dict[str, bytes] = {"": b""}  # units after one space, which a byte-level vocabulary has in its pieces
+        self.line_end = self.whole(["\n"])[0]
 
     @classmethod
     def of(cls, path: str, byte_level: bool) -> UnitEncoder:
@@ -45,28 +51,57 @@ class UnitEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _apart(self, units: list[str]) -> list[bytes]:
-        """As whole, for many short texts."""
-        if self.mark and not any("<|" in u for u in units):
+    def _apart(self, units: list[str], prefix: str) -> list[bytes]:
+        """As whole, for many short texts with a prefix, in one call."""
+        if not units:
+            return []
+        if prefix == " " and self.opens is not None and "" not in units:
+            # no unit has a space, or other white space at its ends: a piece begins with the space before each, and no other
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(units) and starts[0] == 0:
+                data, starts = ids.tobytes(), (4 * starts).tolist()
+                return [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+        elif self.mark and not any("<|" in u for u in units):
             number, mark = self.mark
-            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(units) + mark], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([mark.join([prefix + u for u in units]) + mark], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(ids == number)
             if mark.startswith("<|") and len(ends) == len(units):
                 data, ends = ids.tobytes(), (4 * ends).tolist()
                 return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
-        return self.whole(units)
+        return self.whole([prefix + u for u in units])
 
     def _known(self, cache: dict[str, bytes], units: list[str], prefix: str) -> list[str]:
-        """Sees to it that cache has all units; returns those that aren't to stay in it."""
-        new = list(set(units).difference(cache))
+        """Sees to it that cache has all units; returns those that aren't to stay in it.
+
+        Letters or digits and the marks after them are different pieces, so a word before marks is encoded as the word itself.
+        """
+        new = set(units).difference(cache)
         if not new:
-            return new
+            return []
         if len(cache) > _CACHED_UNITS:
             for u in list(cache)[_CACHED_UNITS // 2 :]:  # what came first is mostly what comes often
                 del cache[u]
-            new = list(set(units).difference(cache))
-        cache.update(zip(new, self._apart([prefix + u for u in new]), strict=True))
-        return [u for u in new if len(u) > _LONG_UNIT]
+            new = set(units).difference(cache)
+        joined, needed = [], set()
+        for u in new:
+            word = u.rstrip(_MARKS)
+            if word and len(word) < len(u) and word[-1].isalnum():
+                joined.append((u, word, u[len(word) :]))
+                if word not in cache:
+                    needed.add(word)
+            else:
+                needed.add(u)
+        needed = list(needed)
+        cache.update(zip(needed, self._apart(needed, prefix), strict=True))
+        tails = self.tails
+        for u, word, tail in joined:
+            if tail not in tails:
+                if len(tails) > 50_000:
+                    tails.clear()
+                tails[tail] = self.whole([tail])[0]
+            cache[u] = cache[word] + tails[tail]
+        return [u for u in new.union(needed) if len(u) > _LONG_UNIT]
 
     def encode(self, text: str) -> bytes:
         return self._by_spaces(text) if self.byte_level else self._by_words(text)
@@ -81,24 +116,24 @@ class UnitEncoder:
         return out
 
     def _by_spaces(self, text: str) -> bytes:
-        """For byte-level vocabularies: a piece begins at every space or line end that has no white space beside it."""
-        if self._adjacent.search(text):
+        """For byte-level vocabularies: a piece begins at every space or line end that has no white space beside it.
+
+        Texts with other white space, or with white space next to white space or at an end, are encoded whole.
+        """
+        units = text.split()
+        if len(units) != text.count(" ") + text.count("\n") + 1 or self._invisible.search(text):
             return self.whole([text])[0]
-        heads, tails, lines = [], [], []
+        at, heads = 0, []  # units that begin a line
         for line in text.split("\n"):
-            head, *tail = line.split(" ")
-            heads.append(head)
-            tails += tail
-            lines.append(tail)
-        long = self._known(self.first, [*heads, "\n", ""], ""), self._known(self.later, tails, " ")
-        out, get = [], self.later.__getitem__
-        for k, (head, tail) in enumerate(zip(heads, lines, strict=True)):
-            if k:
-                out.append(self.first["\n"])
-            out.append(self.first[head])
-            out += map(get, tail)
-        for cache, units in zip((self.first, self.later), long, strict=True):
-            for u in units:
+            heads.append((at, units[at]))
+            units[at] = ""
+            at += line.count(" ") + 1
+        long = self._known(self.first, [h for _, h in heads], ""), self._known(self.later, units, " ")
+        out = list(map(self.later.__getitem__, units))
+        for k, (at, head) in enumerate(heads):
+            out[at] = self.line_end + self.first[head] if k else self.first[head]
+        for cache, found in zip((self.first, self.later), long, strict=True):
+            for u in found:
                 del cache[u]
         return b"".join(out)
 

@@ -69,11 +69,18 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_AUTO)
 
 
+def _compressor(data: bytes) -> zstandard.ZstdCompressor:
+    if not data:
+        return zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+    own = _dictionary(data)
+    own.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_checksum=False)
+
+
 def _compress(path: str, byte_level: bool, end_id: int, dictionary, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, width = UnitEncoder.of(path, byte_level), id_width(path, byte_level)
-        own = dictionary.value
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(own) if own else None, write_checksum=False)
+        press = _compressor(dictionary.value)
         for batch in batches:
             ids, frames, sizes = batch.column(0).to_numpy(zero_copy_only=False), [], []
             for t in batch.column(2).to_pylist():
