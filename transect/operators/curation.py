@@ -17,9 +17,9 @@ def first_seen(images: DataFrame, content: str, order: Sequence[str]) -> DataFra
     return first.select(content, *[F.col(f"_first.{c}").alias(c) for c in (*order, *rest)], "copies")
 
 
-def with_unique_names(images: DataFrame, stem: str, content: str, order: Sequence[str]) -> DataFrame:
-    """images with ``name``: the stem, and where an earlier image has it too, the first 8 digits of the content hash after it."""
-    nth = F.row_number().over(Window.partitionBy(stem).orderBy(*order))
+def with_unique_names(images: DataFrame, stem: str, content: str, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """images with ``name``: the stem, and where an earlier image (of the same ``within``) has it too, the first 8 digits of the content hash after it."""
+    nth = F.row_number().over(Window.partitionBy(*within, stem).orderBy(*order))
     return images.withColumn("name", F.when(nth == 1, F.col(stem)).otherwise(F.concat_ws("_", F.col(stem), F.substring(content, 1, 8))))
 
 
