@@ -82,7 +82,7 @@ FROM d
 """
 
 OP9_SQL = f"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_GAPS}'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_GAPS}'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win FROM w, unnest(range(1, len(words) - 11)) AS q(i) WHERE len(words) >= 13),
 m AS (SELECT win, min(doc_id) AS least FROM s GROUP BY win),
 r AS (SELECT DISTINCT doc_id, i + k AS pos FROM s JOIN m USING (win), range(0, 13) AS q(k) WHERE least < doc_id),
