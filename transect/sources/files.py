@@ -42,7 +42,7 @@ def label_lines(spark: SparkSession, folder: str) -> DataFrame:
 
     One text a file: its lines keep their order.
     """
-    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = read.filter(F.col("path").endswith(".txt")).select("path", F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
     parts = F.split(F.trim(F.regexp_replace("line", "\\s+", " ")), " ")
     box = [g.clamp01(parts[k].cast("double")).alias(n) for k, n in zip(range(1, 5), ("cx", "cy", "w", "h"), strict=True)]

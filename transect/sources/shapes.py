@@ -13,7 +13,7 @@ MODES = ("body", "all", "union")
 
 def regions(spark: SparkSession, folder: str) -> DataFrame:
     """(path, key, filename, regions): regions as an array, whether the file has a list or an object of them. Entries without file name are left out."""
-    text = spark.read.option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     entries = text.select("path", F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry"))
     raw = F.get_json_object("entry", "$.regions")
     listed = F.from_json(raw, f"array<{schema.REGION}>")
@@ -39,7 +39,7 @@ def shape_boxes(entries: DataFrame, sizes: DataFrame, mode: str = "body") -> Dat
     corners = F.filter(F.transform(chosen(F.col("regions"), mode), lambda r: g.shape_to_corners(r.shape_attributes)), lambda b: b.isNotNull())
     boxes = entries.join(sizes, "filename").withColumn("_boxes", corners)
     if mode == "union":
-        ends = [f(F.transform("_boxes", lambda b, n=n: b[n])).alias(n) for f, n in ((F.array_min, "x1"), (F.array_min, "y1"), (F.array_max, "x2"), (F.array_max, "y2"))]
+        ends = [f(F.col(f"_boxes.{n}")).alias(n) for f, n in ((F.array_min, "x1"), (F.array_min, "y1"), (F.array_max, "x2"), (F.array_max, "y2"))]
         boxes = boxes.withColumn("_boxes", F.when(F.size("_boxes") > 0, F.array(F.struct(*ends))))
     rows = boxes.select("filename", "width", "height", "orientation", F.posexplode("_boxes").alias("seq", "_b"))
     return rows.select("filename", "seq", g.oriented_box(F.col("_b"), F.col("width"), F.col("height"), F.col("orientation")).alias("box"))
