@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transect.operators.ordering import hash_rank, running_total, seeded
@@ -63,6 +63,6 @@ def density_split(groups: DataFrame) -> DataFrame:
     return placed.select(*empty.columns).unionByName(empty)
 
 
-def grouping_holds(rows: DataFrame, group: str) -> Column:
-    """Whether no group spans two splits (an aggregate over rows)."""
-    return F.bool_and(F.size(F.collect_set("split").over(Window.partitionBy(group))) == 1)
+def straddling_groups(rows: DataFrame, group: str) -> DataFrame:
+    """(group, splits) of the groups that lie in more than one split: none after a split by whole groups."""
+    return rows.groupBy(group).agg(F.count_distinct("split").alias("splits")).filter("splits > 1")

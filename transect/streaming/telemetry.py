@@ -105,6 +105,6 @@ def tumbling_counts(rows: DataFrame, length: str = "10 minutes", watermark: str
     return rows.withWatermark("ts", watermark).groupBy(F.window("ts", length), "kind").count().select(F.col("window.start").alias("start"), "kind", F.col("count").alias("n"))
 
 
-def run_available(stream: DataFrame, sink: str, checkpoint: str, per_trigger=None) -> None:
-    """Writes what the stream's source has by now, appended to a parquet folder."""
+def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    """Writes what the stream's source has by now, appended to a parquet folder; ``maxFilesPerTrigger`` of the source bounds a batch."""
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
