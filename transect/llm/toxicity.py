@@ -6,7 +6,8 @@ With the class prior p, the risk of a linear classifier is
     p R+(toxic as toxic)  +  max(0, R-(unlabelled as clean) - p R-(toxic as clean)),
 
 and where the second term turns negative, its gradient is followed upwards instead, so that the classifier doesn't
-overfit the unlabelled texts. Features are hashed words and beginnings of words (3 to 6 bytes), by presence.
+overfit the unlabelled texts. Features are hashed words and beginnings of words (4 to 8 bytes), by
+presence, and for beginnings also whether they occur at least twice and three times: one may be chance in a long text.
 
 Bounded by parameters: the positives and unlabelled texts to learn from (``MAX_POSITIVE``, ``MAX_UNLABELLED``, chosen
 by a hash of doc_id) and the features with a weight (``MAX_FEATURES``). Scoring reads every whole text.
@@ -22,19 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, prepare, text_slices, word_spans
+from .common import hash_words, mix, prepare, text_slices, word_spans
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3_000, 9_000, 1_024
 LEAST_LIFT, LEAST_Z = 5.0, 5.0
 THRESHOLD = 0.3
-_PREFIXES = (3, 4, 5, 6)
+_PREFIXES, _TIMES = (4, 5, 6, 7, 8), (2, 3)
 _LOG_SPACE = 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def _features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) for every word of a slice and its beginnings, with repeats."""
+    """(row, feature) for every word of a slice and its beginnings, with repeats, and for beginnings that a row has several times."""
     raw = _LOWER[raw]
     starts, ends, words = word_spans(raw, at)
     row = np.repeat(np.arange(len(at) - 1), np.diff(words))
@@ -43,6 +44,13 @@ def _features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         some = np.flatnonzero(hashes) if p else slice(None)
         rows.append(row[some])
         found.append((hashes[some] >> np.uint64(64 - _LOG_SPACE)).astype(np.int32))
+        if not p:
+            continue
+        both = np.sort(rows[-1].astype(np.int64) << _LOG_SPACE | found[-1])
+        for k in _TIMES:
+            again = np.unique(both[k - 1 :][both[k - 1 :] == both[: len(both) - k + 1]])
+            rows.append(again >> _LOG_SPACE)
+            found.append((mix((again & ((1 << _LOG_SPACE) - 1)).astype(np.uint64) + np.uint64(k << 32)) >> np.uint64(64 - _LOG_SPACE)).astype(np.int32))
     return np.concatenate(rows), np.concatenate(found)
 
 
@@ -103,7 +111,10 @@ def _matrix(rows: list[bytes], column: np.ndarray, width: int) -> np.ndarray:
 def _select(positive: list[bytes], unlabelled: list[bytes]) -> np.ndarray:
     """The features that mark the positives most clearly: by the z-score of their shares, at least LEAST_LIFT times as common there."""
     space = 1 << _LOG_SPACE
-    count = [np.bincount(np.concatenate([np.frombuffer(b, np.int32) for b in rows] or [np.empty(0, np.int32)]), minlength=space) for rows in (positive, unlabelled)]
+    count = np.zeros((2, space))
+    for own, rows in zip(count, (positive, unlabelled), strict=True):
+        for b in rows:
+            own[np.frombuffer(b, np.int32)] += 1  # a row has each feature once
     n, m = len(positive), len(unlabelled)
     share = (count[0] + count[1]) / (n + m)
     z = (count[0] / n - count[1] / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m) + 1e-12)
