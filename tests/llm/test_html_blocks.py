@@ -28,6 +28,18 @@ def test_blocks_of_broken_pages():
         assert all(b.text for b in hb.blocks(page))
 
 
+@pytest.mark.parametrize("script", ["for(i=0;i<n;i++){}", "if(a<b&&c=='x\"){}", "s='<!-- ';", "s='<b title=\"';", "s='</scripts>'", "s='<script>'"])
+def test_scripts_end_at_their_end_tags(script):
+    for end in ("</script>", "</SCRIPT >"):
+        assert [b.text for b in hb.blocks(f"<p>before</p><script>{script}{end}<p>after</p>")] == ["before", "after"]
+
+
+def test_only_scripts_styles_templates_and_form_controls_are_dropped():
+    page = "<style>a<b{}</style><template><p>no</p></template><select><option>no<option>no</select><textarea><b</textarea>"
+    kept = "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be<noscript><img src='a'></noscript> so</p><noscript><p>one</p></noscript><object>two</object><p><canvas>three</canvas></p><video>four</video><p><audio>five</audio></p>"
+    assert [b.text for b in hb.blocks(page + kept)] == ["Let x=1 be so", "one", "two", "three", "four", "five"]
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     model = hb._start(3)

@@ -30,12 +30,14 @@ from .common import hash_words, prepare, word_spans
 
 # Fixed values of the HTML standard: elements without an end tag, elements whose content isn't text, inline elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea iframe svg math object audio video canvas select option datalist".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+_RAW = frozenset("script style template textarea select datalist".split())
+_EMBEDDED = "noscript iframe object audio video canvas math mi mn mo ms mspace mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mpadded mphantom semantics annotation svg g path circle ellipse line polygon polyline rect defs use symbol lineargradient radialgradient stop clippath mask pattern marker text tspan textpath desc"
+_INLINE = frozenset(f"a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img {_EMBEDDED}".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_END_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<""", re.S)
+_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|\Z)", re.I) for tag in _RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
@@ -58,8 +60,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     out: list[Block] = []
     parts: list[str] = []
-    linked = 0
-    raw = None
+    linked = at = 0
 
     def end() -> None:
         nonlocal linked
@@ -71,21 +72,16 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        piece = m[0]
+    while m := _TOKEN.match(page, at):
+        piece, at = m[0], m.end()
         if piece[0] != "<" or piece == "<":
-            if raw is None:
-                parts.append(piece)
-                if any(t == "a" for t, _ in stack):
-                    linked += len(piece)
+            parts.append(piece)
+            if any(t == "a" for t, _ in stack):
+                linked += len(piece)
             continue
         if m[2] is None:
             continue
         closing, tag = m[1] == "/", m[2].lower()
-        if raw is not None:
-            if closing and tag == raw:
-                raw = None
-            continue
         if tag not in _INLINE:
             end()
         if closing:
@@ -94,8 +90,9 @@ def blocks(page: str) -> list[Block]:
                     pass
             continue
         if tag in _RAW:
-            if not m[3].endswith("/"):
-                raw = tag
+            if not m[3].endswith("/"):  # what is inside isn't markup: on to its end tag as it is written
+                stop = _END[tag].search(page, at)
+                at = stop.end() if stop else len(page)
             continue
         if tag in _VOID or m[3].endswith("/"):
             continue
