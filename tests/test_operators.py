@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,6 +215,15 @@ def test_tile_decisions(spark):
     assert found == {("easy", "a"): "keep", ("easy", "b"): "drop:overlaps", ("hard", "a"): "drop:duplicate", ("hard", "c"): "drop:parent_not_train", ("hard", "d"): "drop:no_geom", ("hard", "e"): "keep"}
 
 
+def test_passages_are_found_at_any_place(spark):
+    passages = ["a b c d e f g h i j", "one two three", " sp a\tb c d e f\n\ng h i ", "無空格", "", None, "a b c d e f g h i j"]
+    texts = ["xx a b c d e f g h i j yy", "xxa b c d e f g h i jyy", "a b c d e f g h i", "a b c d e f g h i k", "a b c d e  f g h i j", "someone two threefold", "one  two three", "x sp a\tb c d e f\n\ng h i y", "這無空格的", "", None, "a b c d e f g h i j"]
+    found = curation.containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in passages], "text string"), "text").collect()
+    want = {md5(t.encode()).hexdigest() for t in texts if t and any(p and p in t for p in passages)}
+    assert len(want) == 6
+    assert sorted(r.md5 for r in found) == sorted(want)
+
+
 def test_counters_count_background_sources_in_all(spark):
     frames = spark.createDataFrame([(1, "s"), (2, "s"), (3, "empty")], "frame int, source string")
     boxes = spark.createDataFrame([(1, 4.0, 9.0), (1, 1.0, 1.0)], "frame int, w double, h double")

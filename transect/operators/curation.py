@@ -33,6 +33,27 @@ def without_leaks(train: DataFrame, held_out: DataFrame, content: str) -> DataFr
     return train.join(held_out.select(content).distinct(), content, "left_anti")
 
 
+def containing(texts: DataFrame, passages: DataFrame, text: str, width: int = 8) -> DataFrame:
+    """(md5): of the texts that have a whole passage (a table small enough to broadcast) verbatim in them, at any place.
+
+    A passage's words but its first and last, which may be parts of longer ones, are words of any text that has it. So the
+    first ``width`` of them, hashed, join the hashed word windows of texts, and pairs that meet are verified on the texts.
+    Passages with too few words for that are looked for in every text. Empty ones are none.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    told = passages.select(F.col(text).alias("_passage")).filter("_passage <> ''").distinct().withColumn("_words", words(F.col("_passage")))
+    told = told.withColumn("_long", F.size("_words") >= width + 2)
+    anchors = told.filter("_long").select("_passage", F.xxhash64(F.slice("_words", 2, width)).alias("_anchor"))
+    own = texts.select(F.md5(text).alias("md5"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
+    cut = own.select("md5", words(F.col("_text")).alias("_words")).filter(F.size("_words") >= width + 2)
+    windows = cut.select("md5", F.explode(F.transform(F.sequence(F.lit(1), F.size("_words") - width + 1), lambda k: F.xxhash64(F.slice("_words", k, width)))).alias("_window"))
+    met = windows.join(F.broadcast(anchors), F.col("_window") == F.col("_anchor")).select("md5", "_passage").distinct()
+    inside = F.contains("_text", "_passage")
+    long = own.join(met, "md5").filter(inside).select("md5")
+    short = own.join(F.broadcast(told.filter("NOT _long").select("_passage")), inside, "left_semi").select("md5")
+    return long.union(short).distinct()
+
+
 def frame_counts(frames: DataFrame, boxes: DataFrame, key: str = "frame") -> DataFrame:
     """frames with n_boxes; frames without boxes, the confirmed negatives, have 0."""
     return frames.join(boxes.groupBy(key).agg(F.count("*").alias("n_boxes")), key, "left").fillna(0, "n_boxes")

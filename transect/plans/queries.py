@@ -116,6 +116,17 @@ def q07_leak_guard(spark: SparkSession, d: str) -> DataFrame:
     return curation.without_leaks(docs.filter("slot >= '2'"), held, "md5").select("doc_id", "md5")
 
 
+@query("""
+WITH h AS (SELECT md5(text) AS md5 FROM documents WHERE md5(doc_id::VARCHAR) < '2' UNION SELECT md5(text) FROM benchmark)
+SELECT doc_id, md5(text) AS md5 FROM documents WHERE md5(doc_id::VARCHAR) >= '2' AND md5(text) NOT IN (SELECT md5 FROM h)
+AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text <> '' AND contains(documents.text, b.text))
+""")
+def q37_leak_containment(spark: SparkSession, d: str) -> DataFrame:
+    """The leak guard's containment variant: also without documents that have a benchmark text in them."""
+    docs = table(spark, d, "documents").filter(F.md5(F.col("doc_id").cast("string")) >= "2")
+    return curation.without_leaks(q07_leak_guard(spark, d), curation.containing(docs, table(spark, d, "benchmark"), "text"), "md5").select("doc_id", "md5")
+
+
 @query(f"WITH fr AS (SELECT doc_id AS frame, source FROM documents), {_SPLIT_SQL} SELECT frame AS doc_id, source, split FROM s")
 def q08_split_hash(spark: SparkSession, d: str) -> DataFrame:
     return splits.random_split(table(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id").select("doc_id", "source", "split")
