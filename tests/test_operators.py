@@ -215,6 +215,27 @@ def test_tile_decisions(spark):
     assert found == {("easy", "a"): "keep", ("easy", "b"): "drop:overlaps", ("hard", "a"): "drop:duplicate", ("hard", "c"): "drop:parent_not_train", ("hard", "d"): "drop:no_geom", ("hard", "e"): "keep"}
 
 
+def test_metrics_of_each_frame_and_method(spark, survey):
+    d, t, frames, dets, truth = survey
+    grid = frames.crossJoin(spark.createDataFrame([("plain", 0.5), ("fine", 0.2), ("none", 2.0)], "method string, least double"))
+    found = planning.method_metrics(grid, d.join(grid, "frame").filter("score >= least").drop("least"), t).collect()
+    assert len(found) == 180
+    for r in found:
+        mine = [x for x in dets if x[0] == r.frame and x[6] >= r.least]
+        tp = sum(v is not None for v in naive(mine, [x for x in truth if x[0] == r.frame], 0).values())
+        fp, fn = len(mine) - tp, sum(x[0] == r.frame for x in truth) - tp
+        rec, prec = tp / (tp + fn) if tp + fn else 0.0, tp / (tp + fp) if tp + fp else 0.0
+        assert (r.tp, r.fp, r.fn, r.recall, r.precision) == (tp, fp, fn, rec, prec)
+        assert r.f1 == pytest.approx(2 * prec * rec / (prec + rec) if prec + rec else 0.0)
+
+
+def test_altitude_manifest(spark):
+    animals = spark.createDataFrame([(1, 100.0, 3.0), (2, 30.0, 5.0), (3, 400.0, 9.0), (4, 50.0, 4.0)], "animal int, native_px double, length_m double")
+    altitudes = spark.createDataFrame([(60.0, 0.01), (300.0, 0.1), (9000.0, 10.0)], "altitude_m double, gsd double")
+    found = {r[0]: tuple(r)[1:] for r in planning.altitude_manifest(animals, altitudes, 35.0).collect()}
+    assert found == {60.0: (1.0, 3, 50.0, 400.0, 3.0, 9.0, 5.0), 300.0: (10.0, 2, 40.0, 90.0, 3.0, 9.0, 5.0), 9000.0: (1000.0, 0, 0.0, 0.0, 3.0, 9.0, 5.0)}
+
+
 def test_passages_are_found_at_any_place(spark):
     passages = ["a b c d e f g h i j", "one two three", " sp a\tb c d e f\n\ng h i ", "無空格", "", None, "a b c d e f g h i j"]
     texts = ["xx a b c d e f g h i j yy", "xxa b c d e f g h i jyy", "a b c d e f g h i", "a b c d e f g h i k", "a b c d e  f g h i j", "someone two threefold", "one  two three", "x sp a\tb c d e f\n\ng h i y", "這無空格的", "", None, "a b c d e f g h i j"]

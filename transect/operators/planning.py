@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transect.functions import flight
+from transect.functions import geometry as g
+from transect.operators import matching
 from transect.session import prepare
 
 
@@ -33,6 +35,39 @@ def method_grid(frames: DataFrame, fixed: Sequence[int] = (640, 1024), overlap:
     return out.withColumn("tiles", flight.tile_count(width, height, F.col("slice"), overlap))
 
 
+def method_metrics(grid: DataFrame, dets: DataFrame, truth: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """grid (frame, method, ...) with tp, fp, fn, recall, precision and f1 of the frame by the method; frames without boxes or detections too.
+
+    dets: frame, method, det_seq, box, score, as the detector finds them in a frame by a method. Each method is matched alone:
+    matching's frame is a frame by a method.
+    """
+    key = F.struct("frame", "method")
+    wanted = grid.select("frame", "method").distinct()
+    boxes = truth.join(wanted, "frame").withColumn("frame", key).drop("method")
+    matched = matching.greedy_match(dets.withColumn("frame", key).drop("method"), boxes, "iou", threshold)
+    hits = matched.groupBy("frame").agg(F.count_if(F.col("gt_idx").isNotNull()).alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp")).select("frame.frame", "frame.method", "tp", "fp")
+    counts = grid.join(hits, ["frame", "method"], "left").join(truth.groupBy("frame").agg(F.count("*").alias("_gt")), "frame", "left").fillna(0, ["tp", "fp", "_gt"])
+    fn = F.col("_gt") - F.col("tp")
+    prec, rec = g.precision(F.col("tp"), F.col("fp")), g.recall(F.col("tp"), fn)
+    return counts.select(*grid.columns, "tp", "fp", fn.alias("fn"), rec.alias("recall"), prec.alias("precision"), g.f1(prec, rec).alias("f1"))
+
+
+def animals_at(animals: DataFrame, altitudes: DataFrame, least_px: float) -> DataFrame:
+    """animals (native_px, length_m, ...) x altitudes (altitude_m, gsd in m/px) with apparent_px: never enlarged, and left out below ``least_px``."""
+    seen = animals.crossJoin(F.broadcast(altitudes)).withColumn("apparent_px", F.col("native_px") * F.least(F.col("length_m") / F.col("gsd") / F.col("native_px"), F.lit(1.0)))
+    return seen.filter(F.col("apparent_px") >= least_px)
+
+
+def altitude_manifest(animals: DataFrame, altitudes: DataFrame, least_px: float) -> DataFrame:
+    """(altitude_m, gsd_cm_px, n_animals, min_px, max_px, len_min_m, len_max_m, len_median_m): sizes of what is shown at an
+    altitude (0 where nothing is), lengths of all animals; of two middle lengths the larger."""
+    sizes = animals_at(animals, altitudes, least_px).groupBy("altitude_m").agg(F.count("*").alias("n_animals"), F.min(F.rint("apparent_px")).alias("min_px"), F.max(F.rint("apparent_px")).alias("max_px"))
+    median = F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -length_m)")
+    lengths = animals.agg(*[F.bround(x, 2).alias(n) for x, n in ((F.min("length_m"), "len_min_m"), (F.max("length_m"), "len_max_m"), (median, "len_median_m"))])
+    out = altitudes.join(sizes, "altitude_m", "left").fillna(0, ["n_animals", "min_px", "max_px"]).crossJoin(lengths)
+    return out.select("altitude_m", F.bround(F.col("gsd") * 100, 3).alias("gsd_cm_px"), "n_animals", "min_px", "max_px", "len_min_m", "len_max_m", "len_median_m")
+
+
 def assign_crops(lengths: DataFrame, crops: DataFrame, gsd_min: float, by: str = "scene") -> DataFrame:
     """(by, len_id, crop_id): lengths, longest first, each take the largest unused crop that is at least length / gsd_min pixels;
     a length that no crop can show is left out and uses none.

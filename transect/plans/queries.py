@@ -503,3 +503,27 @@ def q36_capped_sample(spark: SparkSession, d: str) -> DataFrame:
     """A cap for each source (the sampling operator): the first ten in hash order."""
     docs = table(spark, d, "documents").select("doc_id", "source").withColumn("digest", seeded(7, F.col("doc_id")))
     return hash_rank(docs, ["source"], "digest", "n").filter("n < 10").select("doc_id", "source", (F.col("n") + 1).cast("long").alias("nth"))
+
+
+@query(f"""
+{fx.GREEDY_SQL},
+v AS (SELECT frame, (60 + 10 * (frame % 27))::DOUBLE AS altitude FROM (SELECT c_custkey AS frame FROM customer)),
+w AS (SELECT *, (4.39::DOUBLE * 1e-6::DOUBLE) * altitude / (35.0::DOUBLE * 1e-3::DOUBLE) AS gsd FROM v),
+a AS (SELECT *, 3.0::DOUBLE / gsd AS animal, (3.0::DOUBLE / gsd) / 8::DOUBLE >= 45 AS plain FROM w),
+k AS (SELECT frame, altitude, gsd, unnest([{{'method': 'plain', 'slice': NULL}}, {{'method': 'fixed640', 'slice': 640}}, {{'method': 'fixed1024', 'slice': 1024}},
+  {{'method': 'adaptive', 'slice': CASE WHEN NOT plain THEN greatest(512, least(round_even(animal * 1024 / 45.0::DOUBLE, 0), 8192))::INT END}},
+  {{'method': 'adaptive_range', 'slice': CASE WHEN NOT plain THEN greatest(512, least(round_even((18.2::DOUBLE / gsd) / 1.0::DOUBLE, 0), 8192))::INT END}}]) AS m FROM a),
+q AS (SELECT k.frame, m.method AS method, altitude, m.slice AS slice, CASE m.method WHEN 'plain' THEN 0.5::DOUBLE WHEN 'fixed640' THEN 0.4::DOUBLE WHEN 'fixed1024' THEN 0.3::DOUBLE WHEN 'adaptive' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END AS least_score FROM k),
+h AS (SELECT q.frame, method, altitude, slice, count(gt_idx) AS tp, count(score) - count(gt_idx) AS fp FROM q LEFT JOIN t ON q.frame = t.frame AND score >= least_score GROUP BY ALL),
+y AS (SELECT h.*, coalesce(n, 0) - tp AS fn FROM h LEFT JOIN (SELECT frame, count(*) AS n FROM g GROUP BY frame) z ON h.frame = z.frame),
+x AS (SELECT *, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision FROM y)
+SELECT frame, method, altitude, slice, tp, fp, fn, recall, precision, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM x
+""")
+def q38_method_prf(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of q35 for each frame, with precision, recall and F1. No table says what a method finds: a method's detections are those from a score on."""
+    frames = table(spark, d, "customer").select(F.col("c_custkey").alias("frame"), (60 + 10 * (F.col("c_custkey") % 27)).cast("double").alias("altitude"))
+    frames = frames.withColumn("gsd", flight.gsd(F.lit(4.39), F.col("altitude"), F.lit(35.0))).withColumn("width", F.lit(8192)).withColumn("height", F.lit(5460))
+    least = {"plain": 0.5, "fixed640": 0.4, "fixed1024": 0.3, "adaptive": 0.2, "adaptive_range": 0.1}
+    found = F.explode(F.filter(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(s).alias("least")) for m, s in least.items()]), lambda m: F.col("score") >= m.least))
+    dets = fx.detections(spark, d).withColumn("_m", found).withColumn("method", F.col("_m.method")).drop("_m")
+    return planning.method_metrics(planning.method_grid(frames).select("frame", "method", "altitude", "slice"), dets, fx.truth(spark, d))
