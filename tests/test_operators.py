@@ -261,3 +261,20 @@ def test_scoring_loads_a_model_once_a_task(spark):
     assert planning.score_frames(frames, load, []).count() == sum(f % 3 for f in range(10))
     lengths = planning.body_lengths(spark.range(2000), "mixture", 1).agg(F.min("length_m").alias("a"), F.max("length_m").alias("b"), F.avg((F.col("length_m") > 8).cast("int")).alias("c")).first()
     assert 1.5 <= lengths.a and lengths.b <= 18.0 and abs(lengths.c - 0.2) < 0.04
+
+
+def test_crops_of_a_large_scene_are_not_one_row(spark):
+    """One scene with nearly all rows, ties, lengths that no crop shows, a scene without crops, nulls."""
+    rng = random.Random(8)
+    lengths = [("hot" if k % 50 else "thin", k, rng.randint(1, 40) / 2) for k in range(3000)] + [("bare", 1, 1.0), (None, 2, 1.0), ("hot", 3001, None)]
+    crops = [("hot" if k % 50 else "thin", k, float(rng.randint(40, 1100))) for k in range(2500)] + [(None, 1, 900.0)]
+    df = planning.assign_crops(spark.createDataFrame(lengths, "scene string, len_id int, length_m double"), spark.createDataFrame(crops, "scene string, crop_id int, native_px double"), 0.02)
+    want = {}
+    for s in ("hot", "thin"):
+        pool = sorted((c for c in crops if c[0] == s), key=lambda c: (-c[2], c[1]))
+        for _, k, length in sorted((x for x in lengths if x[0] == s and x[2] is not None), key=lambda x: (-x[2], x[1])):
+            if pool and pool[0][2] >= length / 0.02:
+                want[s, k] = pool.pop(0)[1]
+    assert {(r.scene, r.len_id): r.crop_id for r in df.collect()} == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "array_append" not in plan

@@ -32,6 +32,24 @@ def running_total(df: DataFrame, order: Sequence[Column], value: Column, name: s
     return joined.withColumn(name, F.coalesce(F.sum("_value").over(own), F.lit(0)) + F.col("_base")).drop("_value", "_part", "_of", "_base")
 
 
+def running_min(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """df with the least ``value`` of the rows before each in its group (null for the first), in a total order that ``by`` leads.
+
+    As running_total: of each partition only its groups' minima meet the others', so a hot group isn't one partition.
+    """
+    prepare(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = df.withColumn("_value", value).repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    mins = part.groupBy(*[F.col(b).alias(f"_{b}") for b in by], F.col("_part").alias("_of")).agg(F.min("_value").alias("_min"))
+    line = Window.partitionBy(*[f"_{b}" for b in by]).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    same = F.col("_part") == F.col("_of")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    own = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = part.withColumn("_own", F.min("_value").over(own)).join(mins.withColumn("_before", F.min("_min").over(line)), same)
+    return joined.withColumn(name, F.least("_own", "_before")).drop("_value", "_part", "_own", "_before", "_of", "_min", *[f"_{b}" for b in by])
+
+
 def hash_rank(df: DataFrame, by: Sequence[str], digest: str, name: str) -> DataFrame:
     """df with each row's number (from 0) in its group by a hex digest column; equal digests are no ties to break here.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from transect.functions import flight
 from transect.functions import geometry as g
 from transect.operators import matching
+from transect.operators.ordering import running_min, running_total
 from transect.session import prepare
 
 
@@ -73,20 +74,20 @@ def assign_crops(lengths: DataFrame, crops: DataFrame, gsd_min: float, by: str =
     a length that no crop can show is left out and uses none.
 
     If the largest unused crop is too small for a length, it is for no later one alone that it may do: so crops are used in
-    order, and a length fits exactly if the next unused crop does. That is a fold over lengths and crops of a scene.
+    order, and a length fits exactly if the next unused crop does. With need(j) crops that are large enough for the j-th length,
+    i + min(0, min over j <= i of (need(j) - j)) are used after i lengths: ranks and a running minimum, no scene in one row.
     """
-    ls = lengths.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col("length_m")).alias("l"), F.col("len_id").alias("len_id")))).alias("ls"))
-    cs = crops.groupBy(F.col(by).alias("_by")).agg(F.array_sort(F.collect_list(F.struct((-F.col("native_px")).alias("n"), F.col("crop_id").alias("crop_id")))).alias("cs"))
-    both = ls.join(cs, F.col(by) == F.col("_by"))
-    kinds = dict(lengths.dtypes)["len_id"], dict(crops.dtypes)["crop_id"]
-    start = F.struct(F.lit(0).alias("k"), F.expr(f"cast(array() as array<struct<len_id:{kinds[0]},crop_id:{kinds[1]}>>)").alias("out"))
-
-    def step(acc, x):
-        crop = F.get(F.col("cs"), acc.k)
-        fits = F.coalesce(-crop.n >= -x.l / F.lit(gsd_min), F.lit(False))
-        return F.struct((acc.k + F.when(fits, 1).otherwise(0)).alias("k"), F.when(fits, F.array_append(acc.out, F.struct(x.len_id.alias("len_id"), crop.crop_id.alias("crop_id")))).otherwise(acc.out).alias("out"))
-
-    return both.select(by, F.explode(F.aggregate("ls", start, step, lambda acc: acc.out)).alias("m")).select(by, "m.len_id", "m.crop_id")
+    ls = lengths.filter("length_m IS NOT NULL").select(by, F.lit(1).alias("_kind"), (F.col("length_m") / F.lit(gsd_min)).cast("double").alias("_px"), F.col("length_m").cast("double").alias("_length"), "len_id")
+    cs = crops.filter("native_px IS NOT NULL").select(by, F.lit(0).alias("_kind"), F.col("native_px").cast("double").alias("_px"), "crop_id")
+    rows = ls.unionByName(cs, allowMissingColumns=True).filter(F.col(by).isNotNull())
+    order = [F.col("_px").desc(), F.col("_kind"), F.col("_length").desc(), F.col("len_id"), F.col("crop_id")]  # crops before the lengths that they just do for
+    for kind, name in ((0, "_crops"), (1, "_lengths")):
+        rows = running_total(rows, [F.col(by), *order], F.when(F.col("_kind") == kind, 1).otherwise(0), name)
+    firsts = rows.groupBy(F.col(by).alias("_by")).agg(F.min("_crops").alias("_crops0"), F.min("_lengths").alias("_lengths0"))
+    ranked = rows.join(firsts, F.col(by) == F.col("_by")).select(by, "_kind", "_px", "_length", "len_id", "crop_id", (F.col("_crops") - F.col("_crops0")).alias("_crops"), (F.col("_lengths") - F.col("_lengths0")).alias("_i"))
+    wanted = running_min(ranked.filter("_kind = 1").drop("crop_id"), [by], order[:-1], F.col("_crops") - F.col("_i") - 1, "_least")
+    wanted = wanted.withColumn("_next", F.col("_i") + F.least(F.lit(0), "_least")).filter("_next < _crops").select(by, "len_id", "_next")
+    return wanted.join(ranked.filter("_kind = 0").select(by, "crop_id", F.col("_crops").alias("_next")), [by, "_next"]).select(by, "len_id", "crop_id")
 
 
 def body_lengths(n: DataFrame, distribution: str, seed: int, fixed: float = 3.0, whole: tuple = (1.5, 18.0), small: tuple = (1.5, 4.0), large: tuple = (8.0, 18.0), share_large: float = 0.2) -> DataFrame:
