@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -75,6 +76,28 @@ def test_branches_locate_edits(spark):
     assert [(x.section, x.paragraphs) for x in rows[2].p] == [(2, [1])]
 
 
+def test_insertions_are_located(spark):
+    a = "one\ntwo\n\nthree\nfour\n\nfive"
+    pairs = [("new\n\n" + a, [0], [(0, [0])]), (a.replace("three", "new\nthree"), [1], [(1, [0])]), ("three\nfour\n\none\ntwo\n\nfive", [0, 1], None), (a.replace("one", "1").replace("five", "5"), [0, 2], [(0, [0]), (2, [0])]), (a + "\n\nfive", [3], [(3, [0])])]
+    df = spark.createDataFrame([(a, b) for b, *_ in pairs], "a string, b string")
+    rows = df.select(merkle.differing_sections(F.col("a"), F.col("b")).alias("s"), merkle.differing_paragraphs(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r.s for r in rows] == [s for _, s, _ in pairs]
+    assert all(p is None or [(x.section, x.paragraphs) for x in r.p] == p for r, (_, _, p) in zip(rows, pairs, strict=True))
+
+
+def test_clauses_of_short_and_plain_texts(spark):
+    rng = random.Random(2)
+    plain = " ".join("".join(rng.choice("abcdefghi") for _ in range(6)) for _ in range(40))
+    wide = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(200))
+    texts = ["A short line.", "abc abc def ghi", plain, wide, "a" * 99, plain[:60], wide[:20]]
+    pairs = [(t, t[: len(t) - len(t) // 2] + "~" * (len(t) // 2), t[:50] + "ab" + t[50:]) for t in texts]
+    tree = lambda c: merkle.leaves(merkle.leaf_tree(F.col(c)))
+    rows = spark.createDataFrame(pairs, "a string, b string, c string").select(merkle.likeness(tree("a"), tree("b")).alias("half"), merkle.likeness(tree("a"), tree("c")).alias("more"), F.size(tree("a")).alias("n")).collect()
+    assert all(r.half > 0 for r in rows)
+    assert all(r.n >= len(t) / 32 for r, t in zip(rows, texts, strict=True))
+    assert rows[3].more > 0.8
+
+
 def test_no_python_in_the_plan(spark, smallest):
     df = merkle.compared_with_edits(spark.read.parquet(f"{smallest}/documents.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -1,12 +1,14 @@
 """Merkle fingerprints of documents, in DataFrame expressions alone.
 
-A text is split into sections at blank lines, these into paragraphs at line ends, and these into clauses at spaces
-that follow a character other than a-x (mostly punctuation): cuts depend on the text near them alone. Leaves are
-32-bit hashes of clauses; a paragraph's node is its SHA-256, a section's that of its paragraphs' nodes, the root that
+A text is split into sections at blank lines, these into paragraphs at line ends, and these into clauses after spaces
+that follow a character other than a-s and after certain characters, also of scripts without spaces: such cuts depend on
+the text near them alone. Where none comes within 32 characters (4 for a paragraph's first clause), one is made there, so
+that a short or plain text has leaves in its unchanged part too. Leaves are 32-bit hashes of clauses; a paragraph's node is its SHA-256, a section's that of its paragraphs' nodes, the root that
 of the sections' nodes. A fingerprint is the root and the leaves in order, with '.' before each paragraph and '/'
 before each section, so equal texts have equal fingerprints and different ones differ in the root.
 
-Roots test equality; ``differing_sections`` and ``differing_paragraphs`` follow the branches that differ. The
+Roots test equality; ``differing_sections`` and ``differing_paragraphs`` follow the branches that differ, which are
+aligned by value: what comes after an inserted one is not different. The
 likeness of two fingerprints is the Dice coefficient of their sets of leaves.
 
 Documents are doc_id and text: rows equal in both are one document, and each of them gets its result. A null id comes
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-_CLAUSE = "(?<=[^a-xA-X]) "
+_WIDE = "".join(rf"\u{a:04x}-\u{a + 0x7F:04x}" for a in range(0x3000, 0xD400, 0x400))
+_CUT = rf"(?:(?<=[^a-sA-S] )|(?<=[jkqvxzJKQVXZ257])|(?<=[\u0e00-\uffff&&[\u0e00-\u0e0f{_WIDE}]])|\z)"
+_CLAUSE = rf"(?s)\A\z|\A.{{1,4}}?{_CUT}|\A.{{4}}|.{{1,32}}?{_CUT}|.{{32}}"
 
 
 def sections(text: Column) -> Column:
@@ -42,7 +46,7 @@ def root(text: Column) -> Column:
 
 def leaf_tree(text: Column) -> Column:
     """Leaves by section, paragraph and clause."""
-    return F.transform(sections(text), lambda s: F.transform(F.split(s, "\n"), lambda p: F.transform(F.split(p, _CLAUSE), lambda c: F.hash(c))))
+    return F.transform(sections(text), lambda s: F.transform(F.split(s, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(_CLAUSE), F.lit(0)), lambda c: F.hash(c))))
 
 
 def leaves(tree: Column) -> Column:
@@ -61,22 +65,52 @@ def likeness(a: Column, b: Column) -> Column:
     return F.lit(2.0) * F.size(F.array_intersect(a, b)) / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
 
 
+def _with(value: Column, f) -> Column:
+    """f of the value, worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _some(a: Column) -> Column:
+    return F.filter(a, lambda x: x.isNotNull())
+
+
 def _differing(a: Column, b: Column) -> Column:
-    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
-    marked = F.transform(pairs, lambda p, i: F.when(~p["x"].eqNullSafe(p["y"]), i))
-    return F.filter(marked, lambda i: i.isNotNull())
+    """(x, y): numbers of the nodes of a that b lacks or has less often, beside those of b that a has less often, in order;
+    null where there are fewer. Where both have the same nodes in another order, the numbers at which they differ."""
+
+    def told(x: Column) -> Column:  # each with the number of its equals before it
+        return F.transform(x, lambda v, i: F.concat_ws("|", v, F.size(F.filter(F.slice(x, F.lit(1), i), lambda w: w == v))))
+
+    def alone(x: Column, y: Column) -> Column:
+        return _some(F.transform(x, lambda v, i: F.when(~F.array_contains(y, v), i)))
+
+    def beside(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda p, q: F.struct(p.alias("x"), q.alias("y")))
+
+    def pairs(s: Column) -> Column:
+        moved = F.zip_with(s["a"], s["b"], lambda p, q: p.eqNullSafe(q))
+        moved = _some(F.transform(moved, lambda same, i: F.when(~same, i)))
+        found = beside(alone(s["a"], s["b"]), alone(s["b"], s["a"]))
+        return F.when(F.size(found) > 0, found).otherwise(beside(moved, moved))
+
+    return _with(F.struct(a.alias("a"), b.alias("b")), lambda s: _with(F.struct(told(s["a"]).alias("a"), told(s["b"]).alias("b")), pairs))
+
+
+def _numbers(pairs: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(pairs, lambda p: F.coalesce(p["x"], p["y"]))))
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """Numbers, from 0, of the sections that differ or that one text lacks."""
-    return _differing(section_nodes(a), section_nodes(b))
+    """Numbers, from 0, of the sections of a that differ or that b lacks; of b, for those that it has more."""
+    return _numbers(_differing(section_nodes(a), section_nodes(b)))
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
     """(section, paragraphs) for the sections that differ."""
     x, y = _nodes(a), _nodes(b)
     none = F.expr("cast(array() AS array<string>)")
-    return F.transform(differing_sections(a, b), lambda i: F.struct(i.alias("section"), _differing(F.coalesce(F.get(x, i), none), F.coalesce(F.get(y, i), none)).alias("paragraphs")))
+    part = lambda nodes, i: F.coalesce(F.get(nodes, i), none)
+    return F.transform(_differing(section_nodes(a), section_nodes(b)), lambda p: F.struct(F.coalesce(p["x"], p["y"]).alias("section"), _numbers(_differing(part(x, p["x"]), part(y, p["y"]))).alias("paragraphs")))
 
 
 def trees(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
