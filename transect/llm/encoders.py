@@ -118,10 +118,12 @@ class UnitEncoder:
     def _by_spaces(self, text: str) -> bytes:
         """For byte-level vocabularies: a piece begins at every space or line end that has no white space beside it.
 
-        Texts with other white space, or with white space next to white space or at an end, are encoded whole.
+        Texts with any other white space, or with white space next to white space or at an end, are encoded whole: their
+        units joined by single spaces are not the text.
         """
-        units = text.split()
-        if len(units) != text.count(" ") + text.count("\n") + 1 or self._invisible.search(text):
+        flat = text.replace("\n", " ")
+        units = flat.split()
+        if not units or " ".join(units) != flat or not text.isascii() and self._invisible.search(text):
             return self.whole([text])[0]
         at, heads = 0, []  # units that begin a line
         for line in text.split("\n"):
