@@ -49,6 +49,14 @@ def test_wrong_dictionary_is_refused(spark, smallest, tmp_path):
         token_files.read_tokens(spark, f"{tmp_path}/a")
 
 
+def test_any_number_is_an_id(spark, tmp_path):
+    rows = [(-(1 << 63), "least"), ((1 << 63) - 1, "greatest"), (0, "zero"), (None, "none"), (None, None)]
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/n", PATH)
+    found = token_files.read_tokens(spark, f"{tmp_path}/n").orderBy("start").collect()
+    assert [r.doc_id for r in found] == [None, None, -(1 << 63), 0, (1 << 63) - 1]
+    assert [len(token_files.read_document(spark, f"{tmp_path}/n", d)) for d in (-(1 << 63), 0, (1 << 63) - 1, 5)] == [1, 1, 1, 0]
+
+
 def test_empty_table(spark, tmp_path):
     token_files.write_tokens(empty(spark), f"{tmp_path}/e", PATH)
     assert token_files.read_tokens(spark, f"{tmp_path}/e").count() == 0

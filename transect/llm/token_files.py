@@ -12,7 +12,9 @@ A document is read by the doc_id range of its block (parquet statistics skip the
 Parquet's own compression is off: frames don't compress twice.
 
 Shards are ranges of doc_id, from approximate percentiles; equal ids stay in one shard, in the order of their texts'
-hashes; null ids come first. The dictionary is trained on ``SAMPLE`` documents at most, chosen by a hash.
+hashes; null ids come first, counted in each block, so that any number can be an id. Shard k is partition k. A row of a
+repeated id is a document of its own; all rows of one id share a shard. The dictionary is trained on ``SAMPLE`` documents
+at most, chosen by a hash. Null and empty texts are the end id alone; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -33,8 +35,7 @@ END_ID = 2
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 800, 16 << 10, 64 << 10
 LEVEL = 3
 _BLOCK_BYTES, _BLOCK_DOCS = 8 << 20, 4096
-_NO_ID = -(1 << 63)
-_BLOCK_SCHEMA = "shard int, block int, dictionary_sha256 string, width int, first_id long, last_id long, first_token long, n_tokens long, ids binary, offsets binary, lengths binary, frames binary"
+_BLOCK_SCHEMA = "shard int, block int, dictionary_sha256 string, width int, nulls int, first_id long, last_id long, first_token long, n_tokens long, ids binary, offsets binary, lengths binary, frames binary"
 
 
 def _serialized(ids: bytes, end_id: int, width: int) -> bytes:
@@ -82,7 +83,7 @@ def _compress(path: str, byte_level: bool, end_id: int, dictionary, bounds: np.n
         encoder, width = UnitEncoder.of(path, byte_level), id_width(path, byte_level)
         press = _compressor(dictionary.value)
         for batch in batches:
-            ids, frames, sizes = batch.column(0).to_numpy(zero_copy_only=False), [], []
+            ids, frames, sizes = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), [], []  # nulls in the first shard
             for t in batch.column(2).to_pylist():
                 plain = _serialized(encoder.encode(t or ""), end_id, width)
                 sizes.append(len(plain) // width)
@@ -96,7 +97,7 @@ def _compress(path: str, byte_level: bool, end_id: int, dictionary, bounds: np.n
 def _blocks(sha: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block, token = None, 0, 0
-        ids: list[int] = []
+        ids: list[int | None] = []  # nulls first
         sizes: list[int] = []
         frames: list[bytes] = []
         held = 0
@@ -105,10 +106,12 @@ def _blocks(sha: str, width: int):
             nonlocal block, token, held
             n = sum(sizes)
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype(np.uint64)
+            nulls = ids.count(None)
+            known = ids[nulls:] or [None]
             row = {
-                "shard": pa.array([now], pa.int32()), "block": pa.array([block], pa.int32()), "dictionary_sha256": [sha], "width": pa.array([width], pa.int32()),
-                "first_id": pa.array([ids[0]], pa.int64()), "last_id": pa.array([ids[-1]], pa.int64()), "first_token": pa.array([token], pa.int64()), "n_tokens": pa.array([n], pa.int64()),
-                "ids": [np.array(ids, np.int64).tobytes()], "offsets": [offsets.tobytes()], "lengths": [np.array(sizes, np.uint32).tobytes()], "frames": pa.array([b"".join(frames)], pa.binary()),
+                "shard": pa.array([now], pa.int32()), "block": pa.array([block], pa.int32()), "dictionary_sha256": [sha], "width": pa.array([width], pa.int32()), "nulls": pa.array([nulls], pa.int32()),
+                "first_id": pa.array([known[0]], pa.int64()), "last_id": pa.array([known[-1]], pa.int64()), "first_token": pa.array([token], pa.int64()), "n_tokens": pa.array([n], pa.int64()),
+                "ids": [np.array([i or 0 for i in ids], np.int64).tobytes()], "offsets": [offsets.tobytes()], "lengths": [np.array(sizes, np.uint32).tobytes()], "frames": pa.array([b"".join(frames)], pa.binary()),
             }
             block, token, held = block + 1, token + n, 0
             ids.clear(), sizes.clear(), frames.clear()
@@ -137,13 +140,13 @@ def write_tokens(docs: DataFrame, folder: str, path: str, byte_level: bool = Tru
     data = train_dictionary(docs, path, byte_level, end_id, text)
     sha = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(sha, bytearray(data))], "dictionary_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.agg(F.percentile_approx("id", [k / shards for k in range(1, shards)], 100 * shards).alias("bounds")).first().bounds if shards > 1 else None
     bounds = np.unique(np.array(found or [], np.int64))
     shared = spark.sparkContext.broadcast(data)
     frames = rows.mapInArrow(_compress(path, byte_level, end_id, shared, bounds), "shard int, id long, key long, n long, frame binary")
-    dealt = frames.repartition(shards, "shard").sortWithinPartitions("shard", "id", "key")
+    dealt = frames.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "key")
     dealt.mapInArrow(_blocks(sha, id_width(path, byte_level)), _BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
@@ -181,9 +184,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 for a in range(0, len(ids), 512):
                     blobs = [np.frombuffer(expand.decompress(frames[at[k] : at[k + 1]]), kind).astype(np.uint32).tobytes() for k in range(a, min(a + 512, len(ids)))]
                     b = a + len(blobs)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], mask=ids[a:b] == _NO_ID), pa.array(start[a:b]), pa.array(sizes[a:b]), pa.array(blobs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], mask=np.arange(a, b) < row["nulls"]), pa.array(start[a:b]), pa.array(sizes[a:b]), pa.array(blobs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    needed = blocks.select("shard", "dictionary_sha256", "width", "first_token", "ids", "offsets", "lengths", "frames")
+    needed = blocks.select("shard", "dictionary_sha256", "width", "nulls", "first_token", "ids", "offsets", "lengths", "frames")
     return needed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
@@ -197,6 +200,7 @@ def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[in
         if row.dictionary_sha256 != sha:
             raise ValueError(f"a block was written with dictionary {row.dictionary_sha256}, not {sha}")
         at, kind = np.frombuffer(row.offsets, np.uint64).tolist(), np.uint16 if row.width == 2 else np.uint32
-        for k in np.flatnonzero(np.frombuffer(row.ids, np.int64) == doc_id).tolist():
+        found = np.flatnonzero(np.frombuffer(row.ids, np.int64) == doc_id)
+        for k in found[found >= row.nulls].tolist():
             out.append(np.frombuffer(expand.decompress(bytes(row.frames[at[k] : at[k + 1]])), kind).tolist())
     return out
