@@ -136,3 +136,32 @@ def test_resolution_orders(spark):
     assert (r.a.source, r.b.source, r.c.source, r.d.source) == ("gsd", "altitude", "exif", "none")
     assert r.c.gsd == pytest.approx(4.39e-6 * 90 / 24e-3)
     assert r.s is None
+
+
+def test_zeros_are_not_given(spark):
+    size, box = (F.lit(8192), F.lit(5460)), g.box(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0))
+    r = one(
+        spark,
+        zero=flight.slice_decision(*size, given_gsd=F.lit(0.0)),
+        derived=flight.slice_decision(*size, given_gsd=F.lit(0.0), altitude_m=F.lit(120.0), pitch_um=F.lit(4.39), focal_mm=F.lit(35.0)),
+        ground=flight.slice_decision(*size, altitude_m=F.lit(0.0), pitch_um=F.lit(4.39), focal_mm=F.lit(35.0)),
+        apparent=g.apparent_size(F.lit(50.0), F.lit(3.0), F.lit(0.0)),
+        empty=g.apparent_size(F.lit(0.0), F.lit(3.0), F.lit(0.1)),
+        share=g.corners_to_centre(box, F.lit(0), F.lit(10)),
+        percent=g.corners_to_percent(box, F.lit(0), F.lit(10)),
+        shown=g.oriented_box(box, F.lit(0), F.lit(10), F.lit(6)),
+    )
+    assert (r.zero.mode, r.zero.source, r.ground.mode) == ("blind_sweep", "no_geometry", "blind_sweep")
+    assert (r.derived.slice_size, r.derived.source) == (4536, "camera+altitude")
+    assert r.apparent is None and r.empty is None and r.shown is None
+    assert (r.share.cx, r.share.w, r.share.cy, r.percent.x) == (None, None, 0.3, None)
+
+
+def test_apparent_size(spark):
+    r = one(spark, smaller=g.apparent_size(F.lit(100.0), F.lit(3.0), F.lit(0.05)), whole=g.apparent_size(F.lit(50.0), F.lit(3.0), F.lit(0.05)), dropped=g.apparent_size(F.lit(100.0), F.lit(3.0), F.lit(0.05), 61.0))
+    assert (r.smaller, r.whole, r.dropped) == (pytest.approx(60.0), 50.0, None)
+
+
+def test_camera_by_key(spark):
+    rows = flight.with_camera(spark.createDataFrame([(1, "dji_zenmuse_p1"), (2, "unknown"), (3, None)], "n int, camera string")).orderBy("n").collect()
+    assert [(r.pitch_um, r.focal_mm) for r in rows] == [(4.39, 35.0), (None, None), (None, None)]

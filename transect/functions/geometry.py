@@ -27,8 +27,10 @@ def centre_to_corners(b: Column, width: Column, height: Column) -> Column:
 
 
 def corners_to_centre(b: Column, width: Column, height: Column) -> Column:
-    """Normalized and clamped."""
-    return centre_box(clamp01((b.x1 + b.x2) / 2 / width), clamp01((b.y1 + b.y2) / 2 / height), clamp01((b.x2 - b.x1) / width), clamp01((b.y2 - b.y1) / height))
+    """Normalized and clamped; null shares for an image without width or height."""
+    width, height = F.nullif(width, F.lit(0)), F.nullif(height, F.lit(0))
+    share = lambda v: F.when(v.isNotNull(), clamp01(v))
+    return centre_box(share((b.x1 + b.x2) / 2 / width), share((b.y1 + b.y2) / 2 / height), share((b.x2 - b.x1) / width), share((b.y2 - b.y1) / height))
 
 
 def percent_to_centre(x: Column, y: Column, w: Column, h: Column, clamped: bool = False) -> Column:
@@ -45,6 +47,8 @@ def centre_to_percent(b: Column) -> Column:
 
 
 def corners_to_percent(b: Column, width: Column, height: Column) -> Column:
+    """Null for an image without width or height."""
+    width, height = F.nullif(width, F.lit(0)), F.nullif(height, F.lit(0))
     return F.struct((b.x1 / width * 100).alias("x"), (b.y1 / height * 100).alias("y"), ((b.x2 - b.x1) / width * 100).alias("width"), ((b.y2 - b.y1) / height * 100).alias("height"))
 
 
@@ -81,13 +85,15 @@ def oriented_point(x: Column, y: Column, orientation: Column) -> Column:
 
 
 def oriented_box(b: Column, width: Column, height: Column, orientation: Column) -> Column:
-    """Centre box, as shown, of pixel corners in the stored image."""
+    """Centre box, as shown, of pixel corners in the stored image; null without its width or height."""
+    sized = (width != 0) & (height != 0)
+    width, height = F.nullif(width, F.lit(0)), F.nullif(height, F.lit(0))
     x = [b.x1 / width, b.x2 / width]
     y = [b.y1 / height, b.y2 / height]
     corners = F.array(*[oriented_point(p, q, orientation) for p in x for q in y])
     xs, ys = F.transform(corners, lambda p: p.x), F.transform(corners, lambda p: p.y)
     x1, x2, y1, y2 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
-    return centre_box(clamp01((x1 + x2) / 2), clamp01((y1 + y2) / 2), clamp01(x2 - x1), clamp01(y2 - y1))
+    return F.when(sized, centre_box(clamp01((x1 + x2) / 2), clamp01((y1 + y2) / 2), clamp01(x2 - x1), clamp01(y2 - y1)))
 
 
 def iou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:
@@ -135,8 +141,9 @@ def sqrt_area(w: Column, h: Column, width: Column, height: Column) -> Column:
 
 
 def apparent_size(native_px: Column, length_m: Column, gsd: Column, least: float | None = None) -> Column:
-    """Pixels of an animal pasted at its size or smaller; null below ``least``."""
-    size = native_px * F.least((length_m / gsd) / native_px, F.lit(1.0))
+    """Pixels of an animal pasted at its size or smaller; null below ``least``, and without a GSD or native pixels."""
+    share = (length_m / F.nullif(gsd, F.lit(0.0))) / F.nullif(native_px, F.lit(0.0))
+    size = F.when(share.isNotNull(), native_px * F.least(share, F.lit(1.0)))
     return size if least is None else F.when(size >= least, size)
 
 

@@ -235,11 +235,11 @@ def q15_variant_mix(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- planning
 
-_CAMERAS_SQL = ", ".join(f"({k}, {c[1]}::DOUBLE, {c[2]}::DOUBLE)" for k, c in enumerate(flight.CAMERAS))
+_CAMERAS_SQL = ", ".join(f"({k}, '{c[0]}', {c[1]}::DOUBLE, {c[2]}::DOUBLE)" for k, c in enumerate(flight.CAMERAS))
 _DECISION_SQL = f"""
-WITH cam(camera, pitch, focal) AS (VALUES {_CAMERAS_SQL}), {fx.TELEMETRY_SQL},
-i AS (SELECT event_id, k, pitch, focal, CASE WHEN kind = 'altitude' THEN value END AS altitude, CASE WHEN kind = 'gsd' THEN value END AS gsd0, CASE WHEN k % 11 = 0 THEN k * 60 END AS forced, CASE WHEN k % 3 = 0 THEN 18.2::DOUBLE END AS max_len FROM e JOIN cam ON e.camera = cam.camera),
-g AS (SELECT *, coalesce(gsd0, (pitch * 1e-6::DOUBLE) * altitude / (focal * 1e-3::DOUBLE)) AS gsd, CASE WHEN gsd0 IS NOT NULL THEN 'user_gsd' WHEN altitude IS NOT NULL THEN 'camera+altitude' END AS src FROM i),
+WITH cam(camera, name, pitch, focal) AS (VALUES {_CAMERAS_SQL}), {fx.TELEMETRY_SQL},
+i AS (SELECT event_id, k, pitch, focal, CASE WHEN kind = 'altitude' THEN value END AS altitude, CASE WHEN kind = 'gsd' THEN nullif(value, 0) END AS gsd0, CASE WHEN k % 11 = 0 THEN k * 60 END AS forced, CASE WHEN k % 3 = 0 THEN 18.2::DOUBLE END AS max_len FROM e JOIN cam ON e.camera = cam.camera),
+g AS (SELECT *, coalesce(gsd0, nullif((pitch * 1e-6::DOUBLE) * altitude / (focal * 1e-3::DOUBLE), 0)) AS gsd, CASE WHEN gsd0 IS NOT NULL THEN 'user_gsd' WHEN altitude IS NOT NULL THEN 'camera+altitude' END AS src FROM i),
 a AS (SELECT *, 3.0::DOUBLE / gsd AS animal, (3.0::DOUBLE / gsd) / (8192::DOUBLE / 1024) AS apparent FROM g),
 m AS (SELECT *, CASE WHEN forced IS NOT NULL THEN 'sahi' WHEN gsd IS NULL THEN 'blind_sweep' WHEN apparent >= 45 THEN 'plain' ELSE 'sahi' END AS mode FROM a),
 s AS (SELECT *, CASE WHEN forced IS NOT NULL THEN greatest(512, least(forced, 8192)) WHEN mode <> 'sahi' THEN NULL
@@ -248,13 +248,13 @@ s AS (SELECT *, CASE WHEN forced IS NOT NULL THEN greatest(512, least(forced, 81
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
-    cams = spark.createDataFrame([(k, c[1], c[2]) for k, c in enumerate(flight.CAMERAS)], "cam int, pitch double, focal double")
-    e = fx.telemetry(spark, d).join(F.broadcast(cams), F.col("camera") == F.col("cam"))  # four rows
+    keys = F.array(*[F.lit(c[0]) for c in flight.CAMERAS])
+    e = flight.with_camera(fx.telemetry(spark, d).withColumn("camera", F.get(keys, F.col("camera"))))
     k = F.col("k")
     decision = flight.slice_decision(
         F.lit(8192), F.lit(5460),
         given_gsd=F.when(F.col("kind") == "gsd", F.col("value")), altitude_m=F.when(F.col("kind") == "altitude", F.col("value")),
-        camera_pitch_um=F.col("pitch"), camera_focal_mm=F.col("focal"), force_slice=F.when(k % 11 == 0, k * 60), max_len_m=F.when(k % 3 == 0, F.lit(18.2)),
+        camera_pitch_um=F.col("pitch_um"), camera_focal_mm=F.col("focal_mm"), force_slice=F.when(k % 11 == 0, k * 60), max_len_m=F.when(k % 3 == 0, F.lit(18.2)),
     )
     return e.select("event_id", decision.alias("d"))
 
