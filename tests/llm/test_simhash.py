@@ -92,3 +92,35 @@ def test_components_of_a_path(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
     roots = {r.node: r.root for r in components(path).collect()}
     assert roots == {k: 0 for k in range(1, 201)} | {501: 500}
+
+
+def test_every_variant_reaches_its_bucket():
+    """Against all variants listed one by one, from few buckets to many more than fingerprints."""
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    near, pairs = simhash._masks()
+    for log_buckets in (6, 10, 17, 20):
+        ball = simhash._Ball(log_buckets)
+        want = {(int(b), int(f)) for f in fps for b in ball.bucket(f ^ (near if int(f).bit_count() % 2 else np.r_[near, pairs]))}
+        found = [(int(b), int(f)) for buckets, cuts, own in simhash.scattered(fps, ball, log_buckets) for k, b in enumerate(buckets) for f in own[cuts[k] : cuts[k + 1]]]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_links_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_BUCKET_VARIANTS", 16)
+    monkeypatch.setattr(simhash, "_PAIRS", 4096)
+    rng = np.random.default_rng(4)
+    fps = list(rng.integers(0, 2**64, 60, dtype=np.uint64))
+    for _ in range(150):  # chains of up to three flipped bits
+        fps.append(fps[rng.integers(len(fps))] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, rng.integers(1, 4), dtype=np.uint64)))
+    fps = np.unique(np.array(fps, np.uint64))
+    frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in components(simhash.links(frame)).collect()}
+    own = fps.view(np.int64).tolist()
+    groups = {}
+    for f, c in zip(own, brute_components(fps), strict=True):
+        groups.setdefault(c, set()).add(f)
+    found = {}
+    for f in own:
+        found.setdefault(roots.get(f, f), set()).add(f)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))

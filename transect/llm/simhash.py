@@ -33,6 +33,7 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 _LEAST_BUCKETS, _BUCKET_VARIANTS = 64, 4 << 20
+_PAIRS = 8 << 20  # of fingerprint and bucket, sorted at once
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -124,9 +125,10 @@ class _Ball:
             for bit in range(8):
                 self.by_byte[byte] ^= np.where(np.arange(256) >> bit & 1, int(columns[8 * byte + bit]), 0)
         near, pairs = _masks()
-        self.near, self.pairs = self._grouped(near, 1 << log_buckets), self._grouped(pairs, 1 << log_buckets)
-        self.of_even = np.array([bool(len(a) or len(b)) for a, b in zip(self.near, self.pairs, strict=True)])
-        self.of_odd = np.array([bool(len(a)) for a in self.near])
+        self.near, self.pairs = self._grouped(near), self._grouped(pairs)
+        #: what a fingerprint's own bucket is to be combined with, for odd fingerprints and for even ones: 65 and 1,057 at most
+        self.of_odd = np.array(sorted(self.near), np.int64)
+        self.of_even = np.array(sorted({*self.near, *self.pairs}), np.int64)
 
     def bucket(self, fps: np.ndarray) -> np.ndarray:
         octets = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8)
@@ -135,36 +137,56 @@ class _Ball:
             out ^= self.by_byte[byte][octets[:, byte]]
         return out
 
-    def _grouped(self, masks: np.ndarray, buckets: int) -> list[np.ndarray]:
+    def _grouped(self, masks: np.ndarray) -> dict[int, np.ndarray]:
         at = self.bucket(masks)
-        order = np.argsort(at, kind="stable")
-        return np.split(masks[order], np.searchsorted(at[order], np.arange(1, buckets)))
+        return {int(v): masks[at == v] for v in np.unique(at)}
+
+
+_NONE = np.empty(0, np.uint64)
+
+
+def _by_bucket(bucket: np.ndarray, log_buckets: int) -> np.ndarray:
+    """The order of the buckets, by 16 bits at a time, which numpy sorts in linear time."""
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    for shift in range(16, log_buckets, 16):
+        order = order[np.argsort((bucket[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
+def scattered(fps: np.ndarray, ball: _Ball, log_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(buckets, where each begins and the last ends, fingerprints): every fingerprint once in each bucket that gets a variant of it.
+
+    The work is the number of such pairs, 561 a fingerprint at most on average, whatever the number of buckets.
+    """
+    home, odd = ball.bucket(fps), (np.bitwise_count(fps) & 1).astype(bool)
+    for own, place, masks in ((fps[odd], home[odd], ball.of_odd), (fps[~odd], home[~odd], ball.of_even)):
+        step = max(1, _PAIRS // len(masks))
+        for k in range(0, len(own), step):
+            bucket = (place[k : k + step, None] ^ masks).ravel().astype(np.int32)
+            order = _by_bucket(bucket, log_buckets)
+            bucket = bucket[order]
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            yield bucket[first], np.r_[first, len(bucket)], own[k : k + step][order // len(masks)]
 
 
 def _scatter(log_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ball, buckets = _Ball(log_buckets), 1 << log_buckets
+        ball = _Ball(log_buckets)
         held: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             fps = np.concatenate(held).view(np.uint64)
             held.clear()
-            home, odd = ball.bucket(fps), (np.bitwise_count(fps) & 1).astype(bool)
-            ids, blobs = [], []
-            for bucket in range(buckets):
-                group = home ^ bucket
-                own = fps[np.where(odd, ball.of_odd[group], ball.of_even[group])]
-                if len(own):
-                    ids.append(bucket)
-                    blobs.append(own.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "fps"])
+            for buckets, cuts, own in scattered(fps, ball, log_buckets):
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), len(buckets), [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(own)])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), blobs], ["bucket", "fps"])
 
         for batch in batches:
             held.append(batch.column(0).to_numpy(zero_copy_only=False))
             if sum(map(len, held)) >= 1 << 17:
-                yield flush()
+                yield from flush()
         if sum(map(len, held)):
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -194,7 +216,8 @@ def _bucket_links(fps: np.ndarray, bucket: int, ball: _Ball) -> tuple[np.ndarray
     variants, owners, firsts = [], [], []
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for first, last in zip(cuts, np.r_[cuts[1:], len(fps)], strict=True):
-        for masks, own, near in ((ball.near[group[first]], fps[first:last], True), (ball.pairs[group[first]], fps[first:last][~odd[first:last]], False)):
+        g = int(group[first])
+        for masks, own, near in ((ball.near.get(g, _NONE), fps[first:last], True), (ball.pairs.get(g, _NONE), fps[first:last][~odd[first:last]], False)):
             if len(masks) and len(own):
                 variants.append((own[:, None] ^ masks).ravel())
                 owners.append(np.repeat(own, len(masks)))
@@ -249,7 +272,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, text_key, fp, component_id), one row for each row of docs.
 
     component_id is the smallest doc_id that links reach, through any chain. A row without an id is linked like any
-    other, and gets the smallest id of its component, or null where no row of it has one. Repeated rows are repeated.
+    other, and gets the smallest id of its component, or null where no row of it has one. Repeated rows are repeated;
+    null, empty and wordless texts share the fingerprint zero; an empty table gives an empty table.
     """
     prepare(docs.sparkSession)
     marked = fingerprints(docs, doc_id, text, shingle).checkpoint()
@@ -257,7 +281,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # signed order differs from the order of the bits, but any root will do
     roots = components(links(distinct.select("fp")))
     joined = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = joined.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
+    # checkpointed, so that both sides of the join are exchanges, which adaptive execution can split where a component is large
+    ids = joined.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id")).checkpoint()
     named = joined.join(ids, F.col("root") == F.col("of")).select(F.col("fp").alias("f"), "component_id")
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "text_key", "fp", "component_id")
 
