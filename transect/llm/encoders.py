@@ -11,7 +11,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-_CACHED_UNITS, _LONG_UNIT = 600_000, 200
+_CACHED_UNITS, _LONG_UNIT, _GROUP_CHARS = 600_000, 200, 1 << 15
 _MARKS = ".,;:!?#$%&*)]\""
 _loaded: dict[tuple, UnitEncoder] = {}
 
@@ -71,73 +71,104 @@ class UnitEncoder:
                 return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)]
         return self.whole([prefix + u for u in units])
 
-    def _known(self, cache: dict[str, bytes], units: list[str], prefix: str) -> list[str]:
+    def _known(self, cache: dict[str, bytes], units: set[str], prefix: str) -> list[str]:
         """Sees to it that cache has all units; returns those that aren't to stay in it.
 
         Letters or digits and the marks after them are different pieces, so a word before marks is encoded as the word itself.
         """
-        new = set(units).difference(cache)
-        if not new:
-            return []
         if len(cache) > _CACHED_UNITS:
             for u in list(cache)[_CACHED_UNITS // 2 :]:  # what came first is mostly what comes often
                 del cache[u]
-            new = set(units).difference(cache)
-        joined, needed = [], set()
+        new = units.difference(cache)
+        if not new:
+            return []
+        joined, needed, long = [], [], []
         for u in new:
-            word = u.rstrip(_MARKS)
-            if word and len(word) < len(u) and word[-1].isalnum():
-                joined.append((u, word, u[len(word) :]))
-                if word not in cache:
-                    needed.add(word)
+            if len(u) > _LONG_UNIT:
+                long.append(u)
+            if u[-1:] in _MARKS and (word := u.rstrip(_MARKS)) and word[-1].isalnum():
+                joined.append((u, word))
+                if word not in cache and word not in new:
+                    needed.append(word)
+                    if len(word) > _LONG_UNIT:
+                        long.append(word)
             else:
-                needed.add(u)
-        needed = list(needed)
+                needed.append(u)
+        needed = list(dict.fromkeys(needed))
         cache.update(zip(needed, self._apart(needed, prefix), strict=True))
         tails = self.tails
-        for u, word, tail in joined:
+        for u, word in joined:
+            tail = u[len(word) :]
             if tail not in tails:
                 if len(tails) > 50_000:
                     tails.clear()
                 tails[tail] = self.whole([tail])[0]
             cache[u] = cache[word] + tails[tail]
-        return [u for u in new.union(needed) if len(u) > _LONG_UNIT]
+        return long
 
     def encode(self, text: str) -> bytes:
-        return self._by_spaces(text) if self.byte_level else self._by_words(text)
-
-    def _by_words(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Texts are taken together up to some size, so that what is new in them is encoded in one call."""
+        one = self._by_spaces if self.byte_level else self._by_words
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > _GROUP_CHARS:
+                out += one(group)
+                group, size = [], 0
+        return out + one(group) if group else out
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         """For vocabularies that drop white space: no piece spans a space or a line end."""
-        units = text.replace("\n", " ").split(" ")
-        long = self._known(self.first, units, "")
-        out = b"".join(map(self.first.__getitem__, units))
-        for u in long:
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        long = self._known(self.first, set().union(*cut), "")
+        get = self.first.__getitem__
+        out = [b"".join(map(get, units)) for units in cut]
+        for u in dict.fromkeys(long):
             del self.first[u]
         return out
 
-    def _by_spaces(self, text: str) -> bytes:
+    def _by_spaces(self, texts: list[str]) -> list[bytes]:
         """For byte-level vocabularies: a piece begins at every space or line end that has no white space beside it.
 
         Texts with any other white space, or with white space next to white space or at an end, are encoded whole: their
         units joined by single spaces are not the text.
         """
-        flat = text.replace("\n", " ")
-        units = flat.split()
-        if not units or " ".join(units) != flat or not text.isascii() and self._invisible.search(text):
-            return self.whole([text])[0]
-        at, heads = 0, []  # units that begin a line
-        for line in text.split("\n"):
-            heads.append((at, units[at]))
-            units[at] = ""
-            at += line.count(" ") + 1
-        long = self._known(self.first, [h for _, h in heads], ""), self._known(self.later, units, " ")
-        out = list(map(self.later.__getitem__, units))
-        for k, (at, head) in enumerate(heads):
-            out[at] = self.line_end + self.first[head] if k else self.first[head]
+        cut: list[list[str] | None] = []
+        for text in texts:
+            flat = text.replace("\n", " ")
+            units = flat.split()
+            odd = not units or " ".join(units) != flat or not text.isascii() and self._invisible.search(text)
+            cut.append(None if odd else units)
+        # units that begin a line, and where
+        heads: list[list[tuple[int, str]]] = []
+        for text, units in zip(texts, cut, strict=True):
+            own = []
+            if units is not None:
+                at = 0
+                for line in text.split("\n"):
+                    own.append((at, units[at]))
+                    units[at] = ""
+                    at += line.count(" ") + 1
+            heads.append(own)
+        long = self._known(self.first, {h for own in heads for _, h in own}, ""), self._known(self.later, set().union(*[u for u in cut if u is not None]), " ")
+        odd = iter(self.whole([t for t, units in zip(texts, cut, strict=True) if units is None]))
+        get, out = self.later.__getitem__, []
+        for units, own in zip(cut, heads, strict=True):
+            if units is None:
+                out.append(next(odd))
+                continue
+            parts = list(map(get, units))
+            for k, (at, head) in enumerate(own):
+                parts[at] = self.line_end + self.first[head] if k else self.first[head]
+            out.append(b"".join(parts))
         for cache, found in zip((self.first, self.later), long, strict=True):
-            for u in found:
+            for u in dict.fromkeys(found):
                 del cache[u]
-        return b"".join(out)
+        return out
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -84,8 +84,8 @@ def _compress(path: str, byte_level: bool, end_id: int, dictionary, bounds: np.n
         press = _compressor(dictionary.value)
         for batch in batches:
             ids, frames, sizes = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), [], []  # nulls in the first shard
-            for t in batch.column(2).to_pylist():
-                plain = _serialized(encoder.encode(t or ""), end_id, width)
+            for found in encoder.encode_all([t or "" for t in batch.column(2).to_pylist()]):
+                plain = _serialized(found, end_id, width)
                 sizes.append(len(plain) // width)
                 frames.append(press.compress(plain))
             shard = np.searchsorted(bounds, ids, "left").astype(np.int32)
