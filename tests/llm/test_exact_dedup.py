@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, awkward_rows, empty, key
@@ -27,15 +27,23 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, found.collect()), key=key) == brute(awkward_rows())
 
 
-def test_a_filter_that_is_too_small_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(np, "log2", lambda x: np.float64(6))  # 64 words for any number of rows
-    found = exact_dedup.exact_groups(exact_dedup.digests(awkward(spark))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    assert sorted(map(tuple, found.collect()), key=key) == brute(awkward_rows())
+def test_a_filter_of_several_ranges_changes_nothing(spark):
+    assert exact_dedup.filter_size(10_000, 1 / 1024) == (7, 5)
+    small = 64 * 8 / (1 << 20)  # 64 words at once, 256 rows' worth
+    docs = awkward(spark).union(awkward(spark)).union(awkward(spark)).union(awkward(spark))
+    assert exact_dedup.filter_size(docs.count(), small)[1] >= 1
+    found = exact_dedup.exact_groups(exact_dedup.digests(docs), small).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(map(tuple, found.collect()), key=key) == brute(awkward_rows() * 4)
 
 
-def test_filter_passes_most_unique_rows(spark):
+@pytest.mark.parametrize("max_filter_mb", [256, 1 / 128])
+def test_filter_passes_most_unique_rows(spark, max_filter_mb):
+    """With a filter of one range, and of eight ranges of 8 KB."""
     hashes = spark.range(20_000).select(F.xxhash64(F.col("id") % 19_000).alias("h"))
-    flagged = hashes.withColumn("maybe", exact_dedup.maybe_repeated(hashes, F.col("h"), 20_000)).filter("maybe")
+    assert exact_dedup.filter_size(20_000, max_filter_mb)[1] == (0 if max_filter_mb == 256 else 3)
+    flagged = exact_dedup.maybe_repeated(hashes, "h", 20_000, max_filter_mb)
+    assert flagged.count() == 20_000
+    flagged = flagged.filter("maybe")
     assert 2_000 <= flagged.count() <= 2_600
     assert flagged.groupBy("h").count().filter("count = 2").count() == 1_000
 

@@ -4,8 +4,9 @@ Pass 1 sets, for every text hash, a few bits in one 64-bit word of a filter that
 whether one or more rows set it. Pass 2 looks every row up: only rows all of whose bits were set more than
 once may be repeated, and only those rows shuffle; the rest pass straight through as groups of one.
 
-The filter has 16 bits a row up to ``max_filter_mb``, which bounds what is merged and broadcast. Beyond that
-size more unique rows take the shuffle too, and no result changes.
+The filter has 16 bits for each row. What is merged and broadcast at once is bounded by ``max_filter_mb``: a filter that is
+larger is built and asked one range of hashes after the other, so its bits grow with the rows and no unique row shuffles for
+want of them (10^10 rows take 80 passes over their 64-bit hashes and digests, less than a tenth of the texts of as many).
 Groups are summed before the shuffle; the join back is one that adaptive execution splits when a group is hot.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-MAX_FILTER_MB = 64
+MAX_FILTER_MB = 256
 _SEGMENTS = 64
 
 
@@ -33,18 +34,18 @@ def normalised(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
 
 
-def _cells(hashes: np.ndarray, log_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter word of each hash, and its bits in that word."""
+def _cells(hashes: np.ndarray, log_words: int, log_ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter word of each hash, after the bits that are its range, and its bits in that word."""
     one, low = np.uint64(1), np.uint64(63)
     bits = np.zeros(len(hashes), np.uint64)
     for shift in (0, 6, 12, 18):
         bits |= one << ((hashes >> np.uint64(shift)) & low)
-    return (hashes >> np.uint64(64 - log_words)).astype(np.int64), bits
+    return ((hashes << np.uint64(log_ranges)) >> np.uint64(64 - log_words)).astype(np.int64), bits
 
 
-def _partial(hashes: np.ndarray, log_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _partial(hashes: np.ndarray, log_words: int, log_ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each touched word: the bits set by any row, and those set by more than one."""
-    cell, bits = _cells(hashes, log_words)
+    cell, bits = _cells(hashes, log_words, log_ranges)
     order = np.argsort(cell, kind="stable")
     cell, bits = cell[order], bits[order]
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -63,14 +64,14 @@ def _partial(hashes: np.ndarray, log_words: int) -> tuple[np.ndarray, np.ndarray
     return cell[first], once, twice
 
 
-def _build(log_words: int, chunk: int = 1 << 17):
+def _build(log_words: int, log_ranges: int, chunk: int = 1 << 17):
     per_segment = max(1, (1 << log_words) // _SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            cell, once, twice = _partial(np.concatenate(held).view(np.uint64), log_words)
+            cell, once, twice = _partial(np.concatenate(held).view(np.uint64), log_words, log_ranges)
             held.clear()
             cuts = np.flatnonzero(np.diff(cell // per_segment)) + 1
             parts = zip(np.split(cell, cuts), np.split(once, cuts), np.split(twice, cuts), strict=True)
@@ -106,10 +107,16 @@ def _merge(log_words: int):
     return run
 
 
-def repeat_filter(hashes: DataFrame, rows: int, max_filter_mb: int = MAX_FILTER_MB) -> np.ndarray:
-    """The words of the filter for a DataFrame with one column of 64-bit hashes: bits that more than one row set."""
-    log_words = max(6, min(int(np.ceil(np.log2(max(rows, 1) * 16 / 64 + 1))), int(np.log2(max_filter_mb * (1 << 20) / 8))))
-    cells = hashes.mapInArrow(_build(log_words), "segment int, cells binary")
+def filter_size(rows: int, max_filter_mb: float = MAX_FILTER_MB) -> tuple[int, int]:
+    """(log2 of the words of a range's filter, log2 of the number of ranges) for so many rows, at 16 bits each."""
+    whole = max(6, int(np.ceil(np.log2(max(rows, 1) * 16 / 64 + 1))))
+    at_once = max(6, int(np.log2(max_filter_mb * (1 << 20) / 8)))
+    return min(whole, at_once), max(0, whole - at_once)
+
+
+def repeat_filter(hashes: DataFrame, log_words: int, log_ranges: int) -> np.ndarray:
+    """The words of the filter for a DataFrame with one column of 64-bit hashes of one range: bits that more than one row set."""
+    cells = hashes.mapInArrow(_build(log_words, log_ranges), "segment int, cells binary")
     merged = cells.repartition(min(_SEGMENTS, int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "segment").mapInArrow(_merge(log_words), "segment int, twice binary")
     words = np.zeros(1 << log_words, np.uint64)
     per_segment = max(1, (1 << log_words) // _SEGMENTS)
@@ -118,17 +125,36 @@ def repeat_filter(hashes: DataFrame, rows: int, max_filter_mb: int = MAX_FILTER_
     return words
 
 
-def maybe_repeated(hashes: DataFrame, column: Column, rows: int, max_filter_mb: int = MAX_FILTER_MB) -> Column:
-    """A boolean column: false only where a row's hash (``column``) occurs once in ``hashes``."""
-    words = hashes.sparkSession.sparkContext.broadcast(repeat_filter(hashes, rows, max_filter_mb))
-
+def _looked_up(words, log_ranges: int):
     @F.pandas_udf("boolean")
     def look_up(h: pd.Series) -> pd.Series:
         table = words.value
-        cell, bits = _cells(h.to_numpy(np.int64).view(np.uint64), len(table).bit_length() - 1)
+        cell, bits = _cells(h.to_numpy(np.int64).view(np.uint64), len(table).bit_length() - 1, log_ranges)
         return pd.Series((table[cell] & bits) == bits)
 
-    return look_up(column)
+    return look_up
+
+
+def maybe_repeated(rows: DataFrame, column: str, count: int, max_filter_mb: float = MAX_FILTER_MB, name: str = "maybe") -> DataFrame:
+    """rows with a boolean column ``name``: false only where a row's hash (``column``, a long) occurs once in rows.
+
+    Where the filter takes several ranges, the rows of each are checkpointed and its filter is dropped before the next.
+    """
+    context = rows.sparkSession.sparkContext
+    log_words, log_ranges = filter_size(count, max_filter_mb)
+    parts = []
+    for r in range(1 << log_ranges):
+        own = rows.filter(F.shiftrightunsigned(F.col(column), 64 - log_ranges) == r) if log_ranges else rows
+        words = context.broadcast(repeat_filter(own.select(column), log_words, log_ranges))
+        marked = own.withColumn(name, _looked_up(words, log_ranges)(column))
+        if log_ranges:
+            marked = marked.checkpoint()
+            words.destroy()
+        parts.append(marked)
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,7 +162,7 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(doc_id).alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256"))
 
 
-def exact_groups(rows: DataFrame, max_filter_mb: int = MAX_FILTER_MB) -> DataFrame:
+def exact_groups(rows: DataFrame, max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
     """rows (doc_id, text_sha256, and more) with keep_id, group_size and kept.
 
     Of rows with one digest, the one with the smallest doc_id is kept (a null id comes last; of repeated rows with
@@ -146,7 +172,7 @@ def exact_groups(rows: DataFrame, max_filter_mb: int = MAX_FILTER_MB) -> DataFra
     body = F.struct("*")
     keyed = rows.select(body.alias("row")).select("row", F.col("row.doc_id").alias("id"), F.col("row.text_sha256").alias("sha"))
     keyed = keyed.withColumn("h", F.xxhash64("sha"))
-    flagged = keyed.withColumn("maybe", maybe_repeated(keyed.select("h"), F.col("h"), rows.count(), max_filter_mb))
+    flagged = maybe_repeated(keyed, "h", rows.count(), max_filter_mb)
     lone = flagged.filter(~F.col("maybe")).select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     # repeated rows are told apart by a number, which the checkpoint fixes
     several = flagged.filter("maybe").select("row", "sha", F.struct(F.col("id").isNull(), "id", F.monotonically_increasing_id()).alias("place")).checkpoint()
@@ -157,7 +183,7 @@ def exact_groups(rows: DataFrame, max_filter_mb: int = MAX_FILTER_MB) -> DataFra
     return lone.unionByName(joined).select(*[F.col(f"row.`{c}`") for c in rows.columns if c.lower() not in new], *new)
 
 
-def first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_mb: int = MAX_FILTER_MB) -> DataFrame:
+def first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
     """The rows of docs that stay, with the columns of docs and no other."""
     keyed = docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256"))
     return exact_groups(keyed, max_filter_mb).filter("kept").select("doc.*")
