@@ -2,6 +2,8 @@ import hashlib
 import math
 from collections import Counter
 
+import pytest
+
 from tests.llm.helpers import awkward, awkward_rows, empty
 from transect.llm import mixing
 
@@ -28,12 +30,19 @@ def brute_counts(rows, seed=mixing.SEED):
     return +out
 
 
-def test_against_inversion_in_python(spark):
+@pytest.mark.parametrize("max_broadcast_mb", [64, 0])
+def test_against_inversion_in_python(spark, max_broadcast_mb):
     rows = [(r[0], r[3]) for r in awkward_rows()]
-    found = Counter((r.doc_id, r.source) for r in mixing.mix_sources(awkward(spark)).collect())
+    found = Counter((r.doc_id, r.source) for r in mixing.mix_sources(awkward(spark), max_broadcast_mb=max_broadcast_mb).collect())
     assert found == brute_counts(rows)
 
 
+def test_texts_are_shuffled_once(spark, smallest):
+    docs = spark.read.parquet(f"{smallest}/documents.parquet")
+    plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
 def test_names_of_before_are_replaced(spark):
     out = mixing.mix_sources(awkward(spark))
     assert sorted(out.columns) == sorted({*awkward(spark).columns, "rate", "copies", "copy", "shuffle_key"})

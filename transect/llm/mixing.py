@@ -7,9 +7,11 @@ hashed number of its own, as a sum of Poisson numbers is one. Documents are expl
 copies are dealt out by a hash and sorted by it: one uniformly random order over all partitions, without ranges
 to sample or rows to gather.
 
-The per-source table is joined (broadcast only while it is below Spark's threshold; a hot source is then split
-by adaptive execution). Repeated rows of one doc_id get equal counts; a null source is a source of its own;
-null ids hash as the text "null"; an empty table gives an empty table.
+The per-source table (a row of under 1 KB for each source) is broadcast while it takes ``MAX_BROADCAST_MB`` at most, so that texts
+are shuffled once, by the order of the copies. Beyond that, counts are drawn for pairs of doc_id and source alone, joined
+by source (pairs are small, and adaptive execution splits a hot source), and go to the documents by doc_id.
+Repeated rows of one doc_id get equal counts; a null source is a source of its own; null ids hash as the text "null";
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepare
+
 SEED = 17
 PART = 16.0
+MAX_BROADCAST_MB = 64
 TERMS = 80  # P(X > 80) is below 1e-28 at mean 16
 _FRESH = ("rate", "copies", "copy", "shuffle_key")
 
@@ -50,21 +55,33 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
     return rated.select("of", "rate", "parts", grown.alias("cdf"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs repeated by their Poisson counts in one random order, with rate, copies, copy (from 1) and shuffle_key.
-
-    Columns of these names that docs had before are replaced.
-    """
-    key = F.coalesce(F.col(f"doc.`{doc_id}`").cast("string"), F.lit("null"))
-    rows = docs.select(F.struct("*").alias("doc"))
-    dealt = rows.join(rates(docs, source, weights), F.col(f"doc.`{source}`").eqNullSafe(F.col("of")))
+def _drawn(key: Column, seed: int) -> Column:
+    """The copies of a row with its source's parts and cdf."""
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
         lambda acc, j: acc + F.size(F.filter(F.col("cdf"), lambda c: uniform(F.lit(seed), key, j) > c)),
     )
-    dealt = dealt.withColumn("copies", F.when(F.col("parts") > 0, drawn).otherwise(0)).filter("copies > 0")
-    dealt = dealt.select("doc", "rate", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return F.when(F.col("parts") > 0, drawn).otherwise(0)
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, doc_id: str = "doc_id", source: str = "source", max_broadcast_mb: float = MAX_BROADCAST_MB) -> DataFrame:
+    """docs repeated by their Poisson counts in one random order, with rate, copies, copy (from 1) and shuffle_key.
+
+    Columns of these names that docs had before are replaced.
+    """
+    prepare(docs.sparkSession)
+    rated = rates(docs, source, weights).checkpoint()
+    mb = rated.agg(F.sum(F.coalesce(F.octet_length(F.col("of").cast("string")), F.lit(0)) + 8 * (TERMS + 8))).first()[0] or 0
+    key = F.coalesce(F.col(f"doc.`{doc_id}`").cast("string"), F.lit("null"))
+    rows, of = docs.select(F.struct("*").alias("doc")), F.col(f"doc.`{source}`")
+    if mb <= max_broadcast_mb * (1 << 20):
+        dealt = rows.join(F.broadcast(rated), of.eqNullSafe(F.col("of"))).withColumn("copies", _drawn(key, seed))
+    else:
+        pairs = rows.select(key.alias("_key"), of.alias("_source")).distinct().join(rated.hint("merge"), F.col("_source").eqNullSafe(F.col("of")))
+        counted = pairs.select("_key", "_source", "rate", _drawn(F.col("_key"), seed).alias("copies")).filter("copies > 0")
+        dealt = rows.join(counted.hint("merge"), (key == F.col("_key")) & of.eqNullSafe(F.col("_source")))
+    dealt = dealt.filter("copies > 0").select("doc", "rate", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     dealt = dealt.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), key, "copy")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
