@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ID_SENTINEL = (1 << 63) - 1  # stands for a null id, after every other id
 SLICE_BYTES = 2 << 20  # text handled at once by the numpy code
@@ -45,6 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_few(rows: DataFrame, few: DataFrame, on: str, most: int) -> DataFrame:
+    """rows joined with a table of distinct keys, which is broadcast where it has ``most`` rows at most, as its caller's sample should."""
+    few = few.checkpoint()
+    return rows.join(F.broadcast(few) if few.count() <= most else few, on)
+
+
 # ---------------------------------------------------------------- numpy over Arrow text
 
 

@@ -4,6 +4,9 @@ Statistics of whole texts are column expressions. On a bounded sample of labelle
 doc_id) small boosted trees are grown; each path from a root is a rule, a conjunction of comparisons; a logistic
 regression with an L1 penalty gives most rules weight zero. What is left compiles into one column expression, so scoring
 is a projection over the documents.
+
+Of labels that contradict each other for one doc_id, the mean counts, 0.5 or more as good; rows of one doc_id are samples of
+their own; null texts are empty, and score by their statistics like any other; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import prepare, with_few
+
 MAX_ROWS = 12_000
 THRESHOLD = 0.5
 _TREES, _DEPTH, _BINS, _SHRINK, _LEAST = 24, 3, 32, 0.3, 10
@@ -170,13 +175,15 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", usable: Column | None = None, max_rows: int = MAX_ROWS) -> Ensemble:
     """Learns from at most max_rows (give or take chance) labelled rows; ``usable`` says of a doc_id whether it may be learnt from."""
-    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").filter(usable if usable is not None else F.lit(True)).dropDuplicates(["doc_id"])
+    prepare(docs.sparkSession)
+    known = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").filter(usable if usable is not None else F.lit(True))
+    known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
     total = known.count()
     spot = F.xxhash64(F.col("doc_id"), F.lit("sample")) / F.lit(2.0**64) + 0.5
     chosen = known.filter(spot < F.lit(max_rows / max(total, 1)))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id")
+    rows = with_few(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), chosen, "doc_id", 2 * max_rows)
     stats = statistics(F.col("text"))
-    found = np.array(sorted(tuple(r) for r in rows.select(F.col("doc_id").cast("double"), "y", *[stats[n].cast("double").alias(n) for n in NAMES]).limit(2 * max_rows).collect()), float).reshape(-1, len(NAMES) + 2)
+    found = np.array(sorted(tuple(r) for r in rows.select(F.col("doc_id").cast("double"), "y", *[stats[n].cast("double").alias(n) for n in NAMES]).orderBy(F.xxhash64("doc_id"), *NAMES).limit(2 * max_rows).collect()), float).reshape(-1, len(NAMES) + 2)
     return fit(found[:, 2:], found[:, 1])
 
 

@@ -6,11 +6,19 @@ With the class prior p, the risk of a linear classifier is
     p R+(toxic as toxic)  +  max(0, R-(unlabelled as clean) - p R-(toxic as clean)),
 
 and where the second term turns negative, its gradient is followed upwards instead, so that the classifier doesn't
-overfit the unlabelled texts. Features are hashed words and beginnings of words (4 to 8 bytes), by
-presence, and for beginnings also whether they occur at least twice and three times: one may be chance in a long text.
+overfit the unlabelled texts. Features are hashed words and beginnings of words (4 to 6 bytes), by
+presence, and for beginnings also whether they occur at least twice: one may be chance in a long text. Words are lower-cased
+(A-Z) and end at punctuation (ASCII) as they do at white space.
 
 Bounded by parameters: the positives and unlabelled texts to learn from (``MAX_POSITIVE``, ``MAX_UNLABELLED``, chosen
 by a hash of doc_id) and the features with a weight (``MAX_FEATURES``). Scoring reads every whole text.
+
+These features and the least lift and z-score of a feature were chosen by the mean AUC, then the share found, over three folds
+of rows that may be learnt from, without the held-out ones.
+
+A document that several labels call toxic counts once, and is toxic if one of them says so; rows of one doc_id are samples of
+their own; empty and null texts have no feature and get the bias alone; equal scores need no order. Where more rows than
+twice the bounds come together (many rows of one id), those of the smallest hashes stay.
 """
 
 from __future__ import annotations
@@ -23,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, prepare, text_slices, word_spans
+from .common import hash_words, mix, prepare, text_slices, with_few, word_spans
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3_000, 9_000, 1_024
 LEAST_LIFT, LEAST_Z = 5.0, 5.0
 THRESHOLD = 0.3
-_PREFIXES, _TIMES = (4, 5, 6, 7, 8), (2, 3)
+_PREFIXES, _TIMES = (4, 5, 6), (2,)
 _LOG_SPACE = 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32  # punctuation
 
 
 def _features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, doc_id
     spot = (F.xxhash64(F.col("doc_id"), F.lit("sample")) / F.lit(2.0**64)) + 0.5  # in [0, 1)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL").filter(usable)
     positives = known.filter("toxic = 1").filter(spot < F.lit(MAX_POSITIVE / n_positive)).select("doc_id").distinct()
-    chosen = rows.join(positives, "doc_id").select(F.lit(1).alias("kind"), "text")
+    chosen = with_few(rows, positives, "doc_id", 2 * MAX_POSITIVE).select(F.lit(1).alias("kind"), "text")
     others = rows.filter(spot < F.lit(MAX_UNLABELLED / n_docs)).select(F.lit(0).alias("kind"), "text")
-    found = chosen.union(others).mapInArrow(_feature_sets, "kind int, features binary").limit(2 * (MAX_POSITIVE + MAX_UNLABELLED)).collect()
+    features = chosen.union(others).mapInArrow(_feature_sets, "kind int, features binary")
+    found = features.orderBy(F.xxhash64("features"), "features", "kind").limit(2 * (MAX_POSITIVE + MAX_UNLABELLED)).collect()
     found = sorted((r.kind, bytes(r.features)) for r in found)  # the same order on every run
     positive, unlabelled = [f for k, f in found if k], [f for k, f in found if not k]
     if not positive or not unlabelled:
