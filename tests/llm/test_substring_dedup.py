@@ -21,17 +21,28 @@ def brute(rows, size=13):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("size", [13, 2, 5, 8])
+@pytest.mark.parametrize("size", [13, 2, 5, 8, 26, 30, 52])
 def test_against_brute_force(spark, size):
     found = sd.remove_repeats(awkward(spark), size=size)
     assert sorted(map(tuple, found.collect()), key=key) == brute(awkward_rows(), size)
 
 
-@pytest.mark.parametrize("flush", [1, 3_000])
-def test_driver_documents_in_small_chunks(spark, smallest, flush, monkeypatch):
+@pytest.mark.parametrize(("flush", "size"), [(1, 13), (3_000, 13), (1, 26), (3_000, 52)])
+def test_driver_documents_in_small_chunks(spark, smallest, flush, size, monkeypatch):
     monkeypatch.setattr(sd, "_FLUSH", flush)
     docs = spark.read.parquet(f"{smallest}/documents.parquet").select("doc_id", "text").repartition(5)
-    assert sorted(map(tuple, sd.remove_repeats(docs).collect()), key=key) == brute([tuple(r) for r in docs.collect()])
+    assert sorted(map(tuple, sd.remove_repeats(docs, size=size).collect()), key=key) == brute([tuple(r) for r in docs.collect()], size)
+
+
+def test_levels():
+    assert [sd.level_lengths(n) for n in (2, 5, 8, 13, 26, 52)] == [[1, 2], [3, 5], [4, 8], [7, 13], [7, 13, 26], [7, 13, 26, 52]]
+
+
+def test_texts_are_shuffled_once(spark, smallest):
+    found = sd.remove_repeats(spark.read.parquet(f"{smallest}/documents.parquet").select("doc_id", "text"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1
 
 
 def test_levels_end_at_the_longest_repeat(spark):

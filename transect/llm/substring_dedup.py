@@ -1,20 +1,29 @@
 """Removal of passages that an earlier document has, by level-wise doubling.
 
-Windows repeated at one length alone are extended: a window of 13 words is two overlapping windows of 7, and is only
-looked at where its 7-word part occurs in more than one document. ``repeat_levels`` goes on, 26, 52 and so on, until
-no candidate survives.
-
-The first two levels share one shuffle. Each 13-word window is filed under the smallest hash of its 7 seven-word
-windows, which equal windows have in common; consecutive windows mostly share it. A bucket drops every 7-word window
-that one document alone has, and compares the 13-word hashes of the rest. Hashes travel as packed arrays: 38 bits or
-more at 7 words (bucket and rest) and 32 more at 13. The number of buckets grows with the rows, so a bucket stays bounded.
-
-Before the shuffle each task settles what it can: of equal windows in one chunk, all but the smallest doc_id's are
-repeats already and only that document's are sent, so a passage that a third of all rows has reaches its bucket a few
-times per task and not once per row.
+To find repeated windows of 13 words, windows of 7 words are looked at first, and those repeated at that length alone are
+extended to 13 (a window of 13 is two overlapping windows of 7); for windows of 26 or 52 words the same goes on from 13,
+and ``repeat_levels`` goes on until no candidate survives. Of every level only the candidates of the level before are hashed
+and shuffled.
+
+At a level below the last, a window is represented by one of its parts: the part with the smallest hash, which equal windows
+have in common and consecutive windows mostly share. A run of such windows is one entry, filed in a bucket by the hash of
+its part; the bucket says which entries several documents have, and those go on. At the last level the hashes of the whole
+windows of what is left meet in buckets, and those that a document with a smaller id has are removed. The number of
+buckets grows with the rows, so a bucket stays bounded. The texts are shuffled once, by document; every level and the
+removal read them from there.
+
+Hashes travel as packed arrays, 32 bits of a bucket's own at the levels below the last, where a false one costs a candidate,
+and 64 bits at the last: two different windows are taken for equal with a chance of about 2^-64 for each pair of candidates
+in one bucket.
+
+Before each shuffle a task settles what it can: entries that several of its documents have go on at once and are sent for
+the other tasks once; at the last level, of equal windows in one task, all but the smallest doc_id's are repeats already and
+only that document's are sent. So a passage that a third of all rows has reaches its bucket a few times per task and not
+once per row.
 
 A document is doc_id and text: rows equal in both count as one, and are not each other's source. A null id comes
-after all others. Null and empty texts have no words and lose none.
+after all others (beside 2^63-1: neither is the other's source). Null and empty texts have no words and lose none; repeated
+rows are repeated; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,10 +39,19 @@ from pyspark.sql import functions as F
 from .common import ID_SENTINEL, doubled, hash_words, prepare, text_slices, word_spans
 
 WORDS = 13
-_LEAST_BUCKETS, _BUCKET_ROWS = 64, 4096
+_FIRST_WORDS = 7  # at most, at the first level
+_LEAST_BUCKETS, _BUCKET_ROWS = 32, 8192
 _FLUSH = 1_500_000  # windows
 
 
+def level_lengths(size: int) -> list[int]:
+    """Of the windows of the levels, the last being ``size``: each is twice the one before, or one less."""
+    out = [size]
+    while out[0] > _FIRST_WORDS or len(out) == 1:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
 def _windows(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all windows of ``size`` words, from windows of half the size, overlapping where size is odd."""
     if size == 1:
@@ -44,17 +62,27 @@ def _windows(words: np.ndarray, size: int) -> np.ndarray:
     return doubled(part[: len(part) - step], part[step:]) if len(part) > step else np.empty(0, np.uint64)
 
 
-def _anchored(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``size`` words: the smallest hash of its half-size windows, and its own hash."""
-    half = -(-size // 2)
-    part, step = _windows(words, half), size - half
-    n = len(part) - step
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    least = part[:n].copy()
-    for k in range(1, step + 1):
-        np.minimum(least, part[k : k + n], out=least)
-    return least, doubled(part[:n], part[step:])
+def chain(words: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """For each window of the last length, by level: the hash of the part that stands for it there; at the last level its own."""
+    levels = [_windows(words, lengths[0])]
+    for short, long in zip(lengths, lengths[1:], strict=False):
+        own, step = levels[-1], long - short
+        n = len(own) - step
+        if n <= 0:
+            return [np.empty(0, np.uint64)] * len(lengths)
+        least = own[:n].copy()
+        if len(levels) == 1:
+            for k in range(1, step + 1):
+                np.minimum(least, own[k : k + n], out=least)
+            levels = [least]
+        else:
+            at = np.arange(n)
+            for k in range(1, step + 1):
+                less = np.flatnonzero(own[k : k + n] < least)
+                least[less], at[less] = own[less + k], less + k
+            levels = [x[at] for x in levels]
+        levels.append(doubled(own[:n], own[step:]))
+    return levels
 
 
 _PRESS, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -74,8 +102,9 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return [np.frombuffer(_EXPAND.decompress(b) if i < len(kinds) - 2 else b, k) for i, (b, k) in enumerate(zip(bodies, kinds, strict=True))]
 
 
-# ids and keys of documents, runs of each, first window and number of windows of each run, anchors of runs, windows
-_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
+# ids and keys of documents, runs of each, first window and number of windows of each run; then hashes of runs and of those
+# known to be shared, or hashes of runs and of windows
+_KINDS = (np.int64, np.int32, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +113,11 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(mask)])
 
 
+def _spread(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _spans(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Consecutive windows of one document as (doc, first, windows); sorted by (doc, at) on entry."""
     if not len(doc):
@@ -92,159 +126,219 @@ def _spans(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[first], at[first], size
 
 
-def _scatter(size: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        ids: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
-        docs = windows = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal docs, windows
-            anchor, own, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            doc_ids, doc_keys = np.concatenate(ids), np.concatenate(keys)
-            held.clear(), ids.clear(), keys.clear()
-            docs = windows = 0
-            out = []
-            # of equal windows, those of the smallest id go on and the others are repeats already
-            order = np.argsort(own)
-            sorted_own = own[order]
-            new = np.r_[True, sorted_own[1:] != sorted_own[:-1]]
-            shared = np.flatnonzero(~(new & np.r_[new[1:], True]))
-            if len(shared):
-                start = np.flatnonzero(new[shared])
-                whose = doc_ids[doc[order[shared]]]
-                least = np.repeat(np.minimum.reduceat(whose, start), np.diff(np.r_[start, len(whose)]))
-                settled = np.sort(order[shared][whose > least])
-                d, a, n = _spans(doc[settled], at[settled])
-                if len(d):
-                    out.append((-1, _span_blob(doc_ids[d], doc_keys[d], a, n)))
-                go = np.ones(len(own), bool)
-                go[settled] = False
-                anchor, own, doc, at = anchor[go], own[go], doc[go], at[go]
-            if len(own):
-                first, count = _runs(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])
-                bucket = (anchor[first] >> np.uint64(32)).astype(np.int64) % buckets
-                by = np.argsort(bucket.astype(np.uint16), kind="stable") if buckets <= 1 << 16 else np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                for b in range(buckets):
-                    r = by[cuts[b] : cuts[b + 1]]
-                    if not len(r):
-                        continue
-                    n = count[r]
-                    each = np.repeat(first[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    d = doc[first[r]]
-                    f, per = _runs(np.r_[True, d[1:] != d[:-1]])
-                    out.append((b, _pack(doc_ids[d[f]], doc_keys[d[f]], per.astype(np.uint32), at[first[r]].astype(np.uint32), n.astype(np.uint32), anchor[first[r]].astype(np.uint32), own[each].astype(np.uint32))))
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["bucket", "blob"])
+def _by_document(ids: np.ndarray, keys: np.ndarray, first: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    """One row for each document: its spans as pairs of numbers. Spans of a document stand together."""
+    f, n = _runs(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    spans = np.stack([first, windows], axis=1).astype(np.uint32)
+    blobs = [spans[a : a + k].tobytes() for a, k in zip(f, n, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([-1] * len(f), pa.int32()), pa.array(ids[f], pa.int64()), pa.array(keys[f], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "id", "key", "blob"])
+
+
+def _filed(bucket: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, its entries, where their documents begin among them, entries of each document), for the buckets that have entries."""
+    by = np.argsort(bucket, kind="stable")
+    begin, size = _runs(np.r_[True, bucket[by][1:] != bucket[by][:-1]])
+    for b, n in zip(begin.tolist(), size.tolist(), strict=True):
+        own = by[b : b + n]
+        yield int(bucket[own[0]]), own, *_runs(np.r_[True, doc[own][1:] != doc[own][:-1]])
 
+
+_ROW = "bucket int, id long, key int, blob binary"
+
+
+def _rows(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    none = pa.nulls(len(buckets))
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "id", "key", "blob"])
+
+
+def _candidates(lengths: list[int], level: int, flush):
+    """Windows of the last length, whole or only those in the spans of the level before, by the hashes of a level and the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, held, ids, keys, docs, windows = lengths[-1], [], [], [], 0, 0
         for batch in batches:
-            all_ids = batch.column(0).fill_null(ID_SENTINEL).to_numpy(zero_copy_only=False)
-            all_keys = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b, raw, offsets in text_slices(batch.column(2)):
+            all_ids, all_keys = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            spans = batch.column(4) if level else None
+            for a, b, raw, offsets in text_slices(batch.column(3)):
                 starts, ends, at = word_spans(raw, offsets)
-                anchor, own = _anchored(hash_words(raw, starts, ends)[0], size)
+                found = chain(hash_words(raw, starts, ends)[0], lengths)
                 row = np.repeat(np.arange(b - a), np.diff(at))
-                inside = np.flatnonzero(row[: len(own)] == row[size - 1 :]) if len(own) else np.empty(0, np.int64)
-                held.append((anchor[inside], own[inside], (row[inside] + docs).astype(np.int32), (inside - at[row[inside]]).astype(np.uint32)))
+                n = len(found[-1])
+                asked = row[:n] == row[size - 1 :] if n else np.empty(0, bool)
+                if level:
+                    edge = np.zeros(n + 1, np.int64)
+                    for k, own in enumerate(spans.slice(a, b - a).to_pylist()):
+                        pairs = np.frombuffer(b"".join(own), np.uint32).reshape(-1, 2).astype(np.int64)
+                        np.add.at(edge, at[k] + pairs[:, 0], 1)
+                        np.add.at(edge, at[k] + pairs[:, 0] + pairs[:, 1], -1)
+                    asked &= np.cumsum(edge[:-1]) > 0
+                inside = np.flatnonzero(asked)
+                held.append((found[level][inside] if level < len(lengths) - 1 else found[level - 1][inside], found[-1][inside], (row[inside] + docs).astype(np.int32), (inside - at[row[inside]]).astype(np.uint32)))
                 ids.append(all_ids[a:b])
                 keys.append(all_keys[a:b])
-                docs += b - a
-                windows += len(inside)
+                docs, windows = docs + b - a, windows + len(inside)
                 if windows >= _FLUSH:
-                    yield flush()
+                    yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)), np.concatenate(ids), np.concatenate(keys))
+                    held, ids, keys, docs, windows = [], [], [], 0, 0
         if windows:
-            yield flush()
+            yield from flush(*(np.concatenate(x) for x in zip(*held, strict=True)), np.concatenate(ids), np.concatenate(keys))
 
     return run
 
 
-def _span_blob(ids: np.ndarray, keys: np.ndarray, first: np.ndarray, windows: np.ndarray) -> bytes:
-    return _pack(ids.astype(np.int64), keys.astype(np.int64), first.astype(np.uint32), windows.astype(np.uint32))
-
-
-_SPAN_KINDS = (np.int64, np.int64, np.uint32, np.uint32)
-
-
-def _repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(ids, keys, first window, windows) of what a smaller id has too, of one bucket's blobs."""
+def _send_parts(buckets: int):
+    """Below the last level: runs of windows by the part that stands for them."""
+
+    def flush(part: np.ndarray, _, doc: np.ndarray, at: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, count = _runs(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])
+        part, doc, at = part[first], doc[first], at[first]
+        order = np.argsort(part, kind="stable")
+        start, size = _runs(np.r_[True, part[order][1:] != part[order][:-1]])
+        many = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
+        settled = np.sort(order[np.repeat(many, size)])
+        yield _by_document(ids[doc[settled]], keys[doc[settled]], at[settled], count[settled])
+        shared = part[order[start[many]]]
+        alone = np.ones(len(part), bool)
+        alone[settled] = False
+        part, doc, at, count = part[alone], doc[alone], at[alone], count[alone]
+        empty = (np.empty(0, np.int64), np.empty(0, np.int32), *[np.empty(0, np.uint32)] * 4)
+        out = {}
+        if len(part):
+            for b, own, f, n in _filed((part >> np.uint64(32)).astype(np.int64) % buckets, doc):
+                d = doc[own[f]]
+                out[b] = (ids[d], keys[d], n.astype(np.uint32), at[own], count[own].astype(np.uint32), part[own].astype(np.uint32))
+        known = {}
+        if len(shared):
+            for b, own, _, _ in _filed((shared >> np.uint64(32)).astype(np.int64) % buckets, np.zeros(len(shared))):
+                known[b] = shared[own].astype(np.uint32)
+        both = sorted({*out, *known})
+        yield _rows(both, [_pack(*out.get(b, empty), known.get(b, np.empty(0, np.uint32))) for b in both])
+
+    return flush
+
+
+def _shared_parts(blobs: list[bytes]) -> pa.RecordBatch:
+    """The entries of one bucket that several documents have."""
+    parts = [_unpack(b, _KINDS) for b in blobs]
+    doc = np.repeat(np.arange(sum(len(p[0]) for p in parts)), np.concatenate([p[2] for p in parts]))
+    ids, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    part, known = np.concatenate([p[5] for p in parts]), np.unique(np.concatenate([p[6] for p in parts]))
+    many = np.zeros(len(part), bool)
+    if len(part):
+        order = np.argsort(part, kind="stable")
+        start, size = _runs(np.r_[True, part[order][1:] != part[order][:-1]])
+        many[order] = np.repeat(np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start), size)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            many |= known[at] == part
+    live = np.flatnonzero(many)
+    at, count = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+    return _by_document(ids[doc[live]], keys[doc[live]], at[live], count[live])
+
+
+def _send_windows(buckets: int):
+    """At the last level: windows by their own hash, in runs by the part that stood for them."""
+
+    def flush(part: np.ndarray, own: np.ndarray, doc: np.ndarray, at: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # of equal windows, those of the smallest id go on and the others are repeats already
+        order = np.argsort(own)
+        new = np.r_[True, own[order][1:] != own[order][:-1]]
+        shared = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if len(shared):
+            start, size = _runs(new[shared])
+            whose = ids[doc[order[shared]]]
+            settled = np.sort(order[shared][whose > np.repeat(np.minimum.reduceat(whose, start), size)])
+            d, a, n = _spans(doc[settled], at[settled])
+            yield _by_document(ids[d], keys[d], a, n)
+            go = np.ones(len(own), bool)
+            go[settled] = False
+            part, own, doc, at = part[go], own[go], doc[go], at[go]
+        if not len(own):
+            return
+        first, count = _runs(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])
+        part, whose = part[first], doc[first]
+        buckets_, blobs = [], []
+        for b, r, f, n in _filed((part >> np.uint64(32)).astype(np.int64) % buckets, whose):
+            d = whose[r[f]]
+            each = np.repeat(first[r], count[r]) + _spread(count[r])
+            buckets_.append(b)
+            blobs.append(_pack(ids[d], keys[d], n.astype(np.uint32), at[first[r]], count[r].astype(np.uint32), part[r].astype(np.uint32), own[each].astype(np.uint32)))
+        yield _rows(buckets_, blobs)
+
+    return flush
+
+
+def _repeated_windows(blobs: list[bytes]) -> pa.RecordBatch:
+    """What a smaller id has too, of one bucket."""
     parts = [_unpack(b, _KINDS) for b in blobs]
-    anchor = np.concatenate([p[5] for p in parts])
-    order = np.argsort(anchor, kind="stable")
-    anchor = anchor[order]
-    count = np.concatenate([p[4] for p in parts]).astype(np.int64)
-    doc_no = np.repeat(np.arange(sum(len(p[0]) for p in parts)), np.concatenate([p[2] for p in parts]))
     ids, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    # level 1: half-size windows that more than one document has
-    start, size = _runs(np.r_[True, anchor[1:] != anchor[:-1]])
-    whose = ids[doc_no[order]]
-    many = np.minimum.reduceat(whose, start) != np.maximum.reduceat(whose, start)
-    live = order[np.repeat(many, size)]
-    if not len(live):
-        return None
-    # level 2: of those alone, whole windows
-    begin = np.cumsum(count) - count
-    at = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    own = np.concatenate([p[6] for p in parts])
-    n = count[live]
-    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    doc = np.repeat(doc_no[live], n)
-    place = np.repeat(at[live], n) + nth
-    by_live = np.empty(len(order), np.uint32)
-    by_live[order] = anchor
-    full = (np.repeat(by_live[live], n).astype(np.uint64) << np.uint64(32)) | own[np.repeat(begin[live], n) + nth]
+    run_doc = np.repeat(np.arange(len(ids)), np.concatenate([p[2] for p in parts]))
+    count = np.concatenate([p[4] for p in parts]).astype(np.int64)
+    doc = np.repeat(run_doc, count)
+    place = np.repeat(np.concatenate([p[3] for p in parts]).astype(np.int64), count) + _spread(count)
+    full = (np.repeat(np.concatenate([p[5] for p in parts]).astype(np.uint64), count) << np.uint64(32)) | np.concatenate([p[6] for p in parts])
     order = np.argsort(full, kind="stable")
-    full = full[order]
-    start, size = _runs(np.r_[True, full[1:] != full[:-1]])
+    start, size = _runs(np.r_[True, full[order][1:] != full[order][:-1]])
     whose = ids[doc[order]]
     later = order[whose > np.repeat(np.minimum.reduceat(whose, start), size)]
-    if not len(later):
-        return None
     doc, place = doc[later], place[later]
     by = np.lexsort((place, doc))
     doc, first, windows = _spans(doc[by], place[by])
-    return ids[doc], keys[doc], first, windows
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[bytes]] = {}
-
-    def rows(ids: np.ndarray, keys: np.ndarray, first: np.ndarray, windows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """One row for each document: its spans as pairs of numbers."""
-        f, n = _runs(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
-        spans = np.stack([first, windows], axis=1).astype(np.uint32)
-        blobs = [spans[a : a + k].tobytes() for a, k in zip(f, n, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[f]), pa.array(keys[f]), pa.array(blobs, pa.binary())], ["id", "key", "spans"])
-
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket < 0:
-                yield from rows(*_unpack(blob, _SPAN_KINDS))
-            else:
-                held.setdefault(bucket, []).append(blob)
-    for bucket in sorted(held):
-        found = _repeats(held.pop(bucket))
-        if found:
-            yield from rows(*found)
-
-
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
-    """(id, key, spans): per document, (first window, windows) pairs, as unsigned 32-bit numbers, of the windows of
-    ``size`` words (2 or more) that a document with a smaller id has too. key is xxhash64 of the text; a document may have several rows."""
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # what a task has settled by itself is dealt out at random
-    buckets = 1 << (max(_LEAST_BUCKETS, docs.count() // _BUCKET_ROWS) - 1).bit_length()
-    sent = rows.mapInArrow(_scatter(size, buckets), "bucket int, blob binary")
-    sent = sent.withColumn("to", F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket").cast("long")))
-    return sent.repartition(max(n, _LEAST_BUCKETS, buckets // 4), "to").select("bucket", "blob").mapInArrow(_settle, "id long, key long, spans binary")
+    return _by_document(ids[doc], keys[doc], first, windows)
+
+
+def _settle(meet):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            bucket, blobs = batch.column(0).to_numpy(), batch.column(3)
+            done = np.flatnonzero(bucket < 0)  # what a task has settled by itself
+            if len(done):
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(done)), batch.column(2).take(pa.array(done)), blobs.take(pa.array(done))], ["id", "key", "blob"])
+            for k in np.flatnonzero(bucket >= 0).tolist():
+                held.setdefault(int(bucket[k]), []).append(blobs[k].as_py())
+        for bucket in sorted(held):
+            yield meet(held.pop(bucket)).select(["id", "key", "blob"])
+
+    return run
+
+
+def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, id, key, text): id never null; key a hash of the text, which tells documents of one id apart."""
+    own = F.col(doc_id).cast("long")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(ID_SENTINEL)).alias("id"), F.hash(F.col(text)).alias("key"), F.col(text).alias("text"))
+
+
+def _with_spans(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """rows joined with their document's spans by a join that deals both out by document; the dealt-out rows are the same each time."""
+    named = spans.select(F.col("id").alias("i"), F.col("key").alias("k"), "spans")
+    return rows.join(named.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), how).select("doc_id", "id", "key", "text", "spans")
+
+
+def repeated_spans(rows: DataFrame, count: int, size: int = WORDS) -> DataFrame:
+    """(id, key, spans): per document, the (first window, windows) pairs, as arrays of unsigned 32-bit numbers, of the windows
+    of ``size`` words (2 or more) that a document with a smaller id has too; rows as of ``_prepared``, about ``count`` of them."""
+    lengths = level_lengths(size)
+    buckets = 1 << (max(_LEAST_BUCKETS, count // _BUCKET_ROWS) - 1).bit_length()
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
+    spans = None
+    for level in range(len(lengths)):
+        last = level == len(lengths) - 1
+        asked = rows if spans is None else _with_spans(rows, spans, "inner")
+        sent = asked.mapInArrow(_candidates(lengths, level, (_send_windows if last else _send_parts)(buckets)), _ROW)
+        # what a task has settled by itself is dealt out by document
+        to = F.when(F.col("bucket") < 0, F.xxhash64("id", "key")).otherwise(F.col("bucket").cast("long"))
+        dealt = sent.withColumn("to", to).repartition(tasks, "to").drop("to")
+        found = dealt.mapInArrow(_settle(_repeated_windows if last else _shared_parts), "id long, key int, blob binary")
+        spans = found.groupBy("id", "key").agg(F.collect_list("blob").alias("spans"))
+    return spans
 
 
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, spans = (batch.column(i).to_pylist() for i in range(3))
+            ids, spans = batch.column(0).to_pylist(), batch.column(4).to_pylist()
+            texts = batch.column(3).cast(pa.large_binary()).to_pylist()
             out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "kept": []}
             for text, own in zip(texts, spans, strict=True):
                 words = (text or b"").split()
@@ -269,10 +363,10 @@ def _cut(size: int):
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept), one row for each row of docs; kept: the words left, joined by one space."""
-    found = repeated_spans(docs, doc_id, text, size).groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(ID_SENTINEL)).alias("i"), F.xxhash64(F.col(text)).alias("k"))
-    joined = rows.join(found.hint("shuffle_hash"), (F.col("i") == F.col("id")) & (F.col("k") == F.col("key")), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.decode("kept", "UTF-8"))
+    prepare(docs.sparkSession)
+    rows = _prepared(docs, doc_id, text)
+    joined = _with_spans(rows, repeated_spans(rows, docs.count(), size), "left")
+    return joined.mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.decode("kept", "UTF-8"))
 
 
 def repeat_levels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
