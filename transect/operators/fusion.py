@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transect.functions import geometry as g
-from transect.session import prepare
 
 _D, _G = ("x1", "y1", "x2", "y2"), ("gx1", "gy1", "gx2", "gy2")
 
@@ -20,46 +18,42 @@ def consensus(a: DataFrame, b: DataFrame, threshold: float = 0.2) -> DataFrame:
     return a.join(other, (F.col("frame") == F.col("gframe")) & (g.iou(*_D, *_G) >= threshold), "left_semi")
 
 
-def _iou(p: Sequence[float], q: Sequence[float]) -> float:
-    w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    union = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - w * h
-    return w * h / union if union > 0 else 0.0
+_NUMBERS = (*_D, "w", *(f"s{c}" for c in _D))
 
 
 def weighted_fusion(dets: DataFrame, weights: Sequence[float], threshold: float = 0.5, least: float = 0.0) -> DataFrame:
     """(frame, seq, x1, y1, x2, y2, score): clusters of overlapping detections as weighted means.
 
     dets: frame, model (its number), det_seq, box, score. By descending score times weight, each joins the cluster whose present
-    mean it overlaps most, above the threshold. A cluster's score is its sum of weighted scores over that of all weights, 1 at most.
-    Means move as boxes join, so a frame is one pandas group; it is an image's boxes.
+    mean it overlaps most (of equal ones the first), above the threshold. A cluster's score is its sum of weighted scores over
+    that of all weights, 1 at most. Means move as boxes join, so a frame's detections fold in one row, JVM-side; they are an
+    image's boxes. The state is a short array of means and sums.
     """
-    prepare(dets.sparkSession)
-    weights = [float(w) for w in weights]
-    whole = sum(weights) or 1.0
-
-    def fuse(d: pd.DataFrame) -> pd.DataFrame:
-        trust = [weights[m] for m in d["model"]]
-        d = d.assign(trusted=d["score"] * trust).sort_values(["trusted", "model", "det_seq"], ascending=[False, True, True], kind="stable")
-        sums: list[list[float]] = []  # weighted corners, and the weights
-        for *corners, trusted in d[[*_D, "trusted"]].itertuples(index=False):
-            best, found = threshold, None
-            for s in sums:
-                v = _iou(corners, [x / s[4] if s[4] else 0.0 for x in s[:4]])
-                if v > best:
-                    best, found = v, s
-            if found is None:
-                sums.append([0.0] * 5)
-                found = sums[-1]
-            for k, x in enumerate([*[c * trusted for c in corners], trusted]):
-                found[k] += x
-        rows = [([x / s[4] if s[4] else 0.0 for x in s[:4]], min(1.0, s[4] / whole)) for s in sums]
-        rows = sorted((r for r in rows if r[1] >= least), key=lambda r: -r[1])
-        return pd.DataFrame([(d["frame"].iloc[0], k, *c, s) for k, (c, s) in enumerate(rows)], columns=["frame", "seq", *_D, "score"])
-
-    kind = dict(dets.dtypes)["frame"]
-    return dets.groupBy("frame").applyInPandas(fuse, f"frame {kind}, seq int, x1 double, y1 double, x2 double, y2 double, score double")
+    whole = float(sum(weights)) or 1.0
+    trust = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("model").cast("int"))
+    entry = F.struct((-(F.col("score") * trust)).alias("order"), "model", "det_seq", (F.col("score") * trust).alias("t"), *_D)
+    listed = dets.groupBy("frame").agg(F.array_sort(F.collect_list(entry)).alias("ds"))
+
+    def cluster(values: Sequence[Column]) -> Column:
+        return F.struct(*[v.cast("double").alias(n) for n, v in zip(_NUMBERS, values, strict=True)])
+
+    def step(clusters: Column, d: Column) -> Column:
+        box = [d[c] for c in _D]
+        shares = F.transform(clusters, lambda c: g.iou(*box, *[c[n] for n in _D]))
+        best = F.array_max(shares)
+
+        def joined(c: Column) -> Column:
+            sums = [c[f"s{n}"] + v * d.t for n, v in zip(_D, box, strict=True)]
+            weight = c.w + d.t
+            return cluster([*[F.when(weight != 0, v / weight).otherwise(c[n]) for n, v in zip(_D, sums, strict=True)], weight, *sums])
+
+        moved = F.transform(clusters, lambda c, k: F.when(k + 1 == F.array_position(shares, best), joined(c)).otherwise(c))
+        return F.when(best > threshold, moved).otherwise(F.array_append(clusters, cluster([*box, d.t, *[v * d.t for v in box]])))
+
+    start = F.expr(f"cast(array() AS array<struct<{', '.join(f'{n}: double' for n in _NUMBERS)}>>)")
+    scored = F.transform(F.col("_cs"), lambda c, k: F.struct((-F.least(F.lit(1.0), c.w / whole)).alias("order"), k.alias("k"), *[c[n].alias(n) for n in _D]))
+    out = listed.select("frame", F.aggregate("ds", start, step).alias("_cs")).select("frame", F.array_sort(F.filter(scored, lambda c: -c.order >= least)).alias("_cs"))
+    return out.select("frame", F.posexplode("_cs").alias("seq", "_c")).select("frame", "seq", *[F.col(f"_c.{n}").alias(n) for n in _D], (-F.col("_c.order")).alias("score"))
 
 
 def fuse_detections(models: Sequence[DataFrame], method: str = "wbf", weights: Sequence[float] | None = None, threshold: float | None = None, least: float = 0.0) -> DataFrame:

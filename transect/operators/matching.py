@@ -92,14 +92,17 @@ def greedy_match_grouped(dets: DataFrame, truth: DataFrame, threshold: float = 0
 def counts_at(matched: DataFrame, thresholds: DataFrame) -> DataFrame:
     """thresholds (conf) with tp, fp and frames_hit: of detections with score >= conf.
 
-    Each detection counts for the largest threshold that it reaches; running sums over the thresholds, a few hundred rows, do the rest.
+    Detections are summed by score, and a score counts for the largest threshold that it reaches; running sums over the
+    thresholds, a few hundred rows, do the rest.
     """
     listed = thresholds.agg(F.array_sort(F.collect_set("conf")).alias("ts"))
-    by_rows = matched.crossJoin(F.broadcast(listed)).withColumn("conf", F.array_max(F.filter("ts", lambda t: t <= F.col("score")))).filter("conf IS NOT NULL")
-    per = by_rows.groupBy("conf").agg(F.count_if(F.col("gt_idx").isNotNull()).alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp"))
-    firsts = by_rows.filter("gt_idx IS NOT NULL").groupBy("frame").agg(F.max("conf").alias("conf")).groupBy("conf").agg(F.count("*").alias("frames_hit"))
+    reached = F.array_max(F.filter("ts", lambda t: t <= F.col("score")))
+    by_score = matched.groupBy("score").agg(F.count_if(F.col("gt_idx").isNotNull()).alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp"))
+    best = matched.filter("gt_idx IS NOT NULL").groupBy("frame").agg(F.max("score").alias("score")).groupBy("score").agg(F.count("*").alias("frames_hit"))
+    both = by_score.withColumn("frames_hit", F.lit(0).cast("long")).unionByName(best.withColumn("tp", F.lit(0).cast("long")).withColumn("fp", F.lit(0).cast("long")))
+    per = both.crossJoin(F.broadcast(listed)).withColumn("conf", reached).filter("conf IS NOT NULL").groupBy("conf").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "frames_hit")])
     down = Window.orderBy(F.col("conf").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    joined = thresholds.select("conf").distinct().join(per, "conf", "left").join(firsts, "conf", "left").fillna(0)
+    joined = thresholds.select("conf").distinct().join(per, "conf", "left").fillna(0)
     return joined.select("conf", *[F.sum(c).over(down).alias(c) for c in ("tp", "fp", "frames_hit")])
 
 
@@ -118,18 +121,25 @@ def operating_points(counts: DataFrame, total: DataFrame) -> DataFrame:
 
 
 def froc_thresholds(dets: DataFrame, at_most: int = 200) -> DataFrame:
-    """Distinct scores to four places, thinned out evenly; there are 10001 at most before that for scores from 0 to 1."""
-    scores = dets.select(F.round("score", 4).alias("conf")).distinct()
+    """Distinct scores to four places, thinned out evenly; there are 10001 at most before that for scores from 0 to 1, in one checkpointed table."""
+    prepare(dets.sparkSession)
+    scores = dets.select(F.round("score", 4).alias("conf")).distinct().checkpoint()
     down = Window.orderBy(F.col("conf").desc())
     numbered = scores.withColumn("_i", F.row_number().over(down) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    k = F.explode(F.transform(F.sequence(F.lit(0), F.lit(at_most - 1)), lambda j: F.rint(j * (F.col("n") - 1) / (at_most - 1)).cast("int"))).alias("_k")
-    wanted = scores.agg(F.count("*").alias("n")).select("n", k).distinct()
-    return numbered.join(F.broadcast(wanted), (F.col("_n") <= at_most) | (F.col("_i") == F.col("_k")), "left_semi").select("conf")
+    # the i of the k-th threshold is rint(k (n - 1) / (at_most - 1)): of those near i / (n - 1), one must give i
+    k = F.rint(F.col("_i") * (at_most - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
+    kept = F.lit(False)
+    for near in (-1, 0, 1):
+        at = F.least(F.greatest(k + near, F.lit(0)), F.lit(at_most - 1))
+        kept = kept | (F.rint(at * (F.col("_n") - 1) / (at_most - 1)) == F.col("_i"))
+    return numbered.filter((F.col("_n") <= at_most) | kept).select("conf")
 
 
 def froc(dets: DataFrame, truth: DataFrame, frames: DataFrame, mode: str = "iou", threshold: float = 0.3, at_most: int = 200) -> DataFrame:
-    matched = greedy_match(dets, truth, mode, threshold)
-    return operating_points(counts_at(matched, froc_thresholds(dets, at_most)), totals(frames, truth))
+    """Points of the curve, from one match, which is checkpointed: its scores give the thresholds and the counts."""
+    prepare(dets.sparkSession)
+    matched = greedy_match(dets, truth, mode, threshold).select("frame", "score", "gt_idx").checkpoint()
+    return operating_points(counts_at(matched, froc_thresholds(matched, at_most)), totals(frames, truth))
 
 
 def recall_at(points: DataFrame, targets: Sequence[float] = (0.1, 0.5, 1.0, 2.0)) -> DataFrame:

@@ -352,7 +352,28 @@ def q25_consensus(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse_detections(_two_models(spark, d), "consensus").select("frame", "det_seq", "score")
 
 
-@query()
+_CLUSTER = ("x1", "y1", "x2", "y2", "w", "sx1", "sy1", "sx2", "sy2")
+_IOU = "greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0)"
+
+
+@query(
+    _TWO_SQL.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", u AS (SELECT frame, 0 AS model, det_seq, score * 1.0::DOUBLE AS t, x1, y1, x2, y2 FROM a
+  UNION ALL SELECT frame, 1, row_number() OVER (PARTITION BY frame ORDER BY {', '.join(fx.LINE_ORDER)}), score * 2.0::DOUBLE, x1, y1, x2, y2 FROM c),
+e AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY t DESC, model, det_seq) AS rn FROM u),
+f AS (SELECT frame, 0::BIGINT AS rn, []::STRUCT({', '.join(f'{n} DOUBLE' for n in _CLUSTER)})[] AS cs FROM (SELECT DISTINCT frame FROM e)
+  UNION ALL SELECT frame, rn, CASE WHEN coalesce(list_max(v), 0) > 0.5::DOUBLE
+    THEN list_transform(cs, lambda k, i: CASE WHEN i = list_position(v, list_max(v)) THEN {{'x1': CASE WHEN k.w + t <> 0 THEN (k.sx1 + x1 * t) / (k.w + t) ELSE k.x1 END, 'y1': CASE WHEN k.w + t <> 0 THEN (k.sy1 + y1 * t) / (k.w + t) ELSE k.y1 END,
+      'x2': CASE WHEN k.w + t <> 0 THEN (k.sx2 + x2 * t) / (k.w + t) ELSE k.x2 END, 'y2': CASE WHEN k.w + t <> 0 THEN (k.sy2 + y2 * t) / (k.w + t) ELSE k.y2 END,
+      'w': k.w + t, 'sx1': k.sx1 + x1 * t, 'sy1': k.sy1 + y1 * t, 'sx2': k.sx2 + x2 * t, 'sy2': k.sy2 + y2 * t}} ELSE k END)
+    ELSE list_append(cs, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'w': t, 'sx1': x1 * t, 'sy1': y1 * t, 'sx2': x2 * t, 'sy2': y2 * t}}) END
+  FROM (SELECT e.*, f.cs, list_transform(f.cs, lambda k: CASE WHEN {_IOU.format(a='e', b='k')} > 0
+      THEN {_IOU.format(a='e', b='k')} / ((e.x2 - e.x1) * (e.y2 - e.y1) + (k.x2 - k.x1) * (k.y2 - k.y1) - {_IOU.format(a='e', b='k')}) ELSE 0 END) AS v
+    FROM f JOIN e ON f.frame = e.frame AND e.rn = f.rn + 1)),
+z AS (SELECT frame, arg_max(cs, rn) AS cs FROM f GROUP BY frame),
+y AS (SELECT frame, k, least(1.0::DOUBLE, cs[k].w / 3.0::DOUBLE) AS score, cs[k].x1 AS x1, cs[k].y1 AS y1, cs[k].x2 AS x2, cs[k].y2 AS y2 FROM (SELECT frame, cs, unnest(range(1, len(cs) + 1)) AS k FROM z))
+SELECT frame, (row_number() OVER (PARTITION BY frame ORDER BY score DESC, k) - 1)::INT AS seq, x1, y1, x2, y2, score FROM y"""
+)
 def q26_wbf(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse_detections(_two_models(spark, d), "wbf", weights=[1.0, 2.0])
 
