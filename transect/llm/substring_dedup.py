@@ -320,15 +320,15 @@ def repeated_spans(rows: DataFrame, count: int, size: int = WORDS) -> DataFrame:
     of ``size`` words (2 or more) that a document with a smaller id has too; rows as of ``_prepared``, about ``count`` of them."""
     lengths = level_lengths(size)
     buckets = 1 << (max(_LEAST_BUCKETS, count // _BUCKET_ROWS) - 1).bit_length()
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
+    tasks = max(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets), buckets // 4)
     spans = None
     for level in range(len(lengths)):
         last = level == len(lengths) - 1
         asked = rows if spans is None else _with_spans(rows, spans, "inner")
         sent = asked.mapInArrow(_candidates(lengths, level, (_send_windows if last else _send_parts)(buckets)), _ROW)
         # what a task has settled by itself is dealt out by document
-        to = F.when(F.col("bucket") < 0, F.xxhash64("id", "key")).otherwise(F.col("bucket").cast("long"))
-        dealt = sent.withColumn("to", to).repartition(tasks, "to").drop("to")
+        to = F.pmod(F.when(F.col("bucket") < 0, F.hash("id", "key")).otherwise(F.col("bucket")), F.lit(tasks))
+        dealt = sent.repartitionById(tasks, to)
         found = dealt.mapInArrow(_settle(_repeated_windows if last else _shared_parts), "id long, key int, blob binary")
         spans = found.groupBy("id", "key").agg(F.collect_list("blob").alias("spans"))
     return spans
