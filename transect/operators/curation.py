@@ -65,6 +65,34 @@ def source_counters(counted: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("source")).alias("source"), "images", "boxes", "backgrounds")
 
 
+def normalization_counters(files: DataFrame) -> DataFrame:
+    """files (source, content, base, path, n_boxes, missing, reoriented) -> (source, images, boxes, backgrounds, missing, augmented, dup_skipped, reoriented), and a row ALL.
+
+    What happens to a file, in this order: missing images are left out; of the augmentations (equal source and base) the
+    first by path stays; of equal contents, over all sources, the first by source and path.
+    """
+    present = files.filter("NOT missing")
+    collapsed = present.groupBy("source", "base").agg(F.min(F.struct("path", "content", "n_boxes", "reoriented")).alias("_f")).select("source", "_f.*")
+    seen = first_seen(collapsed, "content", ["source", "path"]).groupBy("source").agg(F.count("*").alias("images"), F.sum("n_boxes").alias("boxes"), F.count_if(F.col("n_boxes") == 0).alias("backgrounds"), F.count_if("reoriented").alias("reoriented"))
+    steps = files.groupBy("source").agg(F.count_if("missing").alias("missing"), F.count_if(~F.col("missing")).alias("_present"))
+    kept = collapsed.groupBy("source").agg(F.count("*").alias("_collapsed"))
+    rows = steps.join(kept, "source", "left").join(seen, "source", "left").fillna(0)
+    rows = rows.withColumn("augmented", F.col("_present") - F.col("_collapsed")).withColumn("dup_skipped", F.col("_collapsed") - F.col("images"))
+    names = ("images", "boxes", "backgrounds", "missing", "augmented", "dup_skipped", "reoriented")
+    out = rows.rollup("source").agg(F.grouping("source").alias("_all"), *[F.sum(n).alias(n) for n in names])
+    return out.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("source")).alias("source"), *names)
+
+
+def kept_rows(manifest: DataFrame, split: str, sources: Sequence[str]) -> DataFrame:
+    """Rows of a split manifest (source, split, kept, ...) that a set is made of."""
+    return manifest.filter((F.col("kept") == 1) & (F.col("split") == split) & F.col("source").isin(*sources))
+
+
+def sources_by_median(scale: DataFrame, median: str = "p50") -> DataFrame:
+    """Rows of ``box_scale`` but ALL, with ``place``: smallest median first, equal ones by name. One row for each source."""
+    return scale.filter("source <> 'ALL'").withColumn("place", F.row_number().over(Window.orderBy(median, "source")))
+
+
 def box_scale(frames: DataFrame, boxes: DataFrame, percentages: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """(source, images, background, boxes, p5, ...): exact percentiles of box sizes in pixels, with a row ALL.
 

@@ -22,6 +22,17 @@ def tile_grid(frames: DataFrame, sizes: Sequence[int], width: str = "width", hei
     return tiled.withColumn("y", F.explode(g.edge_flush_origins(F.col(height), F.col("tile"))))
 
 
+def negative_pool(frames: DataFrame, sizes: Sequence[int], validated: DataFrame) -> DataFrame:
+    """(image, kind, parent, w, h): of frames (stem, width, height) without boxes the full frame and all tiles, and the validated tiles (name, w, h) of others."""
+    full = frames.select(F.concat("stem", F.lit("__full.jpg")).alias("image"), F.lit("full").alias("kind"), F.col("stem").alias("parent"), F.col("width").alias("w"), F.col("height").alias("h"))
+    tiles = tile_grid(frames, sizes).select(F.format_string("%s__t%d_x%d_y%d.jpg", "stem", "tile", "x", "y").alias("image"), F.concat(F.lit("tile"), "tile").alias("kind"), F.col("stem").alias("parent"), F.least("tile", "width").alias("w"), F.least("tile", "height").alias("h"))
+    return full.unionByName(tiles).unionByName(validated.select(F.concat(F.lit("val__"), "name").alias("image"), F.lit("validated").alias("kind"), F.col("name").alias("parent"), "w", "h"))
+
+
+def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
 def tile_decisions(tiles: DataFrame, train_parents: DataFrame, boxes: DataFrame, geometry_known: Column) -> DataFrame:
     """tiles (pool, name, parent, x1, y1, x2, y2, pool_ord) with ``decision``, the first check that fails:
     no_geom, parent_not_train, overlaps, duplicate (a name that an earlier pool has), or keep.

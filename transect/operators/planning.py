@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transect.functions import flight
 from transect.functions import geometry as g
-from transect.operators import matching
+from transect.operators import fusion, matching
 from transect.operators.ordering import running_min, running_total
 from transect.session import prepare
 
@@ -55,7 +55,7 @@ def method_metrics(grid: DataFrame, dets: DataFrame, truth: DataFrame, threshold
 
 def animals_at(animals: DataFrame, altitudes: DataFrame, least_px: float) -> DataFrame:
     """animals (native_px, length_m, ...) x altitudes (altitude_m, gsd in m/px) with apparent_px: never enlarged, and left out below ``least_px``."""
-    seen = animals.crossJoin(F.broadcast(altitudes)).withColumn("apparent_px", F.col("native_px") * F.least(F.col("length_m") / F.col("gsd") / F.col("native_px"), F.lit(1.0)))
+    seen = animals.crossJoin(F.broadcast(altitudes)).withColumn("apparent_px", g.apparent_size(F.col("native_px"), F.col("length_m"), F.col("gsd")))
     return seen.filter(F.col("apparent_px") >= least_px)
 
 
@@ -100,8 +100,57 @@ def body_lengths(n: DataFrame, distribution: str, seed: int, fixed: float = 3.0,
     return n.withColumn("length_m", kinds[distribution])
 
 
-def score_frames(frames: DataFrame, load_model, columns: Sequence[str]) -> DataFrame:
-    """(frame, det_seq, x1, y1, x2, y2, score) by an opaque detector.
+def detected_at_native_scale(animals: DataFrame, dets: DataFrame, least_px: float, threshold: float = 0.3) -> DataFrame:
+    """animals (frame, x1, y1, x2, y2, ...) whose longer side, in whole pixels, is ``least_px`` or more and that some detection overlaps at the threshold or above."""
+    size = F.greatest(F.rint("x2") - F.rint("x1"), F.rint("y2") - F.rint("y1"))
+    other = dets.select(F.col("frame").alias("gframe"), *[F.col(c).alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")])
+    whole = [F.rint(c) for c in ("x1", "y1", "x2", "y2")]
+    near = g.iou(*whole, "gx1", "gy1", "gx2", "gy2") >= threshold
+    return animals.filter(size >= least_px).join(other, (F.col("frame") == F.col("gframe")) & near, "left_semi")
+
+
+def planned_tiles(plan: DataFrame, overlap: float = 0.2) -> DataFrame:
+    """plan (frame, width, height, slice, ...) with x, y, tile_w and tile_h of every tile; the whole frame for a null slice."""
+    size = F.coalesce("slice", F.greatest("width", "height"))
+    step = size - F.floor(F.lit(overlap) * size).cast("int")
+
+    def along(side: str) -> Column:
+        full = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((F.col(side) - size) / step).cast("int"), F.lit(0))), lambda k: F.least(k * step, F.col(side) - F.least(size, F.col(side))))
+        return F.when(size >= F.col(side), F.array(F.lit(0))).otherwise(full)
+
+    out = plan.withColumn("x", F.explode(along("width"))).withColumn("y", F.explode(along("height")))
+    return out.withColumn("tile_w", F.least(size, F.col("width"))).withColumn("tile_h", F.least(size, F.col("height")))
+
+
+def adaptive_prediction(frames: DataFrame, detect: Callable[[DataFrame], DataFrame], conf: float = 0.3, overlap: float = 0.2, **decision: Column) -> DataFrame:
+    """(frame, det_seq, x1, y1, x2, y2, score) of frames (frame, width, height, ...): the decision of each, its tiles, and what ``detect`` finds in them.
+
+    detect gets the tiles (frame's columns, slice, mode, x, y, tile_w, tile_h) and gives (frame, x, y, det_seq, x1, y1, x2, y2,
+    score) in pixels of the tile; those from ``conf`` on are kept, and moved to the frame. decision: arguments of
+    ``flight.slice_decision``. A frame's detections are numbered by tile and det_seq.
+    """
+    chosen = frames.withColumn("_d", flight.slice_decision(F.col("width"), F.col("height"), **decision)).withColumn("slice", F.when(F.col("_d.mode") == "sahi", F.col("_d.slice_size"))).withColumn("mode", F.col("_d.mode")).drop("_d")
+    found = detect(planned_tiles(chosen, overlap)).filter(F.col("score") >= conf)
+    moved = found.select("frame", "x", "y", "det_seq", *[(F.col(c) + F.col(c[0])).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], "score")
+    nth = F.row_number().over(Window.partitionBy("frame").orderBy("y", "x", "det_seq"))  # a frame's detections
+    return moved.withColumn("det_seq", nth.cast("long")).drop("x", "y")
+
+
+def ensemble(frames: DataFrame, models: Sequence[dict], fuse: str = "wbf", weights: Sequence[float] | None = None, threshold: float | None = None, least: float = 0.0, overlap: float = 0.2, **decision: Column) -> DataFrame:
+    """Fused detections of several models, each with tiles of its own scale.
+
+    A model is a dict of ``detect`` (as in ``adaptive_prediction``) and of what is its own: conf, and target_px, target_len_m and
+    min_slice of its decision.
+    """
+    found = []
+    for model in models:
+        own = {k: F.lit(v) for k, v in model.items() if k in ("target_px", "target_len_m", "min_slice")}
+        found.append(adaptive_prediction(frames, model["detect"], model.get("conf", 0.3), overlap, **decision, **own))
+    return fusion.fuse_detections(found, fuse, weights, threshold, least)
+
+
+def score_frames(frames: DataFrame, load_model, columns: Sequence[str], conf: float = 0.0) -> DataFrame:
+    """(frame, det_seq, x1, y1, x2, y2, score) by an opaque detector; scores below ``conf`` don't leave the task.
 
     load_model() is called once for each task and returns a function from a pandas frame of ``columns`` (with frame) to a list,
     for each row, of (x1, y1, x2, y2, score).
@@ -111,7 +160,7 @@ def score_frames(frames: DataFrame, load_model, columns: Sequence[str]) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detect = load_model()
         for batch in batches:
-            rows = [(f, k, *map(float, d)) for f, found in zip(batch["frame"], detect(batch), strict=True) for k, d in enumerate(found)]
+            rows = [(f, k, *map(float, d)) for f, found in zip(batch["frame"], detect(batch), strict=True) for k, d in enumerate(found) if d[4] >= conf]
             yield pd.DataFrame(rows, columns=["frame", "det_seq", "x1", "y1", "x2", "y2", "score"])
 
     kind = dict(frames.dtypes)["frame"]

@@ -37,16 +37,46 @@ def image_by_stem(listing: DataFrame, extensions: Sequence[str] = IMAGE_EXTENSIO
     return listing.groupBy("stem").agg(F.min_by("path", F.struct(rank, "path")).alias("path"))
 
 
-def label_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, stem, line_no, cx, cy, w, h) of label text: class and four shares on a line, clamped; shorter lines are skipped, the class dropped.
-
-    One text a file: its lines keep their order.
-    """
+def label_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, stem, value) of label files, one text a file."""
     read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = read.filter(F.col("path").endswith(".txt")).select("path", F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
+    return read.filter(F.col("path").endswith(".txt")).withColumn("stem", naming.file_stem(F.col("path")))
+
+
+def label_rows(texts: DataFrame, clamped: bool = True) -> DataFrame:
+    """texts (value, ...) with line_no, cx, cy, w and h of each line instead of value: class and four shares; shorter lines are skipped, the class dropped."""
+    keys = [c for c in texts.columns if c != "value"]
+    lines = texts.select(*keys, F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
     parts = F.split(F.trim(F.regexp_replace("line", "\\s+", " ")), " ")
-    box = [g.clamp01(parts[k].cast("double")).alias(n) for k, n in zip(range(1, 5), ("cx", "cy", "w", "h"), strict=True)]
-    return lines.filter(F.size(parts) >= 5).select("path", naming.file_stem(F.col("path")).alias("stem"), "line_no", *box)
+    share = g.clamp01 if clamped else lambda v: v
+    box = [share(parts[k].cast("double")).alias(n) for k, n in zip(range(1, 5), ("cx", "cy", "w", "h"), strict=True)]
+    return lines.filter(F.size(parts) >= 5).select(*keys, "line_no", *box)
+
+
+def label_lines(spark: SparkSession, folder: str, clamped: bool = True) -> DataFrame:
+    """(path, stem, line_no, cx, cy, w, h) of label files."""
+    return label_rows(label_texts(spark, folder), clamped).select("path", "stem", "line_no", "cx", "cy", "w", "h")
+
+
+def line_counts(frames: DataFrame, texts: DataFrame, key: str = "stem") -> DataFrame:
+    """frames with n_lines: the lines of their label text that aren't blank; 0 without a text."""
+    full = F.size(F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")) != ""))
+    return frames.join(texts.select(key, full.alias("n_lines")), key, "left").fillna(0, "n_lines")
+
+
+def export_frames(listing: DataFrame, splits: DataFrame) -> DataFrame:
+    """listing (path, stem, ...) of .../<source>/<raw split>/images/<file> or .../<raw split>/<file> with raw_split and split.
+
+    splits: raw_split, split. Files of other folders are left out."""
+    parts = F.split("path", "/")
+    folder = F.when(F.element_at(parts, -2) == "images", F.element_at(parts, -3)).otherwise(F.element_at(parts, -2))
+    return listing.withColumn("raw_split", folder).join(F.broadcast(splits), "raw_split")  # a few rows
+
+
+def scene_frames(listing: DataFrame) -> DataFrame:
+    """listing (path, ...) of .../<split>/<scene>/<frame>.<extension> with split and scene."""
+    parts = F.split("path", "/")
+    return listing.withColumn("split", F.element_at(parts, -3)).withColumn("scene", F.element_at(parts, -2))
 
 
 def labelled_frames(listing: DataFrame, labels: DataFrame) -> DataFrame:
@@ -56,7 +86,7 @@ def labelled_frames(listing: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pixel_boxes(labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """labels with corners in pixels; sizes: stem, width, height."""
+    """labels (as ``label_rows`` gives them without clamping) with corners in pixels; sizes: stem, width, height."""
     box = g.centre_to_corners(F.struct("cx", "cy", "w", "h"), F.col("width"), F.col("height"))
     return labels.join(sizes, "stem").withColumn("_b", box).select(*labels.columns, "_b.x1", "_b.y1", "_b.x2", "_b.y2")
 
@@ -75,9 +105,13 @@ def altitude_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def flight_log(spark: SparkSession, path: str) -> DataFrame:
     """(frame, altitude_m): file names of a column filename or else frame; rows without a number are left out, of several rows the last counts."""
-    read = spark.read.csv(path, header=True)
+    return logged_altitudes(spark.read.csv(path, header=True).withColumn("_n", F.monotonically_increasing_id()))
+
+
+def logged_altitudes(read: DataFrame) -> DataFrame:
+    """The same of rows of text columns, in the order of ``_n``."""
     names = [F.nullif(F.col(c), F.lit("")) for c in ("filename", "frame") if c in read.columns]
-    rows = read.select(F.element_at(F.split(F.coalesce(*names), "/"), -1).alias("frame"), F.expr("try_cast(altitude_m AS double)").alias("altitude_m"), F.monotonically_increasing_id().alias("n"))
+    rows = read.select(F.element_at(F.split(F.coalesce(*names), "/"), -1).alias("frame"), F.expr("try_cast(altitude_m AS double)").alias("altitude_m"), F.col("_n").alias("n"))
     return rows.filter("altitude_m IS NOT NULL").groupBy("frame").agg(F.max_by("altitude_m", "n").alias("altitude_m"))
 
 

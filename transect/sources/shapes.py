@@ -13,7 +13,11 @@ MODES = ("body", "all", "union")
 
 def regions(spark: SparkSession, folder: str) -> DataFrame:
     """(path, key, filename, regions): regions as an array, whether the file has a list or an object of them. Entries without file name are left out."""
-    text = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return region_rows(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def region_rows(text: DataFrame) -> DataFrame:
+    """The same of texts (path, value)."""
     entries = text.select("path", F.explode(F.from_json("value", "map<string,string>")).alias("key", "entry"))
     raw = F.get_json_object("entry", "$.regions")
     listed = F.from_json(raw, f"array<{schema.REGION}>")
@@ -49,6 +53,12 @@ def coco_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.COCO_RECORD).json(path)
 
 
+def with_missing(records: DataFrame, sizes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(records whose image sizes has, one row with n_missing, the number of the others)."""
+    known = sizes.select(key).distinct()
+    return records.join(known, key, "left_semi"), records.join(known, key, "left_anti").agg(F.count("*").alias("n_missing"))
+
+
 def coco_boxes(records: DataFrame, sizes: DataFrame) -> DataFrame:
     """(file_name, seq, box): boxes that aren't four numbers are left out, as are images that sizes lacks. sizes: file_name, width, height."""
     rows = records.drop("width", "height").join(sizes, "file_name").select("file_name", "width", "height", F.posexplode("annotations").alias("seq", "_a"))

@@ -2,11 +2,12 @@
 
 Both take rows (flight, ts, kind, value, ...), kind being image, altitude or gsd. The batch form reads the past of each flight
 in windows of a fixed length, with the last values of all windows before carried along, so a flight of any length isn't one
-group. The stream keeps two values (and a blind slice) for each flight.
+group. The stream keeps two values, a counter and a blind slice for each flight.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from typing import Any
 
@@ -45,7 +46,9 @@ def decisions(frames: DataFrame, mode: str = "adaptive", fixed_slice: int = 1024
     An unknown mode counts as adaptive. Fixed mode ignores geometry. Frames without geometry take ``blind``, the slice that a
     blind sweep found for the flight before, as mode blind_cached.
     """
-    mode = mode if mode in MODES else "adaptive"
+    if mode not in MODES:
+        warnings.warn(f"unknown mode {mode}: adaptive is used", stacklevel=2)
+        mode = "adaptive"
     width, height = F.lit(8192) if width is None else width, F.lit(5460) if height is None else height
     lit = lambda v: F.lit(v).cast("double")
     distance, altitude = fl.live_resolution(lit(param_gsd), F.col("topic_gsd"), lit(param_altitude), F.col("topic_altitude"))
@@ -62,16 +65,35 @@ def decisions(frames: DataFrame, mode: str = "adaptive", fixed_slice: int = 1024
     return out.withColumn("tiles", fl.tile_count(width, height, F.col("slice")))
 
 
-def enriched_stream(rows: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """A stream of rows (flight, ts timestamp, kind, value, event_id) as its image rows with topic_altitude, topic_gsd and n_frame.
+def blind_slices(frames: DataFrame, swept: str = "swept") -> DataFrame:
+    """frames (topic_gsd, topic_altitude, ``swept``: the slice that a blind sweep of the frame picks) with blind_slice: of their
+    flight's first frame without geometry, which the sweep is for; null where a flight has none. Summed before the shuffle."""
+    unknown = F.nullif("topic_gsd", F.lit(0.0)).isNull() & F.nullif("topic_altitude", F.lit(0.0)).isNull() & F.col(swept).isNotNull()
+    first = frames.filter(unknown).groupBy(F.col("flight").alias("_f")).agg(F.min_by(swept, F.struct("ts", "event_id")).alias("blind_slice"))
+    return frames.join(first, F.col("flight").eqNullSafe(F.col("_f")), "left").drop("_f")
 
-    State is two values and a counter for each flight. Rows of a batch are taken in event-time order (telemetry before images
-    at equal times); of values older than those in state, the newer stays.
+
+def enriched_stream(rows: DataFrame, watermark: str = "1 hour", idle: str = "1 day") -> DataFrame:
+    """A stream of rows (flight, ts timestamp, kind, value, event_id, and swept if there is one) as its image rows with
+    topic_altitude, topic_gsd, n_frame and blind_slice.
+
+    State is two values with their times, a counter and a blind slice for each flight: the one that a sweep picked for its first
+    frame without geometry. Rows of a batch are taken in event-time order (telemetry before images at equal times); of values
+    older than those in state, the newer stays, so a late value counts for no frame of a batch before. Null flights are one
+    flight. The state of a flight goes when the watermark has passed its last row by ``idle``; one that comes back begins anew.
     """
     prepare(rows.sparkSession)
+    if "swept" not in rows.columns:
+        rows = rows.withColumn("swept", F.lit(None).cast("int"))
+    after = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        alt, alt_at, gsd, gsd_at, count = state.get if state.exists else (None, -1, None, -1, 0)
+        columns = ["flight", "ts", "event_id", "topic_altitude", "topic_gsd", "n_frame", "blind_slice"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        alt, alt_at, gsd, gsd_at, count, blind = state.get if state.exists else (None, -1, None, -1, 0, None)
         found = pd.concat(list(batches), ignore_index=True)
         found["rank"] = (found["kind"] == "image").astype(int)
         out = []
@@ -83,15 +105,25 @@ def enriched_stream(rows: DataFrame, watermark: str = "1 hour") -> DataFrame:
                 gsd, gsd_at = float(r.value), at
             elif r.kind == "image":
                 count += 1
-                out.append((key[0], r.ts, r.event_id, alt, gsd, count))
-        state.update((alt, alt_at, gsd, gsd_at, count))
-        yield pd.DataFrame(out, columns=["flight", "ts", "event_id", "topic_altitude", "topic_gsd", "n_frame"])
+                if blind is None and not alt and not gsd and r.swept is not None and not pd.isna(r.swept):
+                    blind = int(r.swept)
+                out.append((key[0], r.ts, r.event_id, alt, gsd, count, blind))
+        state.update((alt, alt_at, gsd, gsd_at, count, blind))
+        state.setTimeoutTimestamp(max(int(found["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + after)
+        made = pd.DataFrame(out, columns=columns)
+        yield made.astype({"blind_slice": "Int32"})
 
     kind = dict(rows.dtypes)["flight"]
     return (
         rows.withWatermark("ts", watermark)
         .groupBy("flight")
-        .applyInPandasWithState(step, f"flight {kind}, ts timestamp, event_id long, topic_altitude double, topic_gsd double, n_frame long", "alt double, alt_at long, gsd double, gsd_at long, n long", "append", "NoTimeout")
+        .applyInPandasWithState(
+            step,
+            f"flight {kind}, ts timestamp, event_id long, topic_altitude double, topic_gsd double, n_frame long, blind_slice int",
+            "alt double, alt_at long, gsd double, gsd_at long, n long, blind int",
+            "append",
+            "EventTimeTimeout",
+        )
     )
 
 
