@@ -127,7 +127,8 @@ def adaptive_prediction(frames: DataFrame, detect: Callable[[DataFrame], DataFra
 
     detect gets the tiles (frame's columns, slice, mode, x, y, tile_w, tile_h) and gives (frame, x, y, det_seq, x1, y1, x2, y2,
     score) in pixels of the tile; those from ``conf`` on are kept, and moved to the frame. decision: arguments of
-    ``flight.slice_decision``. A frame's detections are numbered by tile and det_seq.
+    ``flight.slice_decision``. A frame's detections are numbered by tile and det_seq; an
+    object that lies in two tiles is two detections, which fusion joins.
     """
     chosen = frames.withColumn("_d", flight.slice_decision(F.col("width"), F.col("height"), **decision)).withColumn("slice", F.when(F.col("_d.mode") == "sahi", F.col("_d.slice_size"))).withColumn("mode", F.col("_d.mode")).drop("_d")
     found = detect(planned_tiles(chosen, overlap)).filter(F.col("score") >= conf)

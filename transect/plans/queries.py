@@ -548,3 +548,6 @@ def q38_method_prf(spark: SparkSession, d: str) -> DataFrame:
     found = F.explode(F.filter(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(s).alias("least")) for m, s in least.items()]), lambda m: F.col("score") >= m.least))
     dets = fx.detections(spark, d).withColumn("_m", found).withColumn("method", F.col("_m.method")).drop("_m")
     return planning.method_metrics(planning.method_grid(frames).select("frame", "method", "altitude", "slice"), dets, fx.truth(spark, d))
+
+
+from transect.plans import inventory  # noqa: E402, F401  (registers more)
