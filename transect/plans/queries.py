@@ -461,17 +461,23 @@ def q32_length_crop_assign(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
-m AS (SELECT label, round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(c), 6) AS c FROM x GROUP BY label),
-s AS (SELECT vec_id, x.label = m.label AS hit, round(1 / (1 + (x.a - m.a) * (x.a - m.a) + (x.b - m.b) * (x.b - m.b) + (x.c - m.c) * (x.c - m.c)), 4) AS conf FROM x, m),
+WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (SELECT label, unnest(v) AS y, generate_subscripts(v, 1) AS k FROM x),
+c AS (SELECT label, k, round(avg(y), 6) AS y FROM e GROUP BY label, k),
+m AS (SELECT label, list(y ORDER BY k) AS v FROM c GROUP BY label),
+s AS (SELECT vec_id, x.label = m.label AS hit, round(1 / list_reduce(list_prepend(1.0::DOUBLE, list_transform(list_zip(x.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), lambda a, b: a + b), 4) AS conf FROM x, m),
 k AS (SELECT conf, count(*) FILTER (WHERE hit) AS tp, count(*) FILTER (WHERE NOT hit) AS fp FROM s GROUP BY conf)
 SELECT conf, (sum(tp) OVER w)::BIGINT AS tp, (sum(fp) OVER w)::BIGINT AS fp FROM k WINDOW w AS (ORDER BY conf DESC)
 """)
 def q33_vector_froc(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("abc")])
-    means = x.groupBy(F.col("label").alias("of")).agg(*[F.round(F.avg(n), 6).alias(f"m{n}") for n in "abc"])
-    distance = sum([(F.col(n) - F.col(f"m{n}")) * (F.col(n) - F.col(f"m{n}")) for n in "abc"], F.lit(1))
-    scored = x.crossJoin(F.broadcast(means)).select(F.when(F.col("label") == F.col("of"), F.lit(1)).alias("gt_idx"), F.round(1 / distance, 4).alias("score"), F.col("vec_id").alias("frame"))  # ten classes
+    """Each vector beside the mean of each class: the score falls with the distance, and the vector's own class is the truth."""
+    x = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    parts = x.select("label", F.posexplode("v").alias("k", "y")).groupBy("label", "k").agg(F.round(F.avg("y"), 6).alias("y"))
+    means = parts.groupBy(F.col("label").alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "y"))), lambda s: s.y).alias("m"))
+    if means.count() > 1000:
+        raise ValueError("a curve over classes takes a thousand of them at most")
+    distance = F.aggregate(F.zip_with("v", "m", lambda p, q: (p - q) * (p - q)), F.lit(1.0), lambda a, y: a + y)
+    scored = x.crossJoin(F.broadcast(means)).select(F.when(F.col("label") == F.col("of"), F.lit(1)).alias("gt_idx"), F.round(1 / distance, 4).alias("score"), F.col("vec_id").alias("frame"))
     thresholds = scored.select(F.col("score").alias("conf")).distinct()
     per = scored.groupBy(F.col("score").alias("conf")).agg(F.count_if(F.col("gt_idx").isNotNull()).alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp"))
     down = Window.orderBy(F.col("conf").desc()).rowsBetween(Window.unboundedPreceding, 0)  # 10001 scores at most
