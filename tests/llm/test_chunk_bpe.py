@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -22,18 +24,44 @@ def test_awkward_rows(spark):
         assert sorted((str(r.doc_id), bytes(r.ids), r.text) for r in found.collect()) == want
 
 
-@pytest.mark.parametrize("max_shared", [1 << 17, 20, 0])
-def test_driver_documents(spark, small, max_shared):
+@pytest.mark.parametrize("max_filter_mb", [256, 1 / 4096])
+def test_driver_documents(spark, small, max_filter_mb):
+    """With a filter of the documents that have shared chunks, and with one that would be too large."""
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
     want = dict(zip([r.doc_id for r in rows], plain([r.text for r in rows]), strict=True))
-    assert {r.doc_id: bytes(r.ids) for r in chunk_bpe.encode(docs, PATH, max_shared=max_shared).collect()} == want
+    assert {r.doc_id: bytes(r.ids) for r in chunk_bpe.encode(docs, PATH, max_filter_mb=max_filter_mb).collect()} == want
 
 
-def test_chunks_are_shared(spark, small):
+def test_every_chunk_that_occurs_twice_is_shared(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    assert len(chunk_bpe.shared_chunks(docs, PATH)) > 20
-    assert len(chunk_bpe.shared_chunks(docs, PATH, max_shared=20)) <= 20
+    own = {}
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        raw = np.frombuffer(data, np.uint8)
+        cuts = next(iter(chunk_bpe._cuts(raw, np.array([0, len(raw)]))))[1]
+        own[r.doc_id] = [data[a:b] for a, b in chunk_bpe._cores(data, cuts)]
+    times = Counter(c for cs in own.values() for c in cs)
+    want = {d: {c for c in cs if times[c] > 1} for d, cs in own.items()}
+    library = dict(zip(times, plain([c.decode() for c in times]), strict=True))
+    found = {r.doc_id: {bytes(c[:16]): bytes(c[16:]) for c in r.chunks or []} for r in chunk_bpe.with_chunks(docs, PATH).collect()}
+    assert found == {d: {chunk_bpe._digest(c): np.frombuffer(library[c], np.uint32).astype(np.uint16).tobytes() for c in cs} for d, cs in want.items()}
+    assert sum(map(len, want.values())) > 40
+
+
+def test_chunks_have_a_greatest_length():
+    for text in ("ab cd ef gh " * 50_000, "x" * 100_000, "é" * 60_000, "one sentence that comes again and again. " * 3_000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        for _, cuts in chunk_bpe._cuts(data, np.array([0, len(data)])):
+            assert cuts[0] == 0 and cuts[-1] == len(data)
+            assert max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) <= chunk_bpe._MOST_CHUNK
+            assert all((data[c] & 0xC0) != 0x80 for c in cuts[:-1])
+
+
+def test_long_periodic_texts(spark):
+    texts = ["ab cd ef gh " * 30_000, "x " + "ab cd ef gh " * 20_000, "x" * 50_000, "é " * 30_000 + "tail"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [bytes(r.ids) for r in chunk_bpe.encode(docs, PATH).orderBy("doc_id").collect()] == plain(texts)
 
 
 def test_joins_are_widened_until_they_agree():

@@ -1,21 +1,24 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the bytes cuts texts into chunks, so that a passage is cut alike wherever it stands. Spark counts
-the chunks of all documents. Chunks that occur again are encoded once, by distinct chunk, and their ids are
-broadcast; every document then takes these ids as they are and encodes only what lies between.
+A rolling hash over the bytes cuts texts into chunks, so that a passage is cut alike wherever it stands; no chunk is longer
+than ``_MOST_CHUNK`` bytes. Spark counts the chunks of all documents by their digests. Every chunk that occurs twice or
+more is encoded once, by the document of the smallest id that has it, and its ids are joined by digest with the documents
+that have it; each of these takes them as they are and encodes only what lies between.
 
 Cuts fall anywhere, so joins are repaired: of a chunk only its core, from its first white space to its last, is
 shared, and the text between two cores is encoded together with the word before and the word after. The re-encoded
 ids must begin and end with the ids that the cores have for those words; if they don't, both sides are widened by
 more words, in the end to the whole text.
 
-The broadcast table holds ``max_shared`` chunks at most: the least number of occurrences that is shared is raised, by
-a histogram of counts, until they fit. All other chunks are encoded in place, with the same result.
-Null texts are empty, and have no ids.
+Only documents that have shared chunks are shuffled by document: a Bloom filter of these, broadcast while it takes
+``max_filter_mb`` at most, lets the others pass straight through. Beyond that all texts are shuffled, with the same result.
+What meets in one row is the shared chunks of one document. Null texts are empty, and have no ids; repeated rows are
+repeated; a chunk that a document has several times is shared too; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, text_slices
+from .common import ID_SENTINEL, mix, prepare, text_slices
 from .encoders import UnitEncoder
+from .exact_dedup import MAX_FILTER_MB, maybe_among
 
-MAX_SHARED = 1 << 16
-_CUT_BITS, _LEAST_CHUNK, _WINDOW = 10, 256, 32
+_CUT_BITS, _LEAST_CHUNK, _MOST_CHUNK, _WINDOW = 10, 256, 8192, 32
 _GEAR = mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)
 
 
@@ -46,11 +49,15 @@ def _cuts(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, list[int]]]:
     bounds = np.searchsorted(marks, at).tolist()
     marks, at = marks.tolist(), at.tolist()
     for row in range(len(at) - 1):
-        cuts = [at[row]]
-        for m in marks[bounds[row] : bounds[row + 1]]:
-            if m - cuts[-1] >= _LEAST_CHUNK and at[row + 1] - m >= _LEAST_CHUNK:
+        cuts, end = [at[row]], at[row + 1]
+        for m in (*marks[bounds[row] : bounds[row + 1]], end):
+            while m - cuts[-1] > _MOST_CHUNK:  # no mark for long
+                cut = cuts[-1] + _MOST_CHUNK
+                while (raw[cut] & 0xC0) == 0x80:
+                    cut -= 1
+                cuts.append(cut)
+            if m == end or (m - cuts[-1] >= _LEAST_CHUNK and end - m >= _LEAST_CHUNK):
                 cuts.append(m)
-        cuts.append(at[row + 1])
         yield row, cuts
 
 
@@ -67,61 +74,72 @@ def _digest(core: bytes) -> bytes:
     return xxhash.xxh3_128_digest(core)
 
 
-def _chunk_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_DOC = "id long, key int"  # a document: its id (a null one as ID_SENTINEL), and a hash of its text
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and digest of its cores, with how often it has it."""
     for batch in batches:
-        for _, _, raw, at in text_slices(batch.column(0)):
+        for first, _, raw, at in text_slices(batch.column(2)):
             data = raw.tobytes()
-            found = [_digest(data[a:b]) for _, cuts in _cuts(raw, at) for a, b in _cores(data, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
+            rows, found, times = [], [], []
+            for row, cuts in _cuts(raw, at):
+                own = Counter(_digest(data[a:b]) for a, b in _cores(data, cuts))
+                rows += [first + row] * len(own)
+                found += own
+                times += own.values()
+            taken = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(found, pa.binary()), pa.array(times, pa.int32())], ["id", "key", "digest", "n"])
 
 
-def _shared_texts(wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = set(wanted.value)
-        for batch in batches:
-            for _, _, raw, at in text_slices(batch.column(0)):
-                data = raw.tobytes()
-                out = {}
-                for _, cuts in _cuts(raw, at):
-                    for a, b in _cores(data, cuts):
-                        if (d := _digest(data[a:b])) in left:
-                            left.discard(d)
-                            out[d] = data[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "core"])
+def _packed(encoder: UnitEncoder, ids: bytes) -> bytes:
+    return np.frombuffer(ids, np.uint32).astype(_kind(encoder)).tobytes()
 
-    return run
+
+def _kind(encoder: UnitEncoder) -> type:
+    return np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
 
 def _encode_once(path: str):
+    """(digest, ids) of the cores that a document (text, and a list of digests) encodes for all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, done = UnitEncoder.of(path, False), set()
+        encoder = UnitEncoder.of(path, False)
         for batch in batches:
-            rows = [(d, c) for d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if d not in done]
-            rows = list(dict(rows).items())
-            done.update(d for d, _ in rows)
-            ids = [np.frombuffer(encoder.encode(c.decode()), np.uint32).astype(np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32).tobytes() for _, c in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.binary()), pa.array(ids, pa.binary())], ["digest", "ids"])
+            asked = batch.column(1)
+            for first, last, raw, at in text_slices(batch.column(0)):
+                data, out = raw.tobytes(), {}
+                wanted = asked.slice(first, last - first).to_pylist()
+                for row, cuts in _cuts(raw, at):
+                    left = set(wanted[row])
+                    for a, b in _cores(data, cuts):
+                        if (d := _digest(data[a:b])) in left:
+                            left.discard(d)
+                            out[d] = data[a:b].decode()
+                ids = [_packed(encoder, i) for i in encoder.encode_all(list(out.values()))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(ids, pa.binary())], ["digest", "ids"])
 
     return run
 
 
-def shared_chunks(docs: DataFrame, path: str, text: str = "text", max_shared: int = MAX_SHARED) -> dict[bytes, bytes]:
-    """digest -> ids of the most repeated chunks, max_shared at most, each encoded once."""
-    spark, texts = docs.sparkSession, docs.select(F.col(text).alias("text"))
-    counts = texts.mapInArrow(_chunk_digests, "digest binary").groupBy("digest").count().filter("count > 1").withColumn("level", F.floor(F.log2("count")).cast("int")).checkpoint()
-    least, total = 64, 0
-    for level, n in sorted(((r.level, r.n) for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):  # 63 rows at most
-        total += n
-        if total > max_shared:
-            break
-        least = level
-    chosen = counts.filter(F.col("level") >= least).select("digest")
-    wanted = spark.sparkContext.broadcast([bytes(r.digest) for r in chosen.toLocalIterator()])  # max_shared at most
-    if not wanted.value:
-        return {}
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cores = texts.mapInArrow(_shared_texts(wanted), "digest binary, core binary").repartition(n, "digest")
-    return {bytes(r.digest): bytes(r.ids) for r in cores.mapInArrow(_encode_once(path), "digest binary, ids binary").toLocalIterator()}
+def with_chunks(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
+    """(doc_id, text, chunks), one row for each row of docs: chunks are the document's shared ones, each its digest (16 bytes)
+    and its ids; null for documents without."""
+    own = F.col(doc_id).cast("long")
+    rows = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(ID_SENTINEL)).alias("id"), F.hash(F.col(text)).alias("key"), F.col(text).alias("text"))
+    occurrences = rows.select("id", "key", "text").mapInArrow(_occurrences, f"{_DOC}, digest binary, n int").checkpoint()
+    shared = occurrences.groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("id", "key")).alias("who")).filter("n > 1").select("digest", "who").checkpoint()
+    named = lambda df: df.select(F.col("id").alias("i"), F.col("key").alias("k"), "chunks")
+    same = (F.col("id") == F.col("i")) & (F.col("key") == F.col("k"))
+    # both sides of the joins by digest are exchanges, which adaptive execution can split where a chunk is hot
+    having = occurrences.join(shared.select("digest"), "digest").select(F.xxhash64("id", "key").alias("h")).distinct().checkpoint()
+    told = maybe_among(rows.withColumn("h", F.xxhash64("id", "key")), "h", having, max_filter_mb)
+    taken = told.filter("maybe").select("doc_id", "id", "key", "text")
+    encoders = named(shared.groupBy("who").agg(F.collect_list("digest").alias("chunks")).select("who.id", "who.key", "chunks"))
+    coded = taken.join(encoders.hint("shuffle_hash"), same).select("text", "chunks").mapInArrow(_encode_once(path), "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids")).checkpoint()
+    lists = occurrences.select("id", "key", "digest").join(coded, "digest").groupBy("id", "key").agg(F.collect_list(F.concat("digest", "ids")).alias("chunks"))
+    joined = taken.join(named(lists).hint("shuffle_hash"), same, "left").select("doc_id", "text", "chunks")
+    return told.filter("NOT maybe").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("chunks")).union(joined)
 
 
 def _last_words(data: bytes, a: int, b: int, n: int) -> int:
@@ -168,17 +186,23 @@ def join_ids(data: bytes, start: int, end: int, cores: list[tuple[int, int, byte
     return b"".join(out)
 
 
-def _encode(path: str, shared, decoded: bool):
+def _encode(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = UnitEncoder.of(path, False), shared.value
-        kind = np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        encoder = UnitEncoder.of(path, False)
+        kind = _kind(encoder)
         for batch in batches:
             for first, last, raw, at in text_slices(batch.column(1)):
                 data = raw.tobytes()
-                ids = []
-                for _, cuts in _cuts(raw, at):
-                    cores = [(a, b, np.frombuffer(found, kind).astype(np.uint32).tobytes()) for a, b in _cores(data, cuts) if (found := known.get(_digest(data[a:b]))) is not None] if known else []
-                    ids.append(join_ids(data, cuts[0], cuts[-1], cores, encoder.encode))
+                chunks = batch.column(2).slice(first, last - first).to_pylist()
+                plain = [k for k, c in enumerate(chunks) if not c]
+                ids: list[bytes] = [b""] * len(chunks)
+                for k, found in zip(plain, encoder.encode_all([data[at[k] : at[k + 1]].decode() for k in plain]), strict=True):
+                    ids[k] = found
+                for row, cuts in _cuts(raw, at) if len(plain) < len(chunks) else ():
+                    if chunks[row]:
+                        known = {c[:16]: c[16:] for c in chunks[row]}
+                        cores = [(a, b, np.frombuffer(found, kind).astype(np.uint32).tobytes()) for a, b in _cores(data, cuts) if (found := known.get(_digest(data[a:b]))) is not None]
+                        ids[row] = join_ids(data, cuts[0], cuts[-1], cores, encoder.encode)
                 columns = {"doc_id": batch.column(0).slice(first, last - first), "ids": pa.array(ids, pa.binary())}
                 if decoded:
                     columns["text"] = pa.array(_decoded(encoder.tokenizer, ids), pa.string())
@@ -191,16 +215,15 @@ def _decoded(tokenizer, blobs: list[bytes]) -> list[str]:
     return [tokenizer.decode(np.frombuffer(b, np.uint32).tolist(), skip_special_tokens=False) for b in blobs]
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", max_shared: int = MAX_SHARED, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False, max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
     """(doc_id, ids), one row for each row of docs: ids as little-endian unsigned 32-bit numbers; with ``decoded``, also
     their decoding, as ``decode`` gives it, by the same Python worker.
 
     For vocabularies that drop white space between pieces; path is that of a tokenizers file.
     """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text, max_shared))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encode(path, shared, decoded), "doc_id long, ids binary" + ", text string" * decoded)
+    rows = with_chunks(docs, path, doc_id, text, max_filter_mb)
+    return rows.mapInArrow(_encode(path, decoded), "doc_id long, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -216,7 +239,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids binary, text string")
 
 
-def summary(docs: DataFrame, path: str, max_shared: int = MAX_SHARED) -> DataFrame:
+def summary(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each row of docs."""
-    both = encode(docs, path, max_shared=max_shared, decoded=True)
+    both = encode(docs, path, decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -88,7 +88,7 @@ def _build(log_words: int, log_ranges: int, chunk: int = 1 << 17):
     return run
 
 
-def _merge(log_words: int):
+def _merge(log_words: int, once_too: bool = False):
     per_segment = max(1, (1 << log_words) // _SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +101,8 @@ def _merge(log_words: int):
                 o, t = np.frombuffer(blob, np.uint64, n, 4 * n) if n % 2 == 0 else np.frombuffer(blob[4 * n : 12 * n], np.uint64), np.frombuffer(blob[12 * n :], np.uint64)
                 twice[cell] |= t | (once[cell] & o)
                 once[cell] |= o
-        for segment, (_, twice) in segments.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "twice": pa.array([twice.tobytes()], pa.binary())})
+        for segment, (once, twice) in segments.items():
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "bits": pa.array([(once if once_too else twice).tobytes()], pa.binary())})
 
     return run
 
@@ -114,14 +114,15 @@ def filter_size(rows: int, max_filter_mb: float = MAX_FILTER_MB) -> tuple[int, i
     return min(whole, at_once), max(0, whole - at_once)
 
 
-def repeat_filter(hashes: DataFrame, log_words: int, log_ranges: int) -> np.ndarray:
-    """The words of the filter for a DataFrame with one column of 64-bit hashes of one range: bits that more than one row set."""
+def repeat_filter(hashes: DataFrame, log_words: int, log_ranges: int, once_too: bool = False) -> np.ndarray:
+    """The words of the filter for a DataFrame with one column of 64-bit hashes of one range: bits that more than one row set,
+    or with ``once_too`` all that any row set."""
     cells = hashes.mapInArrow(_build(log_words, log_ranges), "segment int, cells binary")
-    merged = cells.repartition(min(_SEGMENTS, int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "segment").mapInArrow(_merge(log_words), "segment int, twice binary")
+    merged = cells.repartition(min(_SEGMENTS, int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "segment").mapInArrow(_merge(log_words, once_too), "segment int, bits binary")
     words = np.zeros(1 << log_words, np.uint64)
     per_segment = max(1, (1 << log_words) // _SEGMENTS)
     for row in merged.toLocalIterator():  # max_filter_mb at most, whatever the input
-        words[row.segment * per_segment : (row.segment + 1) * per_segment] = np.frombuffer(row.twice, np.uint64)
+        words[row.segment * per_segment : (row.segment + 1) * per_segment] = np.frombuffer(row.bits, np.uint64)
     return words
 
 
@@ -157,6 +158,16 @@ def maybe_repeated(rows: DataFrame, column: str, count: int, max_filter_mb: floa
     return out
 
 
+def maybe_among(rows: DataFrame, column: str, members: DataFrame, max_filter_mb: float = MAX_FILTER_MB, name: str = "maybe") -> DataFrame:
+    """rows with a boolean column ``name``: false only where a row's hash (``column``, a long) isn't among ``members``, a DataFrame
+    with one column of hashes. Where their filter would be larger than ``max_filter_mb``, it is true for every row."""
+    log_words, log_ranges = filter_size(members.count(), max_filter_mb)
+    if log_ranges:
+        return rows.withColumn(name, F.lit(True))
+    words = rows.sparkSession.sparkContext.broadcast(repeat_filter(members, log_words, 0, True))
+    return rows.withColumn(name, _looked_up(words, 0)(column))
+
+
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_sha256): what de-duplication needs of each row."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256"))
