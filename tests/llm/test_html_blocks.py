@@ -87,7 +87,7 @@ def test_driver_pages(spark, small, model):
     found = {r.page_id: r for r in hb.main_text(pages, model).collect()}
     rows = pages.collect()
     assert len(found) == len(rows)
-    assert sum(found[r.page_id].text != article(r.html) for r in rows) <= 1
+    assert [r.page_id for r in rows if found[r.page_id].text != article(r.html)] == []
     assert all(r.n_chars == len(r.text) for r in found.values())
 
 
@@ -99,6 +99,24 @@ def test_a_page_of_another_kind(model):
     assert hb.extract_pages([page], model) == ["Title of it\nFirst paragraph, of some length, about something.\nSecond paragraph, also of some length."]
 
 
+def test_a_page_without_landmarks(model):
+    """The paragraphs stay and the comments go; a menu in a cell of a layout table isn't told from text by its place alone."""
+    page = """<table class=layout><tr><td><ul><li><a href=/>Home</a></ul></td><td><div id=page><h2>A heading of it</h2><p>First paragraph, of some length, about something.</p>
+    <p>Second paragraph, also of some length.</p></div><div class="userComments"><div class=comment><p>Great, thanks!</p></div></div></td></tr></table>"""
+    text = hb.extract_pages([page], model)[0]
+    assert text.endswith("First paragraph, of some length, about something.\nSecond paragraph, also of some length.")
+
+
+def test_class_names_end_where_capitals_begin():
+    assert hb.blocks("<div class='siteNav mainContent2 XMLbox'>x</div>")[0].path == "div.content.main.nav.site.xmlbox"
+
+
+def test_deep_nesting_takes_linear_time():
+    found = hb.blocks("<div>text " * 100_000)
+    assert len(found) == 100_000
+    assert max(b.path.count("/") for b in found) == hb._DEEPEST - 1
+
+
 def test_nulls_and_empty_tables(spark, model):
     rows = spark.createDataFrame([(1, None, None, 1), (None, "u", "", 2), (1, "u", "<article><p>Some text of an article.</p></article>", 3)], "page_id long, url string, html string, text int")
     assert sorted(str(tuple(r)) for r in hb.main_text(rows, model).collect())[1:] == ["(1, None, '', 0)", "(None, 'u', '', 0)"]

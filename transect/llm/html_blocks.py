@@ -15,6 +15,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,6 +29,7 @@ from .common import hash_words, prepare, word_spans
 
 # ---------------------------------------------------------------- pages to blocks
 
+_DEEPEST = 64
 # Fixed values of the HTML standard: elements without an end tag, elements whose content isn't text, inline elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template textarea select datalist".split())
@@ -50,14 +52,16 @@ class Block:
 
 @lru_cache(1 << 14)
 def _element(tag: str, attributes: str) -> str:
-    """The tag with the words of its class, id and role."""
-    words = [w for m in _ATTRIBUTE.finditer(attributes) for w in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())]
+    """The tag with the words of its class, id and role, which end where capitals begin too."""
+    words = [w.lower() for m in _ATTRIBUTE.finditer(attributes) for w in re.findall(r"[A-Z]*[a-z]+|[A-Z]+", m[2] or m[3] or m[4] or "")]
     return ".".join([tag, *sorted(set(words))])
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; those without text are left out."""
-    stack: list[tuple[str, str]] = []
+    """Leaf blocks in page order; those without text are left out. A path has the ``_DEEPEST`` innermost elements, inline ones left out."""
+    stack: list[str] = []
+    names: list[str] = []  # of the elements of the stack that aren't inline
+    opened: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
     linked = at = 0
@@ -68,15 +72,22 @@ def blocks(page: str) -> list[Block]:
             joined = "".join(parts)
             text = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
             if text:
-                out.append(Block("/".join([e for t, e in stack if t not in _INLINE]), text, min(1.0, linked / len(text))))
+                out.append(Block("/".join(names[-_DEEPEST:]), text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
+    def pop() -> str:
+        tag = stack.pop()
+        opened[tag] -= 1
+        if tag not in _INLINE:
+            names.pop()
+        return tag
+
     while m := _TOKEN.match(page, at):
         piece, at = m[0], m.end()
         if piece[0] != "<" or piece == "<":
             parts.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked += len(piece)
             continue
         if m[2] is None:
@@ -85,8 +96,8 @@ def blocks(page: str) -> list[Block]:
         if tag not in _INLINE:
             end()
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if opened[tag]:
+                while pop() != tag:
                     pass
             continue
         if tag in _RAW:
@@ -99,12 +110,16 @@ def blocks(page: str) -> list[Block]:
         closes = _CLOSES.get(tag) or ({"p"} if tag in _BLOCKS_END_P else None)
         if closes:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    del stack[k:]
+                if stack[k] in closes:
+                    while len(stack) > k:
+                        pop()
                     break
-                if stack[k][0] not in _INLINE:
+                if stack[k] not in _INLINE:
                     break
-        stack.append((tag, _element(tag, m[3])))
+        stack.append(tag)
+        opened[tag] += 1
+        if tag not in _INLINE:
+            names.append(_element(tag, m[3]))
     end()
     return out
 
@@ -335,7 +350,8 @@ def training_pages(count: int, seed: int) -> Iterator[tuple[str, np.ndarray]]:
     def link(text: str) -> str:
         return f'<a href="/{rng.randint(1, 999)}">{text}</a>'
 
-    def around() -> str:
+    def around(plain: bool = False) -> str:
+        """What stands beside an article; plain: in elements that say nothing."""
         kind = rng.random()
         if kind < 0.3:
             inner = "<ul>" + "".join(f"<li>{link(short())}</li>" for _ in range(rng.randint(2, 7))) + "</ul>"
@@ -347,6 +363,8 @@ def training_pages(count: int, seed: int) -> Iterator[tuple[str, np.ndarray]]:
             inner = f"<h3>{short()}</h3>" + "".join(wrap("div", f"<b>{words(1)}</b> {sentence(3, 25)}", rng.choice([None, _NEUTRAL, ["comment"]])) for _ in range(rng.randint(1, 4)))
         else:
             inner = f"{short()} {link(short())}<br>&copy; {short()} &middot; {sentence(2, 12)}"
+        if plain and kind < 0.3 and rng.random() < 0.7:
+            return wrap("div", inner, rng.choice([None, _NEUTRAL, _AROUND]))
         if rng.random() < 0.4:
             return wrap(rng.choice(["nav", "footer", "aside", "header", "form", "footer", "nav"]), inner, rng.choice([None, None, _AROUND, _NEUTRAL]))
         return wrap(rng.choice(["div", "div", "div", "section", "ul" if inner.startswith("<li") else "div"]), inner, _AROUND)
@@ -380,10 +398,23 @@ def training_pages(count: int, seed: int) -> Iterator[tuple[str, np.ndarray]]:
             inner.append(wrap("div", "".join(wrap("div", sentence(), ["comment", "reply"]) for _ in range(rng.randint(1, 4))), ["comments", "discussion"]))
         holder = rng.random()
         main = "".join(inner)
-        main = wrap("article", main, rng.choice([None, None, _MAIN])) if holder < 0.6 else wrap("main", main) if holder < 0.7 else wrap(rng.choice(["div", "section"]), main, _MAIN)
+        bare = holder >= 0.85
+        if holder < 0.5:
+            main = wrap("article", main, rng.choice([None, None, _MAIN]))
+        elif holder < 0.6:
+            main = wrap("main", main)
+        elif holder < 0.85:
+            main = wrap(rng.choice(["div", "section"]), main, _MAIN)
+        elif holder < 0.95:  # elements that say nothing, or a cell of a layout table
+            main = wrap("div", main, rng.choice([None, _NEUTRAL]))
         if rng.random() < 0.3:
             main = wrap(rng.choice(["div", "main"]), main, rng.choice([_NEUTRAL, _MAIN]))
-        parts = [around() for _ in range(rng.randint(0, 3))] + [main] + [around() for _ in range(rng.randint(0, 3))]
+        before, after = [around(bare) for _ in range(rng.randint(0, 3))], [around(bare) for _ in range(rng.randint(0, 3))]
+        if bare and rng.random() < 0.4:
+            cells = [f"<td>{x}</td>" for x in (*before, main, *after)]
+            parts = ["<table><tr>" + rng.choice(["", "</tr><tr>"]).join(cells) + "</tr></table>"]
+        else:
+            parts = [*before, main, *after]
         if rng.random() < 0.3:
             parts = [wrap("div", "".join(parts), _NEUTRAL)]
         page = f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(5)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>{"".join(parts)}{"</body></html>" if rng.random() < 0.9 else ""}'
