@@ -24,13 +24,13 @@ def test_awkward_rows(spark):
         assert sorted((str(r.doc_id), bytes(r.ids), r.text) for r in found.collect()) == want
 
 
-@pytest.mark.parametrize("max_filter_mb", [256, 1 / 4096])
-def test_driver_documents(spark, small, max_filter_mb):
-    """With a filter of the documents that have shared chunks, and with one that would be too large."""
+@pytest.mark.parametrize("max_broadcast", [1_000_000, 10])
+def test_driver_documents(spark, small, max_broadcast):
+    """With the documents that have shared chunks broadcast, and with too many of them."""
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
     want = dict(zip([r.doc_id for r in rows], plain([r.text for r in rows]), strict=True))
-    assert {r.doc_id: bytes(r.ids) for r in chunk_bpe.encode(docs, PATH, max_filter_mb=max_filter_mb).collect()} == want
+    assert {r.doc_id: bytes(r.ids) for r in chunk_bpe.encode(docs, PATH, max_broadcast=max_broadcast).collect()} == want
 
 
 def test_every_chunk_that_occurs_twice_is_shared(spark, small):

@@ -10,8 +10,8 @@ shared, and the text between two cores is encoded together with the word before
 ids must begin and end with the ids that the cores have for those words; if they don't, both sides are widened by
 more words, in the end to the whole text.
 
-Only documents that have shared chunks are shuffled by document: a Bloom filter of these, broadcast while it takes
-``max_filter_mb`` at most, lets the others pass straight through. Beyond that all texts are shuffled, with the same result.
+Only documents that have shared chunks are shuffled by document: their hashes, broadcast while they are ``MAX_BROADCAST_DOCS``
+at most, let the others pass straight through. Beyond that all texts are shuffled, with the same result.
 What meets in one row is the shared chunks of one document. Null texts are empty, and have no ids; repeated rows are
 repeated; a chunk that a document has several times is shared too; an empty table gives an empty table.
 """
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import ID_SENTINEL, mix, prepare, text_slices
 from .encoders import UnitEncoder
-from .exact_dedup import MAX_FILTER_MB, maybe_among
 
+MAX_BROADCAST_DOCS = 2_000_000  # hashes of 8 bytes: some 64 MB as a relation
 _CUT_BITS, _LEAST_CHUNK, _MOST_CHUNK, _WINDOW = 10, 256, 8192, 32
 _GEAR = mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)
 
@@ -122,7 +122,7 @@ def _encode_once(path: str):
     return run
 
 
-def with_chunks(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
+def with_chunks(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST_DOCS) -> DataFrame:
     """(doc_id, text, chunks), one row for each row of docs: chunks are the document's shared ones, each its digest (16 bytes)
     and its ids; null for documents without."""
     own = F.col(doc_id).cast("long")
@@ -133,13 +133,17 @@ def with_chunks(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     same = (F.col("id") == F.col("i")) & (F.col("key") == F.col("k"))
     # both sides of the joins by digest are exchanges, which adaptive execution can split where a chunk is hot
     having = occurrences.join(shared.select("digest"), "digest").select(F.xxhash64("id", "key").alias("h")).distinct().checkpoint()
-    told = maybe_among(rows.withColumn("h", F.xxhash64("id", "key")), "h", having, max_filter_mb)
-    taken = told.filter("maybe").select("doc_id", "id", "key", "text")
+    few = having.count() <= max_broadcast
+    hashed = rows.withColumn("of", F.xxhash64("id", "key"))
+    taken = hashed.join(F.broadcast(having), F.col("of") == F.col("h"), "left_semi").drop("of") if few else rows
     encoders = named(shared.groupBy("who").agg(F.collect_list("digest").alias("chunks")).select("who.id", "who.key", "chunks"))
     coded = taken.join(encoders.hint("shuffle_hash"), same).select("text", "chunks").mapInArrow(_encode_once(path), "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids")).checkpoint()
     lists = occurrences.select("id", "key", "digest").join(coded, "digest").groupBy("id", "key").agg(F.collect_list(F.concat("digest", "ids")).alias("chunks"))
     joined = taken.join(named(lists).hint("shuffle_hash"), same, "left").select("doc_id", "text", "chunks")
-    return told.filter("NOT maybe").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("chunks")).union(joined)
+    if not few:
+        return joined
+    others = hashed.join(F.broadcast(having), F.col("of") == F.col("h"), "left_anti")
+    return others.select("doc_id", "text", F.lit(None).cast("array<binary>").alias("chunks")).union(joined)
 
 
 def _last_words(data: bytes, a: int, b: int, n: int) -> int:
@@ -215,14 +219,14 @@ def _decoded(tokenizer, blobs: list[bytes]) -> list[str]:
     return [tokenizer.decode(np.frombuffer(b, np.uint32).tolist(), skip_special_tokens=False) for b in blobs]
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False, max_filter_mb: float = MAX_FILTER_MB) -> DataFrame:
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False, max_broadcast: int = MAX_BROADCAST_DOCS) -> DataFrame:
     """(doc_id, ids), one row for each row of docs: ids as little-endian unsigned 32-bit numbers; with ``decoded``, also
     their decoding, as ``decode`` gives it, by the same Python worker.
 
     For vocabularies that drop white space between pieces; path is that of a tokenizers file.
     """
     prepare(docs.sparkSession)
-    rows = with_chunks(docs, path, doc_id, text, max_filter_mb)
+    rows = with_chunks(docs, path, doc_id, text, max_broadcast)
     return rows.mapInArrow(_encode(path, decoded), "doc_id long, ids binary" + ", text string" * decoded)
 
 
