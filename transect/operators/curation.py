@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transect.functions import geometry as g
+from transect.operators.ordering import percentiles
 
 
 def first_seen(images: DataFrame, content: str, order: Sequence[str]) -> DataFrame:
@@ -18,9 +19,17 @@ def first_seen(images: DataFrame, content: str, order: Sequence[str]) -> DataFra
 
 
 def with_unique_names(images: DataFrame, stem: str, content: str, order: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
-    """images with ``name``: the stem, and where an earlier image (of the same ``within``) has it too, the first 8 digits of the content hash after it."""
-    nth = F.row_number().over(Window.partitionBy(*within, stem).orderBy(*order))
-    return images.withColumn("name", F.when(nth == 1, F.col(stem)).otherwise(F.concat_ws("_", F.col(stem), F.substring(content, 1, 8))))
+    """images with ``name``: the stem, and where an earlier image (of the same ``within``) has it too, the first 8 digits of the content hash after it.
+
+    The first of a stem is found by sums before the shuffle, and joined back; ``order`` tells images of one stem apart. Images without a stem have no name."""
+    keys = [*within, stem]
+    first = images.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.min(F.struct(*order)).alias("_first"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    later = F.concat_ws("_", F.col(stem), F.substring(content, 1, 8))
+    named = images.join(first, same).withColumn("name", F.when(F.struct(*order).eqNullSafe(F.col("_first")) | F.col(stem).isNull(), F.col(stem)).otherwise(later))
+    return named.drop("_first", *[f"_{c}" for c in keys])
 
 
 def collapse_augmentations(files: DataFrame, by: Sequence[str], base: str, path: str) -> DataFrame:
@@ -101,7 +110,7 @@ def box_scale(frames: DataFrame, boxes: DataFrame, percentages: Sequence[float]
     per_frame = frame_counts(frames, boxes)
     counts = source_counters(per_frame)
     sized = boxes.join(frames.select("frame", "source"), "frame").withColumn("size", g.sqrt_area(F.col("w"), F.col("h"), F.lit(1.0), F.lit(1.0)))
-    shares = sized.rollup("source").agg(F.grouping("source").alias("_all"), F.percentile("size", F.array(*[F.lit(p) for p in percentages])).alias("_p"))
+    shares = percentiles(sized, "source", "size", percentages).withColumnRenamed("values", "_p")
     shares = shares.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("source")).alias("of"), "_p")
     named = [F.col("_p")[k].alias(f"p{round(100 * p)}") for k, p in enumerate(percentages)]
     return counts.join(shares, F.col("source").eqNullSafe(F.col("of"))).select("source", "images", F.col("backgrounds").alias("background"), "boxes", *named)

@@ -64,3 +64,25 @@ def hash_rank(df: DataFrame, by: Sequence[str], digest: str, name: str) -> DataF
         same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
     numbered = cut.withColumn("_row", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(digest)) - 1)
     return numbered.join(bases, same).withColumn(name, F.col("_row") + F.col("_base")).drop("_part", "_row", "_p", "_base", *[f"_{b}" for b in by])
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """(by, _all, values): percentiles of a column, exact, linear between neighbours, for each group and (_all 1) for all rows.
+
+    Equal values are counted before the shuffle, and the counts summed in order by range, so neither a hot group nor a hot
+    value is one task's work. Null values are left out.
+    """
+    some = rows.filter(F.col(value).isNotNull()).select(by, value)
+    each = some.groupBy(by, value).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
+    whole = some.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(1)).withColumn(by, F.lit(None).cast(dict(rows.dtypes)[by]))
+    ranked = running_total(each.unionByName(whole), [F.col("_all"), F.col(by), F.col(value)], F.col("_n"), "_before")
+    groups = ranked.groupBy(F.col("_all").alias("_g"), F.col(by).alias("_by")).agg(F.min("_before").alias("_start"), F.sum("_n").alias("_total"))
+    wanted = groups.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in shares])).alias("_k", "_p")).withColumn("_at", F.col("_p") * (F.col("_total") - 1))
+    same = (F.col("_all") == F.col("_g")) & F.col(by).eqNullSafe(F.col("_by"))
+    first = F.col("_before") - F.col("_start")
+    covers = lambda at: (first <= at) & (at < first + F.col("_n"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    met = ranked.join(wanted, same & (covers(low) | covers(high)))
+    ends = met.groupBy(by, "_all", "_k").agg(F.max(F.when(covers(low), F.col(value))).alias("_low"), F.max(F.when(covers(high), F.col(value))).alias("_high"), F.max(F.col("_at") - low).alias("_part"))
+    between = F.struct("_k", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("v"))
+    return ends.groupBy(by, "_all").agg(F.transform(F.array_sort(F.collect_list(between)), lambda x: x.v).alias("values"))

@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-BOX_CENTRE = "struct<cx: double, cy: double, w: double, h: double>"  # D1, shares of width and height
-BOX_CORNERS = "struct<x1: double, y1: double, x2: double, y2: double>"  # D2, pixels
-FRAMES = "frame string, source string, domain string, scene string, width int, height int"
-BOXES = "frame string, seq int, cx double, cy double, w double, h double"
-DETECTIONS = "frame string, det_seq int, x1 double, y1 double, x2 double, y2 double, score double"  # D6
-EVALUATION_RECORD = "name string, W int, H int, gt array<array<double>>, preds array<array<double>>"  # D7, preds: score first
 NORMALIZED = "source string, domain string, orig_split string, scene string, image string, n_boxes int"  # D8
 SPLITS = "source string, stem string, split string, role string, group string, boxes int, kept int"  # D9
-NEGATIVE_POOL = "image string, kind string, parent string, w int, h int"  # D10
-TILE_DECISIONS = "pool string, tile string, parent string, decision string"  # D11
-HARD_NEGATIVES = "rank int, stem string, season string, n_false_pos int, max_conf double"  # D12
-FROC_POINT = "model string, conf double, tp long, fp long, fn long, recall double, precision double, fppi double, frame_recall double"  # D13
-SWEEP_METRIC = "method string, altitude_m double, gsd_cm_px double, recall double, precision double, f1 double, tp long, fp long, fn long, tiles long, ms double, slice int"  # D14
-ANCHOR_METRIC = "method string, slice int, tiles long, n_det long, tp long, fp long, fn long, recall double, sec double"  # D15
 ALTITUDE_MANIFEST = "frame string, altitude_m double, gsd_cm_px double, n_animals int, min_px double, max_px double, len_min_m double, len_max_m double, len_median_m double"  # D16
-SCALE_STATS = "source string, images long, background long, boxes long, p5 double, p25 double, p50 double, p75 double, p95 double"  # D17
 CAMERA = "name string, pixel_pitch_um double, default_focal_mm double, sensor_w_mm double, sensor_h_mm double"  # D18
-SLICE_DECISION = "struct<slice_size: int, mode: string, gsd: double, animal_px: double, apparent_px: double, source: string>"  # D19
 SOURCE_REGISTRY = "name string, ordinal int, domain string, format string, path string, splits map<string,string>"  # D20
 SPLIT_CONFIG = "source string, label_dir string, strategy string, stride int, role string"  # D21
-VARIANT_CONFIG = "variant string, sources array<string>, dose double"  # D22
 # D5: one region of a shape annotation
 REGION = "struct<shape_attributes: struct<name: string, all_points_x: array<double>, all_points_y: array<double>, x: double, y: double, width: double, height: double, cx: double, cy: double, r: double, rx: double, ry: double>, region_attributes: map<string,string>>"
 # D23, D24: annotation tasks, in percent of the image from the top left
 RESULT = "array<struct<type: string, value: struct<x: double, y: double, width: double, height: double, rectanglelabels: array<string>>>>"
 TASK = f"struct<data: struct<image: string>, annotations: array<struct<was_cancelled: boolean, result: {RESULT}>>>"
 COCO_RECORD = "image_id string, file_name string, width int, height int, annotations array<struct<bbox: array<double>, bbox_mode: int, category_id: int>>"
-TELEMETRY = "flight string, ts timestamp, kind string, value double"  # D26
-FRAME_REPORT = "flight string, ts timestamp, n_frame long, mode string, slice int, tiles long, n_det long"  # D28
