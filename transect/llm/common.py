@@ -1,19 +1,21 @@
-"""What the corpus operators share: session set-up, numpy views of Arrow text, word hashes.
+"""What the corpus operators share: the session's set-up, numpy views of Arrow text, word hashes.
 
 Words are runs of bytes outside 0x20 and 0x09-0x0D, everywhere in this subpackage.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from transect.session import prepare, shared_dir, table
+
+__all__ = ["prepare", "shared_dir", "table"]
+
 ID_SENTINEL = (1 << 63) - 1  # stands for a null id, after every other id
 SLICE_BYTES = 2 << 20  # text handled at once by the numpy code
 
@@ -21,37 +23,12 @@ _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package, and name a checkpoint folder if none is named.
-
-    A cluster installs the package (or gets it by --py-files) and names ``spark.checkpoint.dir``;
-    only without that setting, as in tests, a local folder is made.
-    """
-    sc = spark.sparkContext
-    root = str(Path(__file__).resolve().parents[2])
-    known = sc.environment.get("PYTHONPATH", "")
-    if root not in known.split(":"):
-        sc.environment["PYTHONPATH"] = f"{root}:{known}" if known else root
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="transect-"))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    prepare(spark)
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def delete_shared(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of the shared store, by Hadoop's own file system for it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def with_few(rows: DataFrame, few: DataFrame, on: str, most: int) -> DataFrame:
     """rows joined with a table of distinct keys, which is broadcast where it has ``most`` rows at most, as its caller's sample should."""
     few = few.checkpoint()
