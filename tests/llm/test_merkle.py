@@ -114,3 +114,9 @@ def test_texts_are_shuffled_once(spark, small):
 def test_empty_table(spark):
     assert merkle.compared_with_edits(empty(spark)).count() == 0
     assert merkle.trees(empty(spark)).count() == 0
+
+
+def test_any_number_is_an_id(spark):
+    rows = [(-(1 << 63), "the least number has this text"), (None, "the least number has this text"), ((1 << 63) - 1, "the greatest one"), (0, "zero")]
+    found = merkle.compared_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, (r.doc_id for r in found))) == sorted(str(r[0]) for r in rows)

@@ -143,21 +143,25 @@ def compared_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row for each row of docs.
     """
     prepare(docs.sparkSession)
-    lowest = F.lit(-(1 << 63))  # stands for a null id
-    body = docs.select(F.coalesce(F.col(doc_id).cast("long"), lowest).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    counted = body.select("id", "key", F.length("text").alias("n")).groupBy("id", "key", "n").agg(F.count("*").alias("times")).checkpoint()
+    own = F.col(doc_id).cast("long")
+    # a null id stands lowest, and its rows have keys of their own
+    told = docs.select(F.coalesce(own, F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), own.isNull().alias("none"))
+    told = told.withColumn("key", F.xxhash64("text", "none"))
+    body = told.select("id", "text", "key")
+    counted = told.select("id", "key", "none", F.length("text").alias("n")).groupBy("id", "key", "none", "n").agg(F.count("*").alias("times")).checkpoint()
     repeated = not counted.filter("times > 1").isEmpty()
     if repeated:
-        body = body.dropDuplicates(["id", "text"])
-    asked = successors(counted.select("id", "key", "n")).select(F.col("next_id").alias("of"), F.col("next_key").alias("of_key"), F.col("id").alias("for"), F.col("key").alias("for_key"), F.floor(F.col("n") / 2).cast("int").alias("half"))
+        body = body.dropDuplicates(["id", "key", "text"])
+    asked = successors(counted.select("id", "key", "none", "n")).select("none", F.col("next_id").alias("of"), F.col("next_key").alias("of_key"), F.col("id").alias("for"), F.col("key").alias("for_key"), F.floor(F.col("n") / 2).cast("int").alias("half"))
     # both joins read the same columns of body by the same key, so its texts are shuffled once
-    given = body.join(asked.hint("shuffle_hash"), (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key"))).select("for", "for_key", "half", F.substring("text", 1, F.col("half")).alias("head"), leaves(leaf_tree(F.col("text"))).alias("next_leaves"))
+    given = body.join(asked.hint("shuffle_hash"), (F.col("id") == F.col("of")) & (F.col("key") == F.col("of_key"))).select("for", "for_key", "none", "half", F.substring("text", 1, F.col("half")).alias("head"), leaves(leaf_tree(F.col("text"))).alias("next_leaves"))
     both = body.join(given.hint("shuffle_hash"), (F.col("id") == F.col("for")) & (F.col("key") == F.col("for_key")))
-    both = both.select("id", "key", "text", "next_leaves", F.length("text").cast("long").alias("n_chars"), F.concat(F.substring("text", 1, F.length("text") - F.col("half")), "head").alias("edited"))
+    both = both.select("id", "key", "none", "text", "next_leaves", F.length("text").cast("long").alias("n_chars"), F.concat(F.substring("text", 1, F.length("text") - F.col("half")), "head").alias("edited"))
     both = both.withColumn("tree", leaf_tree(F.col("text"))).withColumn("edited_tree", leaf_tree(F.col("edited")))
     out = both.select(
         "id",
         "key",
+        "none",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(root(F.col("text")), F.col("tree")).alias("fingerprint"),
@@ -169,4 +173,4 @@ def compared_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         times = counted.filter("times > 1").select(F.col("id").alias("r"), F.col("key").alias("k"), "times")
         out = out.join(times, (F.col("id") == F.col("r")) & (F.col("key") == F.col("k")), "left").withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
     named = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    return out.select(F.nullif("id", lowest).alias("doc_id"), *named)
+    return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), *named)
