@@ -27,10 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID_SENTINEL, mix, prepare, text_slices
+from .common import ID_SENTINEL, MAX_BROADCAST_DOCS, mix, prepare, routed, text_slices
 from .encoders import UnitEncoder
 
-MAX_BROADCAST_DOCS = 2_000_000  # hashes of 8 bytes: some 64 MB as a relation
 _CUT_BITS, _LEAST_CHUNK, _MOST_CHUNK, _WINDOW = 10, 256, 8192, 32
 _GEAR = mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)
 
@@ -132,17 +131,15 @@ def with_chunks(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     named = lambda df: df.select(F.col("id").alias("i"), F.col("key").alias("k"), "chunks")
     same = (F.col("id") == F.col("i")) & (F.col("key") == F.col("k"))
     # both sides of the joins by digest are exchanges, which adaptive execution can split where a chunk is hot
-    having = occurrences.join(shared.select("digest"), "digest").select(F.xxhash64("id", "key").alias("h")).distinct().checkpoint()
-    few = having.count() <= max_broadcast
-    hashed = rows.withColumn("of", F.xxhash64("id", "key"))
-    taken = hashed.join(F.broadcast(having), F.col("of") == F.col("h"), "left_semi").drop("of") if few else rows
+    having = occurrences.join(shared.select("digest"), "digest").select("id", "key").distinct().checkpoint()
+    taken, others = routed(rows, having, max_broadcast)
     encoders = named(shared.groupBy("who").agg(F.collect_list("digest").alias("chunks")).select("who.id", "who.key", "chunks"))
-    coded = taken.join(encoders.hint("shuffle_hash"), same).select("text", "chunks").mapInArrow(_encode_once(path), "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids")).checkpoint()
+    encoding, _ = routed(rows, shared.select("who.id", "who.key"), max_broadcast)
+    coded = encoding.join(encoders.hint("shuffle_hash"), same).select("text", "chunks").mapInArrow(_encode_once(path), "digest binary, ids binary").groupBy("digest").agg(F.first("ids").alias("ids")).checkpoint()
     lists = occurrences.select("id", "key", "digest").join(coded, "digest").groupBy("id", "key").agg(F.collect_list(F.concat("digest", "ids")).alias("chunks"))
     joined = taken.join(named(lists).hint("shuffle_hash"), same, "left").select("doc_id", "text", "chunks")
-    if not few:
+    if others is None:
         return joined
-    others = hashed.join(F.broadcast(having), F.col("of") == F.col("h"), "left_anti")
     return others.select("doc_id", "text", F.lit(None).cast("array<binary>").alias("chunks")).union(joined)
 
 

@@ -35,6 +35,21 @@ def with_few(rows: DataFrame, few: DataFrame, on: str, most: int) -> DataFrame:
     return rows.join(F.broadcast(few) if few.count() <= most else few, on)
 
 
+MAX_BROADCAST_DOCS = 2_000_000  # hashes of 8 bytes: some 64 MB as a relation
+
+
+def routed(rows: DataFrame, members: DataFrame, most: int = MAX_BROADCAST_DOCS) -> tuple[DataFrame, DataFrame | None]:
+    """rows (id, key, ...) of the documents among ``members`` (id, key; a checkpointed table), and the others.
+
+    The members' hashes are broadcast while they are ``most`` at most; a false one is among the first. Beyond that all rows are
+    the first, and None the second."""
+    having = members.select(F.xxhash64("id", "key").alias("_h")).distinct()
+    if having.count() > most:
+        return rows, None
+    hashed, same = rows.withColumn("_of", F.xxhash64("id", "key")), F.col("_of") == F.col("_h")
+    return tuple(hashed.join(F.broadcast(having), same, how).drop("_of") for how in ("left_semi", "left_anti"))
+
+
 # ---------------------------------------------------------------- numpy over Arrow text
 
 

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID_SENTINEL, doubled, hash_words, prepare, text_slices, word_spans
+from .common import ID_SENTINEL, MAX_BROADCAST_DOCS, doubled, hash_words, prepare, routed, text_slices, word_spans
 
 WORDS = 13
 _FIRST_WORDS = 7  # at most, at the first level
@@ -304,24 +304,25 @@ def _settle(meet):
 
 
 def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, id, key, text): id never null; key a hash of the text, which tells documents of one id apart."""
+    """(none, id, key, text): none: whether the id is null, and id then stands for it; key a hash of the text, which tells documents
+    of one id apart. All are expressions of their own, so that every branch of a plan has them alike and shares one exchange."""
     own = F.col(doc_id).cast("long")
-    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(ID_SENTINEL)).alias("id"), F.hash(F.col(text)).alias("key"), F.col(text).alias("text"))
+    return docs.select(own.isNull().alias("none"), F.coalesce(own, F.lit(ID_SENTINEL)).alias("id"), F.hash(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def _with_spans(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     """rows joined with their document's spans by a join that deals both out by document; the dealt-out rows are the same each time."""
     named = spans.select(F.col("id").alias("i"), F.col("key").alias("k"), "spans")
-    return rows.join(named.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), how).select("doc_id", "id", "key", "text", "spans")
+    return rows.join(named.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("key") == F.col("k")), how).select("none", "id", "key", "text", "spans")
 
 
-def repeated_spans(rows: DataFrame, count: int, size: int = WORDS) -> DataFrame:
-    """(id, key, spans): per document, the (first window, windows) pairs, as arrays of unsigned 32-bit numbers, of the windows
+def repeated_spans(rows: DataFrame, count: int, size: int = WORDS, max_broadcast: int = MAX_BROADCAST_DOCS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(spans, rows that may have some, the others or None). spans: (id, key, spans): per document, the (first window, windows) pairs, as arrays of unsigned 32-bit numbers, of the windows
     of ``size`` words (2 or more) that a document with a smaller id has too; rows as of ``_prepared``, about ``count`` of them."""
     lengths = level_lengths(size)
     buckets = 1 << (max(_LEAST_BUCKETS, count // _BUCKET_ROWS) - 1).bit_length()
     tasks = max(min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets), buckets // 4)
-    spans = None
+    spans, others = None, None
     for level in range(len(lengths)):
         last = level == len(lengths) - 1
         asked = rows if spans is None else _with_spans(rows, spans, "inner")
@@ -331,15 +332,18 @@ def repeated_spans(rows: DataFrame, count: int, size: int = WORDS) -> DataFrame:
         dealt = sent.repartitionById(tasks, to)
         found = dealt.mapInArrow(_settle(_repeated_windows if last else _shared_parts), "id long, key int, blob binary")
         spans = found.groupBy("id", "key").agg(F.collect_list("blob").alias("spans"))
-    return spans
+        if not level:
+            spans = spans.checkpoint()
+            rows, others = routed(rows, spans, max_broadcast)
+    return spans, rows, others
 
 
 def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = batch.column(0).to_pylist(), batch.column(4).to_pylist()
+            ids, spans = pa.array(batch.column(1).to_numpy(), mask=batch.column(0).to_numpy(zero_copy_only=False)), batch.column(4).to_pylist()
             texts = batch.column(3).cast(pa.large_binary()).to_pylist()
-            out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "kept": []}
+            out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
             for text, own in zip(texts, spans, strict=True):
                 words = (text or b"").split()
                 removed = 0
@@ -356,16 +360,19 @@ def _cut(size: int):
                     out["n_words"].append(len(words))
                 out["n_removed"].append(removed)
                 out["kept"].append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.binary())], list(out))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.binary())], list(out))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WORDS, max_broadcast: int = MAX_BROADCAST_DOCS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept), one row for each row of docs; kept: the words left, joined by one space."""
     prepare(docs.sparkSession)
     rows = _prepared(docs, doc_id, text)
-    joined = _with_spans(rows, repeated_spans(rows, docs.count(), size), "left")
+    spans, taken, others = repeated_spans(rows, docs.count(), size, max_broadcast)
+    joined = _with_spans(taken, spans, "left")
+    if others is not None:
+        joined = joined.union(others.select("none", "id", "key", "text", F.lit(None).cast("array<binary>").alias("spans")))
     return joined.mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.decode("kept", "UTF-8"))
 
 
