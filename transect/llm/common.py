@@ -74,12 +74,12 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         first = last
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the number of its first word (one entry more than rows)."""
+def word_spans(raw: np.ndarray, at: np.ndarray, gaps: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes that ``gaps`` has as false), and for each row the number of its first word (one entry more than rows)."""
     n = len(raw)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(at), np.int64)
-    gap = _GAP[raw]
+    gap = gaps[raw]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = True, gap[:-1]
     after[-1], after[:-1] = True, gap[1:]

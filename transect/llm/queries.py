@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, exact_dedup, html_blocks, merkle, mixing, quality_rules, simhash, substring_dedup, token_files, toxicity
+from . import chunk_bpe, exact_dedup, html_blocks, merkle, mixing, quality_rules, simhash, source_audit, substring_dedup, token_files, toxicity
 from .common import prepare, shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,10 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compared_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 _GAPS = r"[\x20\x09-\x0D]+"
 
 OP8_SQL = f"""
@@ -95,8 +99,8 @@ FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN k ON w.doc_id = k.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_simhash, op4_html_blocks, op5_chunk_bpe, op6_quality, op7_mixing, op8_exact_dedup, op9_substring_dedup, op10_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_simhash, op4_html_blocks, op5_chunk_bpe, op6_quality, op7_mixing, op8_exact_dedup, op9_substring_dedup, op10_merkle, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+    return {"op7_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op13_source_audit": source_audit.ORACLE_SQL}
