@@ -1,7 +1,9 @@
 import html
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from transect.llm import html_blocks as hb
@@ -112,9 +114,92 @@ def test_class_names_end_where_capitals_begin():
 
 
 def test_deep_nesting_takes_linear_time():
-    found = hb.blocks("<div>text " * 100_000)
+    found = hb.blocks("<nav>" + "<div>text " * 100_000)
     assert len(found) == 100_000
-    assert max(b.path.count("/") for b in found) == hb._DEEPEST - 1
+    assert found[0].path == "nav/div" and found[-1].path.count("/") == 100_000
+    assert found[3].key == (4 * hb._element_vector("div", False) + hb._element_vector("div", True) + hb._element_vector("nav", False)).tobytes()
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p title=it's>Don't stop here</p><p>second</p>", ["Don't stop here", "second"]),
+        ("<p data-x=5' >one</p> <p>it's two</p><p>three</p>", ["one", "it's two", "three"]),
+        ("<p x='never closed>one</p><p>two</p>", ["one", "two"]),
+        ("<p '>one</p><p \"a>two</p><p =\">three</p>", ["one", "two", "three"]),
+        ("<p a='b>c' d=\"e>f\" g = h>ok</p>", ["ok"]),
+        ("<p>x<script src='a'/>var a=1;</script>y</p>", ["xy"]),
+        ("<p>x<script src=/a/b/>var a=1;</script>y</p>", ["xy"]),
+        ("<p>one<style>p{}</style> two<template><p>no</template> three</p>", ["one two three"]),
+        ("<div class=a/b/>in<br/>side</div>", ["in", "side"]),
+        ("<p>a<!-->b<!--->c<!-- no --!>d<!x>e</%>f", ["abcdef"]),
+    ],
+)
+def test_awkward_markup(page, texts):
+    assert [b.text for b in hb.blocks(page)] == texts
+
+
+def outside_tags(page):
+    """Text of a page by single characters, as a state machine reads it."""
+    out, at, white = [], 0, " \t\n\f\r"
+    while at < len(page):
+        rest = page[at:]
+        if rest.startswith("<!--"):
+            ends = [e for e in (page.find("-->", at + 2), page.find("--!>", at + 4)) if e >= 0]
+            if page.startswith("<!-->", at):
+                at += 5
+            elif not ends:
+                return out
+            else:
+                at = min(ends) + (3 if page.startswith("-->", min(ends)) else 4)
+            continue
+        if not re.match("<(/?[a-zA-Z])", rest):
+            out.append(page[at])
+            at += 1
+            continue
+        at += 2 if rest[1] == "/" else 1
+        while page[at] not in white + "/>":
+            at += 1
+        state, quote = "before", ""
+        while True:
+            c = page[at]
+            if state == "quoted":
+                state = "before" if c == quote else state
+            elif c == ">":
+                break
+            elif state in ("before", "name", "after") and c == "=" and state != "before":
+                state = "value"
+            elif state == "value" and c in "\"'" and page.find(c, at + 1) >= 0:
+                state, quote = "quoted", c
+            elif state == "value":
+                state = "value" if c in white else "unquoted"
+            elif state == "unquoted":
+                state = "before" if c in white else state
+            elif c in white:
+                state = "after" if state in ("name", "after") else state
+            elif c == "/":
+                state = "before"
+            else:
+                state = "name"
+            at += 1
+        at += 1
+    return out
+
+
+def test_no_text_outside_a_tag_is_lost():
+    """Generated markup against the state machine. Every tag is closed somewhere, if only at the end."""
+    rng = random.Random(9)
+    parts = ["<b", "<i ", "</b", "<em\n", ">", ">", ">", "'", '"', "=", "= ", " ", "/", "a", "b=c", "x='y'", 'z="w"', "text", "é", "it's", "<!--", "-->", "< ", "&amp;"]
+    for _ in range(30_000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) + "-->'>\">end"
+        text = "".join("".join(b.text.split()) for b in hb.blocks(page))  # some tags end blocks, and with them white space
+        assert text == "".join(html.unescape("".join(outside_tags(page))).split()), page
+
+
+def test_slices_by_bytes():
+    pages = pa.array(["x" * n for n in (10, 3 << 20, 5, 1 << 20, 1 << 20, 1)] + [None, ""])
+    assert list(hb._slices(pages)) == [(0, 1), (1, 2), (2, 4), (4, 8)]
+    assert list(hb._slices(pages.slice(2, 2))) == [(0, 2)] and list(hb._slices(pa.array([], pa.string()))) == []
 
 
 def test_nulls_and_empty_tables(spark, model):

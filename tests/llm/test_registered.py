@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 
 from tests.llm.test_chunk_bpe import plain
+from tests.llm.test_html_blocks import article
 from tests.llm.test_pipeline import plain_score
 from tests.llm.test_simhash import expected
 from transect.llm import quality_rules, queries, toxicity
@@ -25,7 +26,8 @@ def documents(spark, smallest):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, smallest, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{smallest}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{smallest}/{table}.parquet'")
     df = queries.queries()[name](spark, smallest)
     cursor = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
@@ -66,6 +68,7 @@ def test_op4(spark, smallest):
     found = queries.op4_html_blocks(spark, smallest).collect()
     assert sorted(r.page_id for r in found) == sorted(pages)
     assert all(r.url == pages[r.page_id].url and r.n_chars == len(r.text) for r in found)
+    assert [r.page_id for r in found if r.text != article(pages[r.page_id].html)] == []
 
 
 def test_op5(spark, smallest, documents):

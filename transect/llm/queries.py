@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, exact_dedup, html_blocks, merkle, mixing, quality_rules, simhash, source_audit, substring_dedup, token_files, toxicity
+from . import chunk_bpe, divergence_rules, exact_dedup, html_blocks, lexical_search, merkle, mixing, quality_rules, simhash, source_audit, substring_dedup, token_files, toxicity
 from .common import prepare, shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,15 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compared_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = divergence_rules.divergence_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.drop("char_distance", "word_distance")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -99,8 +108,15 @@ FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN k ON w.doc_id = k.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_simhash, op4_html_blocks, op5_chunk_bpe, op6_quality, op7_mixing, op8_exact_dedup, op9_substring_dedup, op10_merkle, op13_source_audit)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_simhash, op4_html_blocks, op5_chunk_bpe, op6_quality, op7_mixing, op8_exact_dedup, op9_substring_dedup, op10_merkle, op11_divergence, op12_lexical_search, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE_SQL, "op8_exact_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op13_source_audit": source_audit.ORACLE_SQL}
+    return {
+        "op7_mixing": mixing.ORACLE_SQL,
+        "op8_exact_dedup": OP8_SQL,
+        "op9_substring_dedup": OP9_SQL,
+        "op11_divergence": divergence_rules.ORACLE_SQL,
+        "op12_lexical_search": lexical_search.ORACLE_SQL,
+        "op13_source_audit": source_audit.ORACLE_SQL,
+    }
