@@ -38,6 +38,7 @@ class UnitEncoder:
         #: of a byte-level vocabulary: whether an id's piece begins with a space
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)]) if byte_level else None
         self.tails: dict[str, bytes] = {}
+        self.steady: dict[str, bool] = {}
         self.first: dict[str, bytes] = {}  # units as they are
         self.later: dict[str, bytes] = {"": b""}  # units after one space, which a byte-level vocabulary has in its pieces
         self.line_end = self.whole(["\n"])[0]
@@ -74,7 +75,8 @@ class UnitEncoder:
     def _known(self, cache: dict[str, bytes], units: set[str], prefix: str) -> list[str]:
         """Sees to it that cache has all units; returns those that aren't to stay in it.
 
-        Letters or digits and the marks after them are different pieces, so a word before marks is encoded as the word itself.
+        Letters or digits and the marks after them are different pieces, so a word before marks is encoded as the word itself;
+        but not where the vocabulary's normalizer makes more than one letter of the last one, such as a letter and a combining mark.
         """
         if len(cache) > _CACHED_UNITS:
             for u in list(cache)[_CACHED_UNITS // 2 :]:  # what came first is mostly what comes often
@@ -86,7 +88,7 @@ class UnitEncoder:
         for u in new:
             if len(u) > _LONG_UNIT:
                 long.append(u)
-            if u[-1:] in _MARKS and (word := u.rstrip(_MARKS)) and word[-1].isalnum():
+            if u[-1:] in _MARKS and (word := u.rstrip(_MARKS)) and self._ends_a_piece(word[-1]):
                 joined.append((u, word))
                 if word not in cache and word not in new:
                     needed.append(word)
@@ -106,6 +108,15 @@ class UnitEncoder:
             cache[u] = cache[word] + tails[tail]
         return long
 
+    def _ends_a_piece(self, last: str) -> bool:
+        if last.isascii():
+            return last.isalnum()
+        if last not in self.steady:
+            normalizer = self.tokenizer.normalizer
+            became = normalizer.normalize_str(last) if normalizer else last
+            self.steady[last] = last.isalnum() and len(became) == 1 and became.isalnum()
+        return self.steady[last]
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
