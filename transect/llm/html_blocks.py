@@ -22,14 +22,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, prepare, word_spans
+from .common import SLICE_BYTES, hash_words, prepare, word_spans
 
 # ---------------------------------------------------------------- pages to blocks
 
-_DEEPEST = 64
 # Fixed values of the HTML standard: elements without an end tag, elements whose content isn't text, inline elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template textarea select datalist".split())
@@ -38,17 +38,33 @@ _INLINE = frozenset(f"a abbr acronym b bdi bdo big cite code data del dfn em fon
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS_END_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<""", re.S)
+# Quotes hold a value only right after "="; one that nothing closes is a character like any other. Nothing is tried twice.
+_TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))
+    |<(/?)([a-zA-Z][^\ \t\n\f\r/>]*+)((?:[\ \t\n\f\r/]++|(?:=[^\ \t\n\f\r/>=]*+|[^\ \t\n\f\r/>=]++)(?:[\ \t\n\f\r]*+=[\ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|[^\ \t\n\f\r>]*+))?+)*+)>
+    |<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<""",
+    re.S | re.X,
+)
+_UNQUOTED_END = re.compile(r"""=[ \t\n\f\r]*[^"' \t\n\f\r>][^ \t\n\f\r>]*/\Z""")
 _END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?(?:>|\Z)", re.I) for tag in _RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
 @dataclass
 class Block:
-    path: str
+    element: tuple | None  # its innermost element that isn't inline, after that one's own
+    key: bytes  # sums over the elements of its path
     text: str
     linked: float  # share of its characters in links
 
+    @property
+    def path(self) -> str:
+        names, element = [], self.element
+        while element:
+            element, name = element
+            names.append(name)
+        return "/".join(reversed(names))
+
 
 @lru_cache(1 << 14)
 def _element(tag: str, attributes: str) -> str:
@@ -57,10 +73,31 @@ def _element(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(set(words))])
 
 
+_PATH = 128
+
+
+_NO_PATH = np.zeros(_PATH, np.int32)
+_NO_PATH[zlib.crc32(b"<") % _PATH] += 1 if zlib.crc32(b"<") >> 20 & 1 else -1
+_NO_PATH[zlib.crc32(b"last<") % _PATH] += 1 if zlib.crc32(b"last<") >> 20 & 1 else -1
+
+
+@lru_cache(1 << 14)
+def _element_vector(element: str, last: bool) -> np.ndarray:
+    """What an element adds to its path's sums; last: beside that, as the innermost one."""
+    tag, *words = element.split(".")
+    out = np.zeros(_PATH, np.int32)
+    for word in {f"last<{tag}"} - {*words, f"<{tag}"} if last else {f"<{tag}", *words}:
+        h = zlib.crc32(word.encode())
+        out[h % _PATH] += 1 if h >> 20 & 1 else -1
+    return out
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order; those without text are left out. A path has the ``_DEEPEST`` innermost elements, inline ones left out."""
+    """Leaf blocks in page order; those without text are left out. A path has all open elements but inline ones, as sums that
+    change by one element at a time, so its depth costs nothing."""
     stack: list[str] = []
-    names: list[str] = []  # of the elements of the stack that aren't inline
+    inner: list[tuple] = []  # of the elements of the stack that aren't inline, each after the one around it
+    sums = np.zeros(_PATH, np.int32)
     opened: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
@@ -72,15 +109,18 @@ def blocks(page: str) -> list[Block]:
             joined = "".join(parts)
             text = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
             if text:
-                out.append(Block("/".join(names[-_DEEPEST:]), text, min(1.0, linked / len(text))))
+                element = inner[-1] if inner else None
+                whole = sums + _element_vector(element[1], True) if element else _NO_PATH
+                out.append(Block(element, whole.tobytes(), text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
     def pop() -> str:
+        nonlocal sums
         tag = stack.pop()
         opened[tag] -= 1
         if tag not in _INLINE:
-            names.pop()
+            sums -= _element_vector(inner.pop()[1], False)
         return tag
 
     while m := _TOKEN.match(page, at):
@@ -93,6 +133,11 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         closing, tag = m[1] == "/", m[2].lower()
+        if tag in _RAW:  # no text, and none ends there
+            if not closing:  # what is inside isn't markup: on to its end tag as it is written, "/" or not
+                stop = _END[tag].search(page, at)
+                at = stop.end() if stop else len(page)
+            continue
         if tag not in _INLINE:
             end()
         if closing:
@@ -100,12 +145,7 @@ def blocks(page: str) -> list[Block]:
                 while pop() != tag:
                     pass
             continue
-        if tag in _RAW:
-            if not m[3].endswith("/"):  # what is inside isn't markup: on to its end tag as it is written
-                stop = _END[tag].search(page, at)
-                at = stop.end() if stop else len(page)
-            continue
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _VOID or m[3].endswith("/") and not _UNQUOTED_END.search(m[3]):
             continue
         closes = _CLOSES.get(tag) or ({"p"} if tag in _BLOCKS_END_P else None)
         if closes:
@@ -119,31 +159,25 @@ def blocks(page: str) -> list[Block]:
         stack.append(tag)
         opened[tag] += 1
         if tag not in _INLINE:
-            names.append(_element(tag, m[3]))
+            inner.append((inner[-1] if inner else None, _element(tag, m[3])))
+            sums += _element_vector(inner[-1][1], False)
     end()
     return out
 
 
 # ---------------------------------------------------------------- blocks to numbers
 
-_PATH, _WORD = 128, 16
+_WORD, _WORDS_AT_ONCE = 16, 1 << 17
 _VECTORS = np.random.default_rng(20).standard_normal((4096, _WORD)).astype(np.float32)
 _INPUT = _PATH + _WORD + 6
 
 
-def _path_vector(path: str) -> np.ndarray:
-    out = np.zeros(_PATH, np.float32)
-    elements = path.split("/")
-    for depth, element in enumerate(elements):
-        tag, *words = element.split(".")
-        for word in {f"<{tag}", *words, *([f"last<{tag}"] if depth == len(elements) - 1 else [])}:
-            h = zlib.crc32(word.encode())
-            out[h % _PATH] += 1.0 if h >> 20 & 1 else -1.0
-    return out
+def _path_vector(key: bytes) -> np.ndarray:
+    return np.frombuffer(key, np.int32).astype(np.float32)
 
 
-def _features(found: list[Block], sizes: list[int]) -> tuple[list[str], np.ndarray]:
-    """Paths, and the other inputs of each block: word vectors and measures."""
+def _features(found: list[Block], sizes: list[int]) -> tuple[list[bytes], np.ndarray]:
+    """Paths' sums, and the other inputs of each block: word vectors and measures."""
     n = len(found)
     out = np.zeros((n, _WORD + 6), np.float32)
     data = [b.text.lower().encode() for b in found]
@@ -151,10 +185,15 @@ def _features(found: list[Block], sizes: list[int]) -> tuple[list[str], np.ndarr
     raw = np.frombuffer(b"".join(data), np.uint8)
     at = np.concatenate([[0], np.cumsum(lengths)])
     starts, ends, words = word_spans(raw, at)
-    own = _VECTORS[(hash_words(raw, starts, ends)[0] >> np.uint64(52)).astype(np.int64)]
+    own = (hash_words(raw, starts, ends)[0] >> np.uint64(52)).astype(np.int64)
     count = np.diff(words)
     some = np.flatnonzero(count)
-    out[some, :_WORD] = np.add.reduceat(own, words[some], axis=0) / np.sqrt(count[some])[:, None] * 0.3 if len(some) else 0
+    first = 0
+    while first < len(some):  # whole blocks, so that vectors are made for so many words, or one block's, at once
+        last = max(first + 1, int(np.searchsorted(words[some], words[some[first]] + _WORDS_AT_ONCE)))
+        these, base = some[first:last], words[some[first]]
+        out[these, :_WORD] = np.add.reduceat(_VECTORS[own[base : words[these[-1] + 1]]], words[these] - base, axis=0) / np.sqrt(count[these])[:, None] * 0.3
+        first = last
     stops = np.cumsum(np.concatenate([[0], np.isin(raw, np.frombuffer(b".!?,;:", np.uint8))]))
     digits = np.cumsum(np.concatenate([[0], (raw >= 48) & (raw <= 57)]))
     out[:, _WORD] = np.log1p(lengths) / 4
@@ -164,7 +203,7 @@ def _features(found: list[Block], sizes: list[int]) -> tuple[list[str], np.ndarr
     out[:, _WORD + 4] = np.minimum(count, 60) / 30
     first = np.cumsum(sizes) - sizes
     out[first, _WORD + 5] = 1
-    return [b.path for b in found], out
+    return [b.key for b in found], out
 
 
 # ---------------------------------------------------------------- the network
@@ -183,14 +222,14 @@ class Labeller:
     shifts: list[np.ndarray]
     top: np.ndarray  # (2 _HIDDEN,)
     bias: np.ndarray  # (1,)
-    _known: dict[str, np.ndarray] = field(default_factory=dict)
+    _known: dict[bytes, np.ndarray] = field(default_factory=dict)
 
     def parameters(self) -> list[np.ndarray]:
         return [*self.inputs, *self.loops, *self.shifts, self.top, self.bias]
 
-    def _project(self, paths: list[str], rest: np.ndarray) -> np.ndarray:
+    def _project(self, paths: list[bytes], rest: np.ndarray) -> np.ndarray:
         """Input terms of both directions; those of a path are computed once."""
-        number: dict[str, int] = {}
+        number: dict[bytes, int] = {}
         ids = [number.setdefault(p, len(number)) for p in paths]
         for p in number:
             if p not in self._known:
@@ -201,7 +240,7 @@ class Labeller:
         table = np.stack([self._known[p] for p in number])
         return table[ids] + np.concatenate([rest @ w[_PATH:] for w in self.inputs], axis=1)
 
-    def chances(self, paths: list[str], rest: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def chances(self, paths: list[bytes], rest: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of every block, that it is article text. sizes: blocks of each page, none of them 0."""
         x = self._project(paths, rest)
         total = np.full(len(x), self.bias[0], np.float32)
@@ -442,6 +481,16 @@ def extract_pages(pages: list[str | None], model: Labeller) -> list[str]:
     return out
 
 
+def _slices(pages: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows (first, after the last) of some SLICE_BYTES together; one long page stays whole."""
+    sizes = np.cumsum(pa.compute.binary_length(pages).fill_null(0).to_numpy())
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + SLICE_BYTES, "right")))
+        yield first, last
+        first = last
+
+
 def main_text(pages: DataFrame, model: Labeller | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), one row for each row of pages; without html or article text, text is empty."""
     prepare(pages.sparkSession)
@@ -449,8 +498,8 @@ def main_text(pages: DataFrame, model: Labeller | None = None, page_id: str = "p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for first, last in _slices(batch.column(2)):
+                part = batch.slice(first, last - first)
                 texts = extract_pages(part.column(2).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
