@@ -52,7 +52,8 @@ def probability(count: str, n: str, v: str) -> Column:
 def postings(docs: DataFrame, least_docs: int = 10) -> DataFrame:
     """(lang, source, term, c, lc, first): counts of kept terms in a group and in the language; ``first`` is 1 in one row of each term."""
     terms = F.sort_array(F.split(ascii_lower(F.col("text")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"))
-    each = docs.select("lang", "source", terms.alias("terms")).select("lang", "source", "terms", F.posexplode("terms").alias("i", "term")).filter("term <> ''")
+    # outer, or else a filter on the array's size comes before, and it is worked out twice
+    each = docs.select("lang", "source", terms.alias("terms")).select("lang", "source", "terms", F.posexplode_outer("terms").alias("i", "term")).filter("term <> ''")
     # equal terms of a document stand together, so the first of them counts it
     new = F.when((F.col("i") == 0) | (F.get("terms", F.col("i") - 1) != F.col("term")), 1).otherwise(0)
     counts = each.groupBy(*_GROUP, "term").agg(F.count("*").alias("c"), F.sum(new).alias("docs"))
