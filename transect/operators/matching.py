@@ -6,7 +6,8 @@ What a detection gets depends on higher scores alone, so one match without a thr
 threshold are those of the detections that reach it.
 
 A frame's detections fold in one row, JVM-side, after a join on the frame with the overlap as a residual: detections that
-overlap nothing never enter the fold. Frames are images; what is collected for one is bounded by its boxes.
+overlap nothing never enter the fold. Frames with more than ``spatial.HOT_BOXES`` boxes aren't folded: their pairs come from a join by
+cells, and are matched by deferred acceptance, in rounds of joins and minima over all of them (``by_rounds``), with the same result.
 """
 
 from __future__ import annotations
@@ -19,38 +20,78 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transect.functions import geometry as g
+from transect.operators import spatial
 from transect.session import prepare
 
 _D, _G = ("x1", "y1", "x2", "y2"), ("gx1", "gy1", "gx2", "gy2")
 
 
-def pairs(dets: DataFrame, truth: DataFrame, threshold: float = 0.3) -> DataFrame:
+def _truth(truth: DataFrame) -> DataFrame:
+    return truth.select(F.col("frame").alias("gframe"), "gt_idx", *[F.col(c).alias(n) for c, n in zip(_D, _G, strict=True)])
+
+
+def pairs(dets: DataFrame, truth: DataFrame, threshold: float = 0.3, most: int = spatial.HOT_BOXES) -> DataFrame:
     """(frame, det_seq, gt_idx, iou) of all pairs in a frame at the threshold or above."""
-    b = truth.select(F.col("frame").alias("gframe"), "gt_idx", *[F.col(c).alias(n) for c, n in zip(_D, _G, strict=True)])
-    joined = dets.join(b, (F.col("frame") == F.col("gframe")) & g.overlaps(*_D, *_G)).withColumn("iou", g.iou(*_D, *_G))
-    return joined.filter(F.col("iou") >= threshold).select("frame", "det_seq", "score", "gt_idx", "iou")
+    return _iou_pairs(spatial.joined(dets, _truth(truth), most=most), threshold)
+
 
+def _iou_pairs(met: DataFrame, threshold: float) -> DataFrame:
+    return met.withColumn("iou", g.iou(*_D, *_G)).filter(F.col("iou") >= threshold).select("frame", "det_seq", "score", "gt_idx", "iou")
 
-def centre_pairs(dets: DataFrame, truth: DataFrame) -> DataFrame:
-    b = truth.select(F.col("frame").alias("gframe"), "gt_idx", *[F.col(c).alias(n) for c, n in zip(_D, _G, strict=True)])
-    joined = dets.join(b, (F.col("frame") == F.col("gframe")) & g.centre_inside(*_D, *_G))
-    return joined.select("frame", "det_seq", "score", "gt_idx", F.lit(1.0).alias("iou"))
 
+def centre_pairs(dets: DataFrame, truth: DataFrame, most: int = spatial.HOT_BOXES) -> DataFrame:
+    return spatial.joined(dets, _truth(truth), True, most).select("frame", "det_seq", "score", "gt_idx", F.lit(1.0).alias("iou"))
 
-def _candidates(dets: DataFrame, truth: DataFrame, mode: str, threshold: float) -> DataFrame:
+
+def _choices(mode: str) -> Column:
+    """What a detection takes first, as an order."""
     if mode == "iou":
-        found, order = pairs(dets, truth, threshold), F.struct((-F.col("iou")).alias("a"), (-F.col("gt_idx")).alias("b"), F.col("gt_idx").alias("g"))
-    elif mode == "centre":
-        found, order = centre_pairs(dets, truth), F.struct(F.lit(0.0).alias("a"), F.col("gt_idx").alias("b"), F.col("gt_idx").alias("g"))
-    else:
+        return F.struct((-F.col("iou")).alias("a"), (-F.col("gt_idx")).alias("b"), F.col("gt_idx").alias("g"))
+    return F.struct(F.lit(0.0).alias("a"), F.col("gt_idx").alias("b"), F.col("gt_idx").alias("g"))
+
+
+def by_rounds(found: DataFrame, mode: str) -> DataFrame:
+    """(m_frame, m_seq, gt_idx): what detections take of pairs (frame, det_seq, score, gt_idx, iou), by deferred acceptance.
+
+    Each detection asks for the first choice that is left to it, each box holds the best of those that ask, and all pairs of the box with worse
+    detections go, whether they asked or not, until none goes. Boxes rank detections alike, by score, so what is held then
+    is what taking turns by score gives. A round is two sums and a join over the pairs that are left, checkpointed; there is one
+    for each step of the longest chain of detections that displace one another.
+    """
+    prepare(found.sparkSession)
+    left = found.select("frame", "det_seq", "gt_idx", F.struct((-F.col("score")).alias("s"), F.col("det_seq").alias("d")).alias("rank"), _choices(mode).alias("choice")).checkpoint()
+    n = left.count()
+    while True:
+        asks = left.groupBy("frame", "det_seq").agg(F.min(F.struct("choice", "rank")).alias("first")).select("frame", "det_seq", F.col("first.choice.g").alias("gt_idx"), "first.rank")
+        held = asks.groupBy(F.col("frame").alias("_f"), F.col("gt_idx").alias("_g")).agg(F.min("rank").alias("held"))
+        left = left.join(held, (F.col("frame") == F.col("_f")) & (F.col("gt_idx") == F.col("_g")), "left").filter("held IS NULL OR rank <= held").drop("_f", "_g", "held").checkpoint()
+        before, n = n, left.count()
+        if n == before:
+            return asks.select(F.col("frame").alias("m_frame"), F.col("det_seq").alias("m_seq"), "gt_idx")
+
+
+def greedy_match(dets: DataFrame, truth: DataFrame, mode: str = "iou", threshold: float = 0.3, most: int = spatial.HOT_BOXES) -> DataFrame:
+    """dets (frame, det_seq, box, score) with ``gt_idx``: what each one takes, or null for a false positive. Frames with more
+    than ``most`` boxes go by cells and rounds, others fold in a row each."""
+    if mode not in ("iou", "centre"):
         raise ValueError(f"unknown matching mode: {mode}")
-    listed = found.groupBy("frame", "det_seq", "score").agg(F.array_sort(F.collect_list(order)).alias("c"))
-    return listed.select("frame", "det_seq", "score", F.transform("c", lambda x: x.g).alias("choices"))
+    hot = spatial.hot_frames(dets, truth, most=most)
+    few, many = (dets, None) if hot is None else spatial.divided(dets, hot)
+    of_few, of_many = (truth, None) if hot is None else spatial.divided(truth, hot)
+    b = _truth(of_few)
+    met = few.join(b, (F.col("frame") == F.col("gframe")) & (g.overlaps(*_D, *_G) if mode == "iou" else g.centre_inside(*_D, *_G)))
+    taken = _folded(_iou_pairs(met, threshold) if mode == "iou" else met.select("frame", "det_seq", "score", "gt_idx", F.lit(1.0).alias("iou")), mode, dets, truth)
+    if hot is not None:
+        found = _iou_pairs(spatial.overlapping(many, _truth(of_many)), threshold) if mode == "iou" else spatial.centred_in(many, _truth(of_many)).withColumn("iou", F.lit(1.0))
+        taken = taken.unionByName(by_rounds(found, mode))
+    return dets.join(taken, (F.col("frame") == F.col("m_frame")) & (F.col("det_seq") == F.col("m_seq")), "left").drop("m_frame", "m_seq")
 
 
-def greedy_match(dets: DataFrame, truth: DataFrame, mode: str = "iou", threshold: float = 0.3) -> DataFrame:
-    """dets (frame, det_seq, box, score) with ``gt_idx``: what each one takes, or null for a false positive."""
-    lists = _candidates(dets, truth, mode, threshold).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_seq", "choices"))).alias("ds"))
+def _folded(found: DataFrame, mode: str, dets: DataFrame, truth: DataFrame) -> DataFrame:
+    """As by_rounds, by a fold over a frame's detections in one row."""
+    listed = found.groupBy("frame", "det_seq", "score").agg(F.array_sort(F.collect_list(_choices(mode))).alias("c"))
+    listed = listed.select("frame", "det_seq", "score", F.transform("c", lambda x: x.g).alias("choices"))
+    lists = listed.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_seq", "choices"))).alias("ds"))
 
     def step(acc: Column, d: Column) -> Column:
         free = F.get(F.filter(d.choices, lambda c: ~F.array_contains(acc.used, c)), F.lit(0))
@@ -58,8 +99,7 @@ def greedy_match(dets: DataFrame, truth: DataFrame, mode: str = "iou", threshold
 
     kind = dict(truth.dtypes)["gt_idx"], dict(dets.dtypes)["det_seq"]
     start = F.struct(F.expr(f"cast(array() as array<{kind[0]}>)").alias("used"), F.expr(f"cast(array() as array<struct<m_seq:{kind[1]},gt_idx:{kind[0]}>>)").alias("out"))
-    taken = lists.select(F.col("frame").alias("m_frame"), F.explode(F.aggregate("ds", start, step, lambda acc: acc.out)).alias("m")).select("m_frame", "m.m_seq", "m.gt_idx").filter("gt_idx IS NOT NULL")
-    return dets.join(taken, (F.col("frame") == F.col("m_frame")) & (F.col("det_seq") == F.col("m_seq")), "left").drop("m_frame", "m_seq")
+    return lists.select(F.col("frame").alias("m_frame"), F.explode(F.aggregate("ds", start, step, lambda acc: acc.out)).alias("m")).select("m_frame", "m.m_seq", "m.gt_idx").filter("gt_idx IS NOT NULL")
 
 
 def greedy_match_grouped(dets: DataFrame, truth: DataFrame, threshold: float = 0.3) -> DataFrame:

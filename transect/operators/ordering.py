@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from transect.session import prepare
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
 def seeded(seed: int, *key: Column) -> Column:
     """The hash that stands for a shuffle: any engine with md5 gives the same order."""
     return F.md5(F.concat_ws("|", F.lit(seed), *key))
@@ -66,8 +69,8 @@ def hash_rank(df: DataFrame, by: Sequence[str], digest: str, name: str) -> DataF
     return numbered.join(bases, same).withColumn(name, F.col("_row") + F.col("_base")).drop("_part", "_row", "_p", "_base", *[f"_{b}" for b in by])
 
 
-def percentiles(rows: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
-    """(by, _all, values): percentiles of a column, exact, linear between neighbours, for each group and (_all 1) for all rows.
+def percentiles(rows: DataFrame, by: str, value: str, shares: Sequence[float], between: str = "linear") -> DataFrame:
+    """(by, _all, values): percentiles of a column, exact, for each group and (_all 1) for all rows; between neighbours linear, or the ``upper`` one.
 
     Equal values are counted before the shuffle, and the counts summed in order by range, so neither a hot group nor a hot
     value is one task's work. Null values are left out.
@@ -82,7 +85,9 @@ def percentiles(rows: DataFrame, by: str, value: str, shares: Sequence[float]) -
     first = F.col("_before") - F.col("_start")
     covers = lambda at: (first <= at) & (at < first + F.col("_n"))
     low, high = F.floor("_at"), F.ceil("_at")
-    met = ranked.join(wanted, same & (covers(low) | covers(high)))
+    # a row for each group and share: where there are few, as for the whole table, none of the values are dealt out for them
+    wanted = wanted.checkpoint()
+    met = ranked.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_ROWS else wanted, same & (covers(low) | covers(high)))
     ends = met.groupBy(by, "_all", "_k").agg(F.max(F.when(covers(low), F.col(value))).alias("_low"), F.max(F.when(covers(high), F.col(value))).alias("_high"), F.max(F.col("_at") - low).alias("_part"))
-    between = F.struct("_k", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("v"))
-    return ends.groupBy(by, "_all").agg(F.transform(F.array_sort(F.collect_list(between)), lambda x: x.v).alias("values"))
+    found = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part") if between == "linear" else F.col("_high")
+    return ends.groupBy(by, "_all").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", found.alias("v")))), lambda x: x.v).alias("values"))

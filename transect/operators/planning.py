@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from transect.functions import flight
 from transect.functions import geometry as g
 from transect.operators import fusion, matching
-from transect.operators.ordering import running_min, running_total
+from transect.operators.ordering import percentiles, running_min, running_total
 from transect.session import prepare
 
 
@@ -63,9 +63,10 @@ def altitude_manifest(animals: DataFrame, altitudes: DataFrame, least_px: float)
     """(altitude_m, gsd_cm_px, n_animals, min_px, max_px, len_min_m, len_max_m, len_median_m): sizes of what is shown at an
     altitude (0 where nothing is), lengths of all animals; of two middle lengths the larger."""
     sizes = animals_at(animals, altitudes, least_px).groupBy("altitude_m").agg(F.count("*").alias("n_animals"), F.min(F.rint("apparent_px")).alias("min_px"), F.max(F.rint("apparent_px")).alias("max_px"))
-    median = F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -length_m)")
-    lengths = animals.agg(*[F.bround(x, 2).alias(n) for x, n in ((F.min("length_m"), "len_min_m"), (F.max("length_m"), "len_max_m"), (median, "len_median_m"))])
-    out = altitudes.join(sizes, "altitude_m", "left").fillna(0, ["n_animals", "min_px", "max_px"]).crossJoin(lengths)
+    # lengths are counted by value and summed in order, so no task has them all
+    whole = percentiles(animals.select(F.lit(0).alias("_g"), "length_m"), "_g", "length_m", [0.0, 0.5, 1.0], "upper").filter("_all = 1")
+    lengths = whole.select(*[F.bround(F.col("values")[k], 2).alias(n) for k, n in enumerate(("len_min_m", "len_median_m", "len_max_m"))])
+    out = altitudes.join(sizes, "altitude_m", "left").fillna(0, ["n_animals", "min_px", "max_px"]).join(F.broadcast(lengths), F.lit(True), "left")
     return out.select("altitude_m", F.bround(F.col("gsd") * 100, 3).alias("gsd_cm_px"), "n_animals", "min_px", "max_px", "len_min_m", "len_max_m", "len_median_m")
 
 
@@ -122,32 +123,56 @@ def planned_tiles(plan: DataFrame, overlap: float = 0.2) -> DataFrame:
     return out.withColumn("tile_w", F.least(size, F.col("width"))).withColumn("tile_h", F.least(size, F.col("height")))
 
 
-def adaptive_prediction(frames: DataFrame, detect: Callable[[DataFrame], DataFrame], conf: float = 0.3, overlap: float = 0.2, **decision: Column) -> DataFrame:
+def adaptive_prediction(frames: DataFrame, detect: Callable[[DataFrame], DataFrame], conf: float = 0.3, overlap: float = 0.2, seams: float | None = 0.5, **decision: Column) -> DataFrame:
     """(frame, det_seq, x1, y1, x2, y2, score) of frames (frame, width, height, ...): the decision of each, its tiles, and what ``detect`` finds in them.
 
     detect gets the tiles (frame's columns, slice, mode, x, y, tile_w, tile_h) and gives (frame, x, y, det_seq, x1, y1, x2, y2,
     score) in pixels of the tile; those from ``conf`` on are kept, and moved to the frame. decision: arguments of
-    ``flight.slice_decision``. A frame's detections are numbered by tile and det_seq; an
-    object that lies in two tiles is two detections, which fusion joins.
+    ``flight.slice_decision``. A frame's detections are numbered by tile and det_seq. What tiles of a sliced frame saw twice is
+    merged where it overlaps by ``seams`` of the smaller box (``fusion.merge_seams``); None leaves it.
     """
-    chosen = frames.withColumn("_d", flight.slice_decision(F.col("width"), F.col("height"), **decision)).withColumn("slice", F.when(F.col("_d.mode") == "sahi", F.col("_d.slice_size"))).withColumn("mode", F.col("_d.mode")).drop("_d")
+    return _predicted(decided(frames, **decision), detect, conf, overlap, seams)
+
+
+def decided(frames: DataFrame, **decision: Column) -> DataFrame:
+    """frames (width, height, ...) with mode and slice (null unless it is sliced); decision: arguments of ``flight.slice_decision``."""
+    chosen = frames.withColumn("_d", flight.slice_decision(F.col("width"), F.col("height"), **decision))
+    return chosen.withColumn("slice", F.when(F.col("_d.mode") == "sahi", F.col("_d.slice_size"))).withColumn("mode", F.col("_d.mode")).drop("_d")
+
+
+def _predicted(chosen: DataFrame, detect: Callable[[DataFrame], DataFrame], conf: float, overlap: float, seams: float | None) -> DataFrame:
     found = detect(planned_tiles(chosen, overlap)).filter(F.col("score") >= conf)
     moved = found.select("frame", "x", "y", "det_seq", *[(F.col(c) + F.col(c[0])).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], "score")
     nth = F.row_number().over(Window.partitionBy("frame").orderBy("y", "x", "det_seq"))  # a frame's detections
-    return moved.withColumn("det_seq", nth.cast("long")).drop("x", "y")
+    moved = moved.withColumn("det_seq", nth.cast("long")).drop("x", "y")
+    if seams is None:
+        return moved
+    prepare(moved.sparkSession)
+    moved, same = moved.checkpoint(), F.col("frame") == F.col("_of")
+    sliced = chosen.filter("slice IS NOT NULL").select(F.col("frame").alias("_of"))
+    return moved.join(sliced, same, "left_anti").unionByName(fusion.merge_seams(moved.join(sliced, same, "left_semi"), seams))
 
 
-def ensemble(frames: DataFrame, models: Sequence[dict], fuse: str = "wbf", weights: Sequence[float] | None = None, threshold: float | None = None, least: float = 0.0, overlap: float = 0.2, **decision: Column) -> DataFrame:
-    """Fused detections of several models, each with tiles of its own scale.
+def ensemble_predict(frames: DataFrame, models: Sequence[dict], fuse: str = "wbf", weights: Sequence[float] | None = None, threshold: float | None = None, least: float = 0.0, overlap: float = 0.2, seams: float | None = 0.5, **decision: Column) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]]]:
+    """Fused detections of several models, each with tiles of its own scale; and by label of the model its decisions (frames with
+    mode and slice) and detections.
 
-    A model is a dict of ``detect`` (as in ``adaptive_prediction``) and of what is its own: conf, and target_px, target_len_m and
-    min_slice of its decision.
+    A model is a dict of ``detect`` (as in ``adaptive_prediction``), ``label`` (its number by default) and of what is its own: conf, and
+    target_px, target_len_m and min_slice of its decision.
     """
-    found = []
-    for model in models:
-        own = {k: F.lit(v) for k, v in model.items() if k in ("target_px", "target_len_m", "min_slice")}
-        found.append(adaptive_prediction(frames, model["detect"], model.get("conf", 0.3), overlap, **decision, **own))
-    return fusion.fuse_detections(found, fuse, weights, threshold, least)
+    found = {}
+    for k, model in enumerate(models):
+        own = {n: F.lit(v) for n, v in model.items() if n in ("target_px", "target_len_m", "min_slice")}
+        chosen = decided(frames, **decision, **own)
+        found[str(model.get("label", k))] = chosen, _predicted(chosen, model["detect"], model.get("conf", 0.3), overlap, seams)
+    if len(found) < len(models):
+        raise ValueError("labels of models differ")
+    return fusion.fuse_detections([dets for _, dets in found.values()], fuse, weights, threshold, least), found
+
+
+def ensemble(frames: DataFrame, models: Sequence[dict], fuse: str = "wbf", weights: Sequence[float] | None = None, threshold: float | None = None, least: float = 0.0, overlap: float = 0.2, seams: float | None = 0.5, **decision: Column) -> DataFrame:
+    """The fused detections of ``ensemble_predict``."""
+    return ensemble_predict(frames, models, fuse, weights, threshold, least, overlap, seams, **decision)[0]
 
 
 def score_frames(frames: DataFrame, load_model, columns: Sequence[str], conf: float = 0.0) -> DataFrame:

@@ -494,7 +494,7 @@ def _planned_frames(spark: SparkSession, d: str) -> DataFrame:
   AND x1 >= tx AND y1 >= ty AND x2 <= tx + least(s, 8192) AND y2 <= ty + least(s, 5460) AND (x2 - x1) * 1024 / least(s, 8192) >= 3 WHERE score >= 0.1::DOUBLE""")
 def q75_adaptive_prediction(spark: SparkSession, d: str) -> DataFrame:
     """The decision of each frame, its tiles, and a detector of known objects in them, from a confidence on."""
-    return planning.adaptive_prediction(_planned_frames(spark, d), _detector(_two_models(spark, d)[0], 3.0), 0.1, given_gsd=F.col("gsd"))
+    return planning.adaptive_prediction(_planned_frames(spark, d), _detector(_two_models(spark, d)[0], 3.0), 0.1, seams=None, given_gsd=F.col("gsd"))
 
 
 @query(_PLANNED_SQL + """,
@@ -506,7 +506,7 @@ def q76_ensemble(spark: SparkSession, d: str) -> DataFrame:
     """Two models with tiles and floors of their own, agreed."""
     a, c = _two_models(spark, d)
     models = [{"detect": _detector(a, 3.0), "conf": 0.1}, {"detect": _detector(c, 2.0), "conf": 0.05}]
-    return planning.ensemble(_planned_frames(spark, d), models, "consensus", given_gsd=F.col("gsd")).select("frame", "x1", "y1", "x2", "y2", "score")
+    return planning.ensemble(_planned_frames(spark, d), models, "consensus", seams=None, given_gsd=F.col("gsd")).select("frame", "x1", "y1", "x2", "y2", "score")
 
 
 @query("SELECT c_custkey AS frame, name, pitch AS pitch_um, focal AS focal_mm FROM (SELECT c_custkey, ['phaseone_ixm_rs150f', 'dji_zenmuse_p1', 'unknown'][c_custkey % 3 + 1] AS name FROM customer) x LEFT JOIN (VALUES ('phaseone_ixm_rs150f', 3.76::DOUBLE, 70.0::DOUBLE), ('dji_zenmuse_p1', 4.39::DOUBLE, 35.0::DOUBLE)) k(key, pitch, focal) ON name = key")
