@@ -219,6 +219,8 @@ def test_metrics_of_each_frame_and_method(spark, survey):
     d, t, frames, dets, truth = survey
     grid = frames.crossJoin(spark.createDataFrame([("plain", 0.5), ("fine", 0.2), ("none", 2.0)], "method string, least double"))
     found = planning.method_metrics(grid, d.join(grid, "frame").filter("score >= least").drop("least"), t).collect()
+    least = {r.method: r.least for r in grid.select("method", "least").distinct().collect()}
+    assert sorted(map(str, planning.score_metrics(grid, least, d, t).collect())) == sorted(map(str, found))
     assert len(found) == 180
     for r in found:
         mine = [x for x in dets if x[0] == r.frame and x[6] >= r.least]
@@ -236,10 +238,11 @@ def test_altitude_manifest(spark):
     assert found == {60.0: (1.0, 3, 50.0, 400.0, 3.0, 9.0, 5.0), 300.0: (10.0, 2, 40.0, 90.0, 3.0, 9.0, 5.0), 9000.0: (1000.0, 0, 0.0, 0.0, 3.0, 9.0, 5.0)}
 
 
-def test_passages_are_found_at_any_place(spark):
+@pytest.mark.parametrize("most_chars", [2_000_000, 20, 1])
+def test_passages_are_found_at_any_place(spark, most_chars):
     passages = ["a b c d e f g h i j", "one two three", " sp a\tb c d e f\n\ng h i ", "無空格", "", None, "a b c d e f g h i j"]
     texts = ["xx a b c d e f g h i j yy", "xxa b c d e f g h i jyy", "a b c d e f g h i", "a b c d e f g h i k", "a b c d e  f g h i j", "someone two threefold", "one  two three", "x sp a\tb c d e f\n\ng h i y", "這無空格的", "", None, "a b c d e f g h i j"]
-    found = curation.containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in passages], "text string"), "text").collect()
+    found = curation.containing(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in passages], "text string"), "text", most_chars=most_chars).collect()
     want = {md5(t.encode()).hexdigest() for t in texts if t and any(p and p in t for p in passages)}
     assert len(want) == 6
     assert sorted(r.md5 for r in found) == sorted(want)
@@ -278,3 +281,20 @@ def test_crops_of_a_large_scene_are_not_one_row(spark):
     assert {(r.scene, r.len_id): r.crop_id for r in df.collect()} == want
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "array_append" not in plan
+
+
+def test_average_precision(spark, survey):
+    """Against the definition, level by level and point by point."""
+    d, t = survey[:2]
+    dets, truth = [tuple(r) for r in d.collect()], [tuple(r) for r in t.collect()]
+    got = {r.level: r.average_precision for r in matching.average_precision(d, t, [0.3, 0.5, 0.75], most=4).collect()}
+    for level in (0.3, 0.5, 0.75):
+        hit = {(r.frame, r.det_seq) for r in matching.greedy_match(d, t, threshold=level).collect() if r.gt_idx is not None}
+        points, tp, n = [], 0, 0
+        for s in sorted({r[6] for r in dets}, reverse=True):
+            own = [r for r in dets if r[6] == s]
+            new = sum((r[0], r[1]) in hit for r in own)
+            tp, n = tp + new, n + len(own)
+            points.append((new, tp / n))
+        assert got[level] == pytest.approx(sum(new * max(p for _, p in points[k:]) for k, (new, _) in enumerate(points)) / len(truth))
+    assert {r.average_precision for r in matching.average_precision(d.limit(0), t).collect()} == {0.0} == {r.average_precision for r in matching.average_precision(d, t.limit(0)).collect()}

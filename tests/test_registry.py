@@ -9,6 +9,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 PROGRAM = """
 import sys
 sys.path.insert(0, sys.argv[1])
+if "blocked" in sys.argv:
+    sys.modules["public_tokenizers"] = None
 from pyspark.sql import SparkSession
 import __spark_entry__ as e
 assert "q01_box_scale" in e.queries() and not any(n.startswith("op") or n == "pipeline" for n in e.queries())
@@ -24,3 +26,14 @@ def test_without_the_corpus_operators(tmp_path, smallest):
         assert not (copy / "transect" / "llm").exists()
         run = subprocess.run([sys.executable, "-c", PROGRAM, str(copy), smallest], cwd=copy, capture_output=True, text=True, timeout=300)
         assert run.returncode == 0, run.stderr[-2000:]
+
+
+def test_what_a_deleted_folder_leaves_and_missing_libraries(tmp_path, smallest):
+    for what in ("cache", "blocked"):
+        copy = tmp_path / what
+        left_out = (".git", "__pycache__", *(["llm"] if what == "cache" else []))
+        shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(*left_out))
+        if what == "cache":
+            (copy / "transect" / "llm" / "__pycache__").mkdir(parents=True)
+        run = subprocess.run([sys.executable, "-c", PROGRAM, str(copy), smallest, what], cwd=copy, capture_output=True, text=True, timeout=300)
+        assert run.returncode == 0, run.stderr[-2000:]

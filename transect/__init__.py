@@ -1 +1 @@
-"""Spark-native curation and evaluation of box-annotated survey imagery, plus corpus operators in ``transect.llm``."""
+"""Spark-native curation and evaluation of box-annotated survey imagery."""

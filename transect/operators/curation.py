@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transect.functions import geometry as g
 from transect.operators.ordering import percentiles
+from transect.session import prepare
 
 
 def first_seen(images: DataFrame, content: str, order: Sequence[str]) -> DataFrame:
@@ -42,25 +45,60 @@ def without_leaks(train: DataFrame, held_out: DataFrame, content: str) -> DataFr
     return train.join(held_out.select(content).distinct(), content, "left_anti")
 
 
-def containing(texts: DataFrame, passages: DataFrame, text: str, width: int = 8) -> DataFrame:
-    """(md5): of the texts that have a whole passage (a table small enough to broadcast) verbatim in them, at any place.
+def containing(texts: DataFrame, passages: DataFrame, text: str, width: int = 8, most_chars: int = 2_000_000) -> DataFrame:
+    """(md5): of the texts that have a whole passage verbatim in them, at any place. Empty passages are none.
 
-    A passage's words but its first and last, which may be parts of longer ones, are words of any text that has it. So the
-    first ``width`` of them, hashed, join the hashed word windows of texts, and pairs that meet are verified on the texts.
-    Passages with too few words for that are looked for in every text. Empty ones are none.
+    Passages of ``most_chars`` characters together make one automaton, which each task builds and runs over its texts once, whatever their
+    number and lengths; no row is made for a word, and nothing is joined. Of more passages, the long ones are found by anchors: a
+    passage's words but its first and last, which may be parts of longer ones, are words of any text that has it, so the first
+    ``width`` of them, hashed, join the hashed word windows of texts, and pairs that meet are verified on the texts. Those with too
+    few words for that go by automata, in blocks of ``most_chars``.
     """
+    told = passages.select(F.col(text).alias("_passage")).filter("_passage <> ''").distinct()
+    own = texts.select(F.md5(text).alias("md5"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
+    if (told.agg(F.sum(F.length("_passage"))).first()[0] or 0) <= most_chars:
+        return _with_any(own, told, most_chars).distinct()
     words = lambda c: F.split(c, r"\s+")
-    told = passages.select(F.col(text).alias("_passage")).filter("_passage <> ''").distinct().withColumn("_words", words(F.col("_passage")))
-    told = told.withColumn("_long", F.size("_words") >= width + 2)
+    told = told.withColumn("_words", words(F.col("_passage"))).withColumn("_long", F.size("_words") >= width + 2)
     anchors = told.filter("_long").select("_passage", F.xxhash64(F.slice("_words", 2, width)).alias("_anchor"))
-    own = texts.select(F.md5(text).alias("md5"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
     cut = own.select("md5", words(F.col("_text")).alias("_words")).filter(F.size("_words") >= width + 2)
-    windows = cut.select("md5", F.explode(F.transform(F.sequence(F.lit(1), F.size("_words") - width + 1), lambda k: F.xxhash64(F.slice("_words", k, width)))).alias("_window"))
-    met = windows.join(F.broadcast(anchors), F.col("_window") == F.col("_anchor")).select("md5", "_passage").distinct()
-    inside = F.contains("_text", "_passage")
-    long = own.join(met, "md5").filter(inside).select("md5")
-    short = own.join(F.broadcast(told.filter("NOT _long").select("_passage")), inside, "left_semi").select("md5")
-    return long.union(short).distinct()
+    windows = cut.select("md5", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("_words") - width + 1), lambda k: F.xxhash64(F.slice("_words", k, width)))).alias("_window"))
+    met = windows.join(anchors, F.col("_window") == F.col("_anchor")).select("md5", "_passage").distinct()
+    long = own.join(met, "md5").filter(F.contains("_text", "_passage")).select("md5")
+    return long.union(_with_any(own, told.filter("NOT _long").select("_passage"), most_chars)).distinct()
+
+
+def _with_any(own: DataFrame, passages: DataFrame, most_chars: int) -> DataFrame:
+    """(md5) of rows (md5, _text) whose text has any of the passages, by one automaton for each block of them."""
+    prepare(own.sparkSession)
+    out = own.select("md5").limit(0)
+    for block in _blocks(passages, most_chars):
+        shared = own.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for passage in shared.value:
+                automaton.add_word(passage)
+            automaton.make_automaton()
+            for batch in batches:
+                hit = pa.array([next(automaton.iter(t), None) is not None for t in batch.column(1).to_pylist()], pa.bool_())
+                yield batch.select(["md5"]).filter(hit)
+
+        out = out.union(own.mapInArrow(run, "md5 string"))
+    return out
+
+
+def _blocks(passages: DataFrame, most_chars: int) -> Iterator[list[str]]:
+    """Passages in blocks of ``most_chars`` characters, or of one longer passage; a block is held at a time."""
+    block, size = [], 0
+    for r in passages.toLocalIterator():
+        if block and size + len(r._passage) > most_chars:
+            yield block
+            block, size = [], 0
+        block.append(r._passage)
+        size += len(r._passage)
+    if block:
+        yield block
 
 
 def frame_counts(frames: DataFrame, boxes: DataFrame, key: str = "frame") -> DataFrame:

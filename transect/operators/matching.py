@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from transect.functions import geometry as g
 from transect.operators import spatial
+from transect.operators.ordering import running_min, running_total
 from transect.session import prepare
 
 _D, _G = ("x1", "y1", "x2", "y2"), ("gx1", "gy1", "gx2", "gy2")
@@ -189,3 +190,37 @@ def recall_at(points: DataFrame, targets: Sequence[float] = (0.1, 0.5, 1.0, 2.0)
     wanted = spark.createDataFrame([(float(t),) for t in targets], "target double")
     best = wanted.join(F.broadcast(points), F.col("fppi") <= F.col("target"), "left").groupBy("target").agg(F.max(F.struct("recall", "conf")).alias("best"))
     return best.select("target", "best.recall", "best.conf")
+
+
+def average_precision(dets: DataFrame, truth: DataFrame, levels: Sequence[float] = tuple(round(0.5 + 0.05 * k, 2) for k in range(10)), most: int = spatial.HOT_BOXES) -> DataFrame:
+    """(level, average_precision): the area under precision over recall, for each IoU that a match must reach; 0 without truth or detections.
+
+    Pairs are joined once, at the least level, and matched for all levels together: a frame at a level is a frame of its own. Detections of
+    one score are one point of the curve; of a point's precision, the best at its recall or a higher one counts. Sums and maxima run over
+    the scores of a level in order by range, so no task has them all.
+    """
+    prepare(dets.sparkSession)
+    found = pairs(dets, truth, min(levels), most).checkpoint()
+    level = F.explode(F.filter(F.array(*[F.lit(float(v)) for v in levels]), lambda v: v <= F.col("iou")))
+    each = found.withColumn("level", level).withColumn("frame", F.struct("frame", "level")).drop("level")
+    hot = spatial.hot_frames(each, most=most * 10)
+    if hot is None:
+        taken = _folded(each, "iou", dets, truth)
+    else:
+        few, many = spatial.divided(each, hot)
+        taken = _folded(few, "iou", dets, truth).unionByName(by_rounds(many, "iou"))
+    scores = each.select("frame", "det_seq", "score").distinct()
+    hits = taken.join(scores, (F.col("m_frame") == F.col("frame")) & (F.col("m_seq") == F.col("det_seq"))).groupBy(F.col("frame.level").alias("level"), "score").agg(F.count("*").alias("tp"))
+    every = F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level")
+    points = dets.groupBy("score").agg(F.count("*").alias("n")).select("score", "n", every).join(hits, ["level", "score"], "left").fillna(0, ["tp"])
+    order = [F.col("level"), F.col("score").desc()]
+    for part, name in (("tp", "_tps"), ("n", "_ns")):
+        points = running_total(points, order, F.col(part), name)
+    firsts = points.groupBy(F.col("level").alias("_level")).agg(F.min("_tps").alias("_tp0"), F.min("_ns").alias("_n0"))  # what the levels before it have
+    shares = points.join(F.broadcast(firsts), F.col("level") == F.col("_level"))
+    shares = shares.withColumn("_share", (F.col("_tps") - F.col("_tp0") + F.col("tp")) / (F.col("_ns") - F.col("_n0") + F.col("n")).cast("double")).select("level", "score", "tp", "_share")
+    best = running_min(shares, ["level"], [F.col("score")], -F.col("_share"), "_least")
+    area = best.groupBy("level").agg(F.sum(F.col("tp") * -F.least("_least", -F.col("_share"))).alias("_area"))
+    whole = truth.agg(F.count("*").alias("_gt"))
+    listed = dets.sparkSession.createDataFrame([(float(v),) for v in levels], "level double").crossJoin(F.broadcast(whole))
+    return listed.join(area, "level", "left").select("level", F.coalesce(g.ratio(F.col("_area"), F.col("_gt")), F.lit(0.0)).alias("average_precision"))

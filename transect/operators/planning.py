@@ -47,6 +47,22 @@ def method_metrics(grid: DataFrame, dets: DataFrame, truth: DataFrame, threshold
     boxes = truth.join(wanted, "frame").withColumn("frame", key).drop("method")
     matched = matching.greedy_match(dets.withColumn("frame", key).drop("method"), boxes, "iou", threshold)
     hits = matched.groupBy("frame").agg(F.count_if(F.col("gt_idx").isNotNull()).alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp")).select("frame.frame", "frame.method", "tp", "fp")
+    return _metrics(grid, hits, truth)
+
+
+def score_metrics(grid: DataFrame, least: dict[str, float], dets: DataFrame, truth: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """As method_metrics, where a method's detections are those of ``dets`` (frame, det_seq, box, score) from a score on.
+
+    What a detection gets depends on higher scores alone, so one match serves all methods.
+    """
+    matched = matching.greedy_match(dets, truth, "iou", threshold).select("frame", "score", "gt_idx")
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(float(s)).alias("least")) for m, s in least.items()])
+    reached = matched.withColumn("_m", F.explode(F.filter(methods, lambda m: F.col("score") >= m["least"]))).withColumn("method", F.col("_m.method"))
+    hits = reached.groupBy("frame", "method").agg(F.count_if(F.col("gt_idx").isNotNull()).alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp"))
+    return _metrics(grid, hits, truth)
+
+
+def _metrics(grid: DataFrame, hits: DataFrame, truth: DataFrame) -> DataFrame:
     counts = grid.join(hits, ["frame", "method"], "left").join(truth.groupBy("frame").agg(F.count("*").alias("_gt")), "frame", "left").fillna(0, ["tp", "fp", "_gt"])
     fn = F.col("_gt") - F.col("tp")
     prec, rec = g.precision(F.col("tp"), F.col("fp")), g.recall(F.col("tp"), fn)
@@ -64,7 +80,7 @@ def altitude_manifest(animals: DataFrame, altitudes: DataFrame, least_px: float)
     altitude (0 where nothing is), lengths of all animals; of two middle lengths the larger."""
     sizes = animals_at(animals, altitudes, least_px).groupBy("altitude_m").agg(F.count("*").alias("n_animals"), F.min(F.rint("apparent_px")).alias("min_px"), F.max(F.rint("apparent_px")).alias("max_px"))
     # lengths are counted by value and summed in order, so no task has them all
-    whole = percentiles(animals.select(F.lit(0).alias("_g"), "length_m"), "_g", "length_m", [0.0, 0.5, 1.0], "upper").filter("_all = 1")
+    whole = percentiles(animals.select(F.lit(0).alias("whole"), "length_m"), "whole", "length_m", [0.0, 0.5, 1.0], "upper").filter("_all = 1")
     lengths = whole.select(*[F.bround(F.col("values")[k], 2).alias(n) for k, n in enumerate(("len_min_m", "len_median_m", "len_max_m"))])
     out = altitudes.join(sizes, "altitude_m", "left").fillna(0, ["n_animals", "min_px", "max_px"]).join(F.broadcast(lengths), F.lit(True), "left")
     return out.select("altitude_m", F.bround(F.col("gsd") * 100, 3).alias("gsd_cm_px"), "n_animals", "min_px", "max_px", "len_min_m", "len_max_m", "len_median_m")

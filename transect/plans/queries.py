@@ -551,9 +551,7 @@ def q38_method_prf(spark: SparkSession, d: str) -> DataFrame:
     frames = table(spark, d, "customer").select(F.col("c_custkey").alias("frame"), (60 + 10 * (F.col("c_custkey") % 27)).cast("double").alias("altitude"))
     frames = frames.withColumn("gsd", flight.gsd(F.lit(4.39), F.col("altitude"), F.lit(35.0))).withColumn("width", F.lit(8192)).withColumn("height", F.lit(5460))
     least = {"plain": 0.5, "fixed640": 0.4, "fixed1024": 0.3, "adaptive": 0.2, "adaptive_range": 0.1}
-    found = F.explode(F.filter(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(s).alias("least")) for m, s in least.items()]), lambda m: F.col("score") >= m.least))
-    dets = fx.detections(spark, d).withColumn("_m", found).withColumn("method", F.col("_m.method")).drop("_m")
-    return planning.method_metrics(planning.method_grid(frames).select("frame", "method", "altitude", "slice"), dets, fx.truth(spark, d))
+    return planning.score_metrics(planning.method_grid(frames).select("frame", "method", "altitude", "slice"), least, fx.detections(spark, d), fx.truth(spark, d))
 
 
-from transect.plans import inventory  # noqa: E402, F401  (registers more)
+from transect.plans import evaluation, inventory  # noqa: E402, F401  (register more)

@@ -48,6 +48,12 @@ def sources(spark: SparkSession, names: Sequence[str] | None = None) -> DataFram
     return spark.createDataFrame(rows, schema.SOURCE_REGISTRY)
 
 
+def selected(rows: DataFrame, names: Sequence[str], source: str = "source") -> DataFrame:
+    """rows of the sources that are named, with what is registered of them; a name that isn't registered is an error. The registry is a few rows."""
+    asked = sources(rows.sparkSession, names).withColumnRenamed("name", "_name")
+    return rows.join(F.broadcast(asked), F.col(source) == F.col("_name")).drop("_name")
+
+
 def split_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SPLIT_CONFIG), schema.SPLIT_CONFIG)
 
