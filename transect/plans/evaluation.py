@@ -1,14 +1,16 @@
-"""Queries over whole runs of detectors: seams of tiles, models of an ensemble, average precision."""
+"""Queries over whole runs of detectors: seams of tiles, models of an ensemble, average precision; and over image files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transect.operators import matching, planning
 from transect.plans import fixtures as fx
 from transect.plans.inventory import _PLANNED_SQL, _planned_frames
-from transect.plans.queries import _POINTS, _two_models, query  # noqa: F401
+from transect.plans.queries import query
+from transect.session import table
+from transect.sources import images
 
 _ENDS = ("x1", "y1", "x2", "y2")
 
@@ -109,3 +111,35 @@ SELECT level, round(sum(tp * best) / (SELECT count(*) FROM g), 9) AS average_pre
 def q80_average_precision(spark: SparkSession, d: str) -> DataFrame:
     """Average precision at IoU 0.5, 0.55, ... 0.95."""
     return matching.average_precision(fx.detections(spark, d), fx.truth(spark, d), _LEVELS).withColumn("average_precision", F.round("average_precision", 9))
+
+
+def _number(value: Column | int, size: int, little: Column) -> Column:
+    """Hex digits of a whole number in ``size`` bytes, in either order."""
+    big = F.lpad(F.hex(value if isinstance(value, Column) else F.lit(value)), 2 * size, "0")
+    return F.when(little, F.concat(*[F.substring(big, 2 * k + 1, 2) for k in reversed(range(size))])).otherwise(big)
+
+
+def _image_heads(spark: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, content): parts as the first bytes of image files; every third is PNG, the others are JPEG with EXIF, every other one in Intel's order."""
+    key = F.col("p_partkey").cast("long")
+    little, always_big = key % 2 == 0, F.lit(False)
+    width, height = 100 + key % 900, 60 + F.col("p_size").cast("long")
+    n = lambda v, size: _number(v, size, little)
+    big = lambda v, size: _number(v, size, always_big)
+    entry = lambda tag, kind, value: F.concat(n(tag, 2), n(kind, 2), n(1, 4), value)
+    top = F.concat(n(3, 2), entry(0x0112, 3, F.concat(n(key % 8 + 1, 2), F.lit("0000"))), entry(0x8769, 4, n(50, 4)), entry(0x8825, 4, n(68, 4)), n(0, 4))
+    lens = F.concat(n(1, 2), entry(0x920A, 5, n(98, 4)), n(0, 4))
+    position = F.concat(n(2, 2), entry(5, 1, F.concat(big(key % 5 % 2, 1), F.lit("000000"))), entry(6, 5, n(106, 4)), n(0, 4))
+    tiff = F.concat(F.when(little, "4949").otherwise("4D4D"), n(42, 2), n(8, 4), top, lens, position, n(key % 500, 4), n(10, 4), n(key % 1000, 4), n(4, 4))
+    jpeg = F.concat(F.lit("FFD8FFE1007A457869660000"), tiff, F.lit("FFC0001108"), big(height, 2), big(width, 2), F.lit("03" + "00" * 9 + "FFD9"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(width, 4), big(height, 4), F.lit("08020000" + "00" * 5))
+    return table(spark, d, "part").select("p_partkey", F.unhex(F.when(key % 3 == 0, png).otherwise(jpeg)).alias("content"))
+
+
+@query(
+    """SELECT p_partkey, (100 + p_partkey % 900)::INT AS width, (60 + p_size)::INT AS height, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 8 + 1)::INT END AS orientation,
+  CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 500) / 10.0::DOUBLE END AS focal_mm, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 1000) / 4.0::DOUBLE * CASE WHEN p_partkey % 5 % 2 = 1 THEN -1 ELSE 1 END END AS altitude_m FROM part"""
+)
+def q81_image_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes, orientations, focal lengths and altitudes read from the bytes of image files."""
+    return images.with_facts(_image_heads(spark, d)).select("p_partkey", "width", "height", "orientation", "focal_mm", "altitude_m")
