@@ -6,12 +6,13 @@ once may be repeated, and only those rows shuffle; the rest pass straight throug
 
 The filter has 16 bits for each row. What is merged and broadcast at once is bounded by ``max_filter_mb``: a filter that is
 larger is built and asked one range of hashes after the other, so its bits grow with the rows and no unique row shuffles for
-want of them (10^10 rows take 80 passes over their 64-bit hashes and digests, less than a tenth of the texts of as many).
+want of them. The rows are then written by range once, and each pass reads its own (10^10 rows are 128 ranges).
 Groups are summed before the shuffle; the join back is one that adaptive execution splits when a group is hot.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import delete_shared, prepare, shared_dir
 
 MAX_FILTER_MB = 256
 _SEGMENTS = 64
@@ -138,13 +139,20 @@ def _looked_up(words, log_ranges: int):
 def maybe_repeated(rows: DataFrame, column: str, count: int, max_filter_mb: float = MAX_FILTER_MB, name: str = "maybe") -> DataFrame:
     """rows with a boolean column ``name``: false only where a row's hash (``column``, a long) occurs once in rows.
 
-    Where the filter takes several ranges, the rows of each are checkpointed and its filter is dropped before the next.
+    Where the filter takes several ranges, rows are written by range to the shared folder, those of each are checkpointed, and its
+    filter is dropped before the next.
     """
-    context = rows.sparkSession.sparkContext
+    spark = rows.sparkSession
+    context = spark.sparkContext
     log_words, log_ranges = filter_size(count, max_filter_mb)
-    parts = []
+    parts, folder = [], f"{shared_dir(spark)}/ranges-{uuid.uuid4()}"
+    if log_ranges:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = rows.withColumn("_range", F.shiftrightunsigned(F.col(column), 64 - log_ranges).cast("int"))
+        ranged.repartition(n, "_range", F.pmod(F.col(column), F.lit(max(1, n >> log_ranges)))).write.partitionBy("_range").parquet(folder)
+        ranged = spark.read.parquet(folder)
     for r in range(1 << log_ranges):
-        own = rows.filter(F.shiftrightunsigned(F.col(column), 64 - log_ranges) == r) if log_ranges else rows
+        own = ranged.filter(F.col("_range") == r).select(*rows.columns) if log_ranges else rows
         words = context.broadcast(repeat_filter(own.select(column), log_words, log_ranges))
         marked = own.withColumn(name, _looked_up(words, log_ranges)(column))
         if log_ranges:
@@ -154,6 +162,8 @@ def maybe_repeated(rows: DataFrame, column: str, count: int, max_filter_mb: floa
     out = parts[0]
     for more in parts[1:]:
         out = out.union(more)
+    if log_ranges:
+        delete_shared(spark, folder)
     return out
 
 
