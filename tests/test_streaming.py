@@ -1,3 +1,6 @@
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from transect.plans import fixtures as fx
@@ -54,3 +57,50 @@ def test_windows_and_log(spark, smallest, tmp_path):
 def test_carried_over_days(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:01", "altitude", 5.0, 1), (1, "2024-01-04 00:00:01", "image", None, 2), (1, "2024-01-04 00:00:01", "gsd", 0.1, 3), (2, "2024-01-04 00:00:01", "image", None, 4)], "flight int, ts string, kind string, value double, event_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert {r.event_id: (r.topic_altitude, r.topic_gsd) for r in telemetry.latest_before(rows).collect()} == {2: (5.0, 0.1), 4: (None, None)}
+
+
+ROWS = "flight int, ts timestamp_ntz, kind string, value double, event_id long, swept int"
+
+
+def appended(spark, folder, rows):
+    spark.createDataFrame([(f, datetime.fromisoformat(t), *more) for f, t, *more in rows], ROWS).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_state_over_batches_and_a_restart(spark, tmp_path):
+    """Batches of one file each, then another start from the checkpoint: values, counter and blind slice go on, late values count for nothing
+    before them, and a flight that was idle for a day begins anew."""
+    day = "2024-01-0"
+    first = [(1, f"{day}1 00:00:05", "image", None, 1, 700), (1, f"{day}1 00:00:09", "altitude", 80.0, 2, None), (1, f"{day}1 00:00:09", "image", None, 3, 900), (None, f"{day}1 00:00:09", "image", None, 4, None)]
+    second = [(1, f"{day}1 00:00:10", "image", None, 5, 901), (1, f"{day}1 00:00:07", "altitude", 10.0, 6, None), (1, f"{day}1 00:00:11", "gsd", None, 7, None), (1, f"{day}1 00:00:12", "gsd", 0.02, 8, None), (2, f"{day}1 00:00:12", "image", None, 9, None)]
+    third = [(1, f"{day}1 00:30:00", "image", None, 10, 5), (2, f"{day}1 00:30:00", "image", None, 11, 640)]
+    later, last = [(3, f"{day}4 00:00:00", "image", None, 12, None)], [(1, f"{day}4 00:00:01", "image", None, 13, 333)]
+    schema = spark.createDataFrame([], ROWS).withColumn("ts", F.col("ts").cast("timestamp")).schema
+    source = lambda: telemetry.enriched_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    for k, rows in enumerate((first, second, third, later, last)):
+        appended(spark, f"{tmp_path}/in", rows)
+        if k:  # the first two are batches of one start, and each other one follows a restart
+            telemetry.publish(source(), f"{tmp_path}/out", f"{tmp_path}/ck")
+    found = {r.event_id: (r.flight, r.topic_altitude, r.topic_gsd, r.n_frame, r.blind_slice) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {
+        1: (1, None, None, 1, 700), 3: (1, 80.0, None, 2, 700), 4: (None, None, None, 1, None), 5: (1, 80.0, None, 3, 700), 9: (2, None, None, 1, None),
+        10: (1, 80.0, 0.02, 4, 700), 11: (2, None, None, 2, 640), 12: (3, None, None, 1, None), 13: (1, None, None, 1, 333),
+    }
+
+
+def test_a_batch_that_fails_is_published_once(spark, smallest, tmp_path):
+    rows = fx.telemetry(spark, smallest)
+    stream = lambda: telemetry.enriched_stream(spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "9999 days")
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).repartition(3).write.parquet(f"{tmp_path}/in")
+    seen = []
+
+    def fails(batch, number):
+        seen.append(number)
+        if number == 1 and seen.count(1) == 1:
+            raise RuntimeError("after the write")
+
+    with pytest.raises(Exception, match="after the write"):
+        telemetry.publish(stream(), f"{tmp_path}/out", f"{tmp_path}/ck", fails)
+    telemetry.publish(stream(), f"{tmp_path}/out", f"{tmp_path}/ck", fails)
+    assert seen.count(1) == 2
+    ids = [r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(ids) == len(set(ids)) == rows.filter("kind = 'image'").count()

@@ -452,13 +452,12 @@ def q72_fixed_mode(spark: SparkSession, d: str) -> DataFrame:
 def q73_stream_frames(spark: SparkSession, d: str) -> DataFrame:
     """The telemetry as a stream with state, read in one batch and published as a table."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
-    table(spark, d, "events").write.parquet(f"{folder}/in")  # a stream's source is a folder
-    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{folder}/in")
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern may be a file or a folder
     kind = F.when(F.col("event_type") == "view", "image").when(F.col("event_type") == "click", "altitude").when(F.col("event_type") == "signup", "gsd").otherwise("other")
     value = F.when(F.col("event_type") == "signup", F.col("value") / F.lit(10000.0)).otherwise(F.col("value") + 30.0)
     k = F.get_json_object("props", "$.k").cast("int")
     rows = events.select(F.col("user_id").alias("flight"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), value.alias("value"), "event_id", (512 * (1 + k % 4)).cast("int").alias("swept"))
-    telemetry.run_available(telemetry.enriched_stream(rows), f"{folder}/out", f"{folder}/checkpoint")
+    telemetry.publish(telemetry.enriched_stream(rows), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("event_id", "flight", "topic_altitude", "topic_gsd", "n_frame", "blind_slice")
 
 

@@ -8,12 +8,14 @@ group. The stream keeps two values, a counter and a blind slice for each flight.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from transect.functions import flight as fl
 from transect.session import prepare
@@ -73,58 +75,87 @@ def blind_slices(frames: DataFrame, swept: str = "swept") -> DataFrame:
     return frames.join(first, F.col("flight").eqNullSafe(F.col("_f")), "left").drop("_f")
 
 
+class FlightState(StatefulProcessor):
+    """What a stream keeps of a flight: the latest altitude and GSD with their times, the number of its frames, and its blind slice.
+
+    A timer of event time, moved on by each batch that has rows of the flight, clears it.
+    """
+
+    _kinds = ("altitude", "gsd")
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: Any) -> None:
+        self.handle = handle
+        self.values = {k: handle.getValueState(k, "value double, at long") for k in self._kinds}
+        self.frames, self.blind = handle.getValueState("frames", "n long"), handle.getValueState("blind", "slice int")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(rows), ignore_index=True)
+        image = found["kind"] == "image"
+        found, image = (x.reset_index(drop=True) for x in _in_order(found, image))
+        at = found["ts"].astype("datetime64[ns]").astype("int64")
+        topics = {}
+        for kind, state in self.values.items():
+            value, since = tuple(state.get()) if state.exists() else (np.nan, -1)
+            told = (found["kind"] == kind) & found["value"].notna() & (at >= since)
+            topics[kind] = found["value"].astype(float).where(told).ffill().fillna(value)
+            if told.any():
+                last = told[told].index[-1]
+                state.update((float(found["value"][last]), int(at[last])))
+        n = self.frames.get()[0] if self.frames.exists() else 0
+        numbers = n + image.cumsum()
+        if image.any():
+            self.frames.update((int(numbers.iloc[-1]),))
+        unknown = image & found["swept"].notna() & ~topics["altitude"].fillna(0).astype(bool) & ~topics["gsd"].fillna(0).astype(bool)
+        blind = pd.Series(pd.NA, found.index, "Int32")
+        if self.blind.exists():
+            blind[:] = self.blind.get()[0]
+        elif unknown.any():
+            first = unknown[unknown].index[0]
+            blind[first:] = int(found["swept"][first])
+            self.blind.update((int(found["swept"][first]),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(at.max()) // 1_000_000, int(timerValues.getCurrentWatermarkInMs())) + self.idle_ms)
+        out = pd.DataFrame({"flight": [key[0]] * len(found), "ts": found["ts"], "event_id": found["event_id"], "topic_altitude": topics["altitude"], "topic_gsd": topics["gsd"], "n_frame": numbers, "blind_slice": blind})
+        yield out[image]
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        for state in (*self.values.values(), self.frames, self.blind):
+            state.clear()
+        yield from ()
+
+
+def _in_order(found: pd.DataFrame, image: pd.Series) -> tuple[pd.DataFrame, pd.Series]:
+    """By time; telemetry before images at equal times."""
+    order = np.lexsort((found["event_id"], image, found["ts"]))
+    return found.iloc[order], image.iloc[order]
+
+
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def enriched_stream(rows: DataFrame, watermark: str = "1 hour", idle: str = "1 day") -> DataFrame:
     """A stream of rows (flight, ts timestamp, kind, value, event_id, and swept if there is one) as its image rows with
     topic_altitude, topic_gsd, n_frame and blind_slice.
 
-    State is two values with their times, a counter and a blind slice for each flight: the one that a sweep picked for its first
-    frame without geometry. Rows of a batch are taken in event-time order (telemetry before images at equal times); of values
-    older than those in state, the newer stays, so a late value counts for no frame of a batch before. Null flights are one
-    flight. The state of a flight goes when the watermark has passed its last row by ``idle``; one that comes back begins anew.
+    State is that of ``FlightState``, in RocksDB (the session's provider is set to it): the blind slice is the one that a sweep picked
+    for the flight's first frame without geometry. Rows of a batch are taken in event-time order (telemetry before images at equal
+    times); of values older than those in state, the newer stays, so a late value counts for no frame of a batch before. Telemetry
+    without a value is none. Null flights are one flight. The state of a flight goes when the watermark has passed its last row by
+    ``idle``; one that comes back begins anew.
     """
-    prepare(rows.sparkSession)
+    spark = rows.sparkSession
+    prepare(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     if "swept" not in rows.columns:
         rows = rows.withColumn("swept", F.lit(None).cast("int"))
-    after = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        columns = ["flight", "ts", "event_id", "topic_altitude", "topic_gsd", "n_frame", "blind_slice"]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=columns)
-            return
-        alt, alt_at, gsd, gsd_at, count, blind = state.get if state.exists else (None, -1, None, -1, 0, None)
-        found = pd.concat(list(batches), ignore_index=True)
-        found["rank"] = (found["kind"] == "image").astype(int)
-        out = []
-        for r in found.sort_values(["ts", "rank", "event_id"]).itertuples():
-            at = r.ts.value
-            if r.kind == "altitude" and at >= alt_at:
-                alt, alt_at = float(r.value), at
-            elif r.kind == "gsd" and at >= gsd_at:
-                gsd, gsd_at = float(r.value), at
-            elif r.kind == "image":
-                count += 1
-                if blind is None and not alt and not gsd and r.swept is not None and not pd.isna(r.swept):
-                    blind = int(r.swept)
-                out.append((key[0], r.ts, r.event_id, alt, gsd, count, blind))
-        state.update((alt, alt_at, gsd, gsd_at, count, blind))
-        state.setTimeoutTimestamp(max(int(found["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + after)
-        made = pd.DataFrame(out, columns=columns)
-        yield made.astype({"blind_slice": "Int32"})
-
     kind = dict(rows.dtypes)["flight"]
-    return (
-        rows.withWatermark("ts", watermark)
-        .groupBy("flight")
-        .applyInPandasWithState(
-            step,
-            f"flight {kind}, ts timestamp, event_id long, topic_altitude double, topic_gsd double, n_frame long, blind_slice int",
-            "alt double, alt_at long, gsd double, gsd_at long, n long, blind int",
-            "append",
-            "EventTimeTimeout",
-        )
-    )
+    needed = rows.select("flight", "ts", "kind", "value", "event_id", "swept").withWatermark("ts", watermark)
+    made = f"flight {kind}, ts timestamp, event_id long, topic_altitude double, topic_gsd double, n_frame long, blind_slice int"
+    return needed.groupBy("flight").transformWithStateInPandas(FlightState(int(pd.Timedelta(idle).total_seconds() * 1000)), made, "Append", "EventTime")
 
 
 def with_flight_log(frames: DataFrame, log: DataFrame, name: str = "frame") -> DataFrame:
@@ -137,6 +168,19 @@ def tumbling_counts(rows: DataFrame, length: str = "10 minutes", watermark: str
     return rows.withWatermark("ts", watermark).groupBy(F.window("ts", length), "kind").count().select(F.col("window.start").alias("start"), "kind", F.col("count").alias("n"))
 
 
+def publish(stream: DataFrame, sink: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Publishes what the stream's source has by now, each row once: batch k is the folder batch=k of the sink, written anew whenever the
+    batch is run, so one that is repeated after a failure, even of ``then`` (called with a batch when it is written), changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        if then:
+            then(batch.sparkSession.read.parquet(f"{sink}/batch={number}"), number)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
     """Writes what the stream's source has by now, appended to a parquet folder; ``maxFilesPerTrigger`` of the source bounds a batch."""
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
