@@ -54,3 +54,25 @@ def test_stream_over_batches(spark, tmp_path):
         telemetry.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/ck")
     found = {r.event_id: (r.topic_altitude, r.topic_gsd, r.n_frame, r.blind_slice) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert found == {1: (None, None, 1, 1024), 2: (None, None, 2, 1024), 5: (None, 0.02, 3, 1024), 6: (50.0, None, 1, None), 7: (None, None, 1, None), 8: (None, None, 2, 640), 9: (None, None, 1, 2048)}
+
+
+@pytest.mark.parametrize("way", ["adaptive"])
+def test_tiles_are_not_broadcast(spark, way):
+    """Tiles are many more than the frames that Spark goes by, so no join with them may collect them."""
+    frames = spark.range(40).select(F.col("id").alias("frame"), F.lit(8192).alias("width"), F.lit(5460).alias("height"), (0.01 + F.col("id") / 1000).alias("gsd"))
+    objects, plans = spark.range(100000).select((F.col("id") % 40).alias("of"), F.col("id").alias("det_seq"), (F.col("id") % 8000).cast("double").alias("at")), []
+
+    def detect(tiles):
+        found = tiles.join(objects, (F.col("frame") == F.col("of")) & F.col("at").between(F.col("x"), F.col("x") + F.col("tile_w") - 20) & (F.col("y") == 0))
+        plans.append(found._jdf.queryExecution().sparkPlan().toString())
+        return found.select("frame", "x", "y", "det_seq", (F.col("at") - F.col("x")).alias("x1"), F.lit(0.0).alias("y1"), (F.col("at") - F.col("x") + 20).alias("x2"), F.lit(20.0).alias("y2"), F.lit(0.5).alias("score"))
+
+    models = [{"label": "a", "detect": detect}, {"label": "b", "detect": detect}]
+    run = {
+        "adaptive": lambda: planning.adaptive_prediction(frames, detect, seams=None, given_gsd=F.col("gsd")),
+        "consensus": lambda: planning.ensemble(frames, models, "consensus", seams=None, given_gsd=F.col("gsd")),
+        "models": lambda: planning.ensemble_predict(frames, models, seams=None, given_gsd=F.col("gsd"))[1]["b"][1],
+        "seams": lambda: planning.adaptive_prediction(frames.filter("frame < 4"), detect, given_gsd=F.col("gsd")),
+    }
+    run[way]()
+    assert plans and all("Broadcast" not in p and "SortMergeJoin" in p for p in plans)

@@ -127,7 +127,11 @@ def detected_at_native_scale(animals: DataFrame, dets: DataFrame, least_px: floa
 
 
 def planned_tiles(plan: DataFrame, overlap: float = 0.2) -> DataFrame:
-    """plan (frame, width, height, slice, ...) with x, y, tile_w and tile_h of every tile; the whole frame for a null slice."""
+    """plan (frame, width, height, slice, ...) with x, y, tile_w and tile_h of every tile; the whole frame for a null slice.
+
+    Spark takes an explosion for as large as what explodes, and would broadcast the tiles of a million frames, through the driver. So
+    frames are dealt out before they have tiles, and a join with tiles is one by sorting.
+    """
     size = F.coalesce("slice", F.greatest("width", "height"))
     step = size - F.floor(F.lit(overlap) * size).cast("int")
 
@@ -135,8 +139,8 @@ def planned_tiles(plan: DataFrame, overlap: float = 0.2) -> DataFrame:
         full = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil((F.col(side) - size) / step).cast("int"), F.lit(0))), lambda k: F.least(k * step, F.col(side) - F.least(size, F.col(side))))
         return F.when(size >= F.col(side), F.array(F.lit(0))).otherwise(full)
 
-    out = plan.withColumn("x", F.explode(along("width"))).withColumn("y", F.explode(along("height")))
-    return out.withColumn("tile_w", F.least(size, F.col("width"))).withColumn("tile_h", F.least(size, F.col("height")))
+    out = plan.repartition("frame").withColumn("x", F.explode(along("width"))).withColumn("y", F.explode(along("height")))
+    return out.withColumn("tile_w", F.least(size, F.col("width"))).withColumn("tile_h", F.least(size, F.col("height"))).hint("merge")
 
 
 def adaptive_prediction(frames: DataFrame, detect: Callable[[DataFrame], DataFrame], conf: float = 0.3, overlap: float = 0.2, seams: float | None = 0.5, **decision: Column) -> DataFrame:
