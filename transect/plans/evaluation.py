@@ -15,12 +15,15 @@ from transect.sources import images
 _ENDS = ("x1", "y1", "x2", "y2")
 
 
-def _spread_objects(spark: SparkSession, d: str) -> DataFrame:
-    """frame, det_seq, box, score: objects of a hundred pixels and more, all over the frame."""
-    rows = fx._by_customer(spark, d).filter("l_linestatus = 'F' AND l_returnflag = 'A'")
+def _spread_boxes(rows: DataFrame) -> DataFrame:
     x, y = ((F.col("l_partkey") * 37) % 7900).cast("double"), ((F.col("l_suppkey") * 53) % 5200).cast("double")
     w, h = 100 + F.col("l_quantity").cast("double"), (100 + F.col("l_linenumber") * 10).cast("double")
-    return fx._numbered(rows.withColumn("x1", x).withColumn("y1", y).withColumn("x2", x + w).withColumn("y2", y + h), "det_seq")
+    return fx.line_boxes(rows).withColumn("x1", x).withColumn("y1", y).withColumn("x2", x + w).withColumn("y2", y + h)
+
+
+def _spread_objects(spark: SparkSession, d: str) -> DataFrame:
+    """frame, det_seq, box, score: objects of a hundred pixels and more, all over the frame."""
+    return fx._numbered(fx._by_customer(spark, d).filter("l_linestatus = 'F' AND l_returnflag = 'A'"), "det_seq", _spread_boxes)
 
 
 def _cutting_detector(objects: DataFrame):
