@@ -56,7 +56,7 @@ def test_stream_over_batches(spark, tmp_path):
     assert found == {1: (None, None, 1, 1024), 2: (None, None, 2, 1024), 5: (None, 0.02, 3, 1024), 6: (50.0, None, 1, None), 7: (None, None, 1, None), 8: (None, None, 2, 640), 9: (None, None, 1, 2048)}
 
 
-@pytest.mark.parametrize("way", ["adaptive", "consensus"])
+@pytest.mark.parametrize("way", ["adaptive", "consensus", "models"])
 def test_tiles_are_not_broadcast(spark, way):
     """Tiles are many more than the frames that Spark goes by, so no join with them may collect them."""
     frames = spark.range(40).select(F.col("id").alias("frame"), F.lit(8192).alias("width"), F.lit(5460).alias("height"), (0.01 + F.col("id") / 1000).alias("gsd"))
