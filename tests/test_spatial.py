@@ -177,3 +177,17 @@ def test_no_duplicates_at_the_seams(spark):
 
     assert found(None).count() > len(objects)
     assert sorted((r.frame, r.x1, r.y1, r.x2, r.y2) for r in found(0.5).collect()) == sorted((f, x, y, min(x + 100, 2000), min(y + 100, 1500)) for f, _, x, y in objects)
+
+
+def test_seams_of_small_frames_take_no_rounds(spark):
+    """A chain in which every other box is freed in a round of its own: one fold in a row, whatever its length, columns besides and rows without a frame too."""
+    chain = [(1, k, 6.0 * k, 0.0, 6.0 * k + 10, 10.0, 1 - k / 100, {"k": k}) for k in range(12)] + [(None, k, 0.0, 0.0, 9.0, 9.0, 0.5, {"k": k}) for k in (0, 0, 1)]
+    dets = spark.createDataFrame(chain, f"frame int, det_seq int, {BOX}, score double, more map<string, int>")
+    pick = lambda df: sorted((r.frame or 0, r.det_seq, r.x1, r.y1, r.x2, r.y2, r.score, r.more["k"]) for r in df.select(dets.columns).collect())
+    spark.sparkContext.setJobGroup("seams", "")
+    merged = fusion.merge_seams(dets, 0.3)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("seams"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 6
+    assert pick(merged) == pick(fusion.merge_seams(dets, 0.3, most=0))
+    assert len(pick(merged)) == 6 + 3

@@ -109,11 +109,48 @@ def merge_seams(dets: DataFrame, threshold: float = 0.5, most: int = spatial.HOT
     at the threshold or above, by intersection over the smaller box; of several seeds the first takes. In that order, what is taken
     widens the seed's box to their hull, if it overlaps the box that it is by then by more than the threshold; the score is the seed's.
 
-    In rounds over the pairs at the threshold: what has no better one left is a seed, what has a better seed is taken, and both
+    A frame's detections fold in one row, JVM-side. Frames with more than ``most`` go by rounds (``_merged_by_rounds``), with the same result.
+    """
+    prepare(dets.sparkSession)
+    hot = spatial.hot_frames(dets, most=most)
+    if hot is None:
+        return _merged_in_rows(dets, threshold)
+    few, many = spatial.divided(dets, hot)
+    return _merged_in_rows(few, threshold).unionByName(_merged_by_rounds(many, threshold, most))
+
+
+def _widened(box: Column, d: Column) -> list[Column]:
+    return [F.least(box[c], d[c]) for c in _D[:2]] + [F.greatest(box[c], d[c]) for c in _D[2:]]
+
+
+def _merged_in_rows(dets: DataFrame, threshold: float) -> DataFrame:
+    kind = dict(dets.dtypes)
+    entry = F.struct((-F.col("score")).alias("s"), F.col("det_seq").alias("d"), F.col("score"), *[F.col(c).cast("double").alias(c) for c in _D])
+    listed = spatial.in_rows(dets).agg(F.array_sort(F.collect_list(entry)).alias("ds"))
+    first = tuple(f"o{c}" for c in _D)
+    seed = lambda d, own, box: F.struct(d["d"].alias("d"), d["score"].alias("score"), *[v.alias(n) for n, v in zip(first, own, strict=True)], *[v.alias(n) for n, v in zip(_D, box, strict=True)])
+
+    def step(seeds: Column, d: Column) -> Column:
+        box = [d[c] for c in _D]
+        takes = lambda s: g.overlaps(*[s[n] for n in first], *box) & (over_smaller(*[s[n] for n in first], *box) >= threshold)
+        wide = lambda s: F.when(over_smaller(*[s[c] for c in _D], *box) > threshold, seed(s, [s[n] for n in first], _widened(s, d))).otherwise(s)
+        place = F.array_position(F.transform(seeds, takes), True)
+        return spatial.let(place, lambda at: F.when(at == 0, F.array_append(seeds, seed(d, box, box))).otherwise(F.transform(seeds, lambda s, k: F.when(k + 1 == at, wide(s)).otherwise(s))))
+
+    start = F.expr(f"cast(array() AS array<struct<d: {kind['det_seq']}, score: {kind['score']}, {', '.join(f'{n}: double' for n in (*first, *_D))}>>)")
+    merged = listed.select("frame", F.explode(F.aggregate("ds", start, step)).alias("_s")).select("frame", F.col("_s.d").alias("det_seq"), *[F.col(f"_s.{c}").alias(c) for c in _D], "_s.score")
+    more = [c for c in dets.columns if c not in merged.columns]
+    if more:  # columns of other kinds needn't be sorted with the detections
+        merged = merged.join(dets.select(F.col("frame").alias("_f"), F.col("det_seq").alias("_d"), *more), (F.col("frame") == F.col("_f")) & (F.col("det_seq") == F.col("_d")))
+        return merged.select(*dets.columns).unionByName(dets.filter("frame IS NULL"))
+    return merged.select(*dets.columns)
+
+
+def _merged_by_rounds(dets: DataFrame, threshold: float, most: int) -> DataFrame:
+    """As _merged_in_rows, in rounds over the pairs at the threshold: what has no better one left is a seed, what has a better seed is taken, and both
     go. A round is a few joins over pairs that are left; there is one for each step of the longest chain in which a seed frees
     the next. Detections without a partner never enter them. A seed's box folds over what it took, in one row of these boxes.
     """
-    prepare(dets.sparkSession)
     rank = F.struct((-F.col("score")).alias("s"), F.col("det_seq").alias("d"))
     mine = dets.select("frame", rank.alias("rank"), *_D)
     other = dets.select(F.col("frame").alias("gframe"), rank.alias("grank"), *[F.col(c).alias(n) for c, n in zip(_D, _G, strict=True)])
@@ -144,8 +181,7 @@ def merge_seams(dets: DataFrame, threshold: float = 0.5, most: int = spatial.HOT
     kept = kept.join(lists, (F.col("frame") == F.col("_f")) & (F.col("_rank") == F.col("seed")), "left")
 
     def widen(box: Column, d: Column) -> Column:
-        ends = [F.least(box[c], d[c]) for c in _D[:2]] + [F.greatest(box[c], d[c]) for c in _D[2:]]
-        wide = F.struct(*[e.alias(c) for e, c in zip(ends, _D, strict=True)])
+        wide = F.struct(*[e.alias(c) for e, c in zip(_widened(box, d), _D, strict=True)])
         return F.when(over_smaller(*[box[c] for c in _D], *[d[c] for c in _D]) > threshold, wide).otherwise(box)
 
     start = F.struct(*[F.col(c).cast("double").alias(c) for c in _D])

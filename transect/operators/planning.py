@@ -168,9 +168,9 @@ def _predicted(chosen: DataFrame, detect: Callable[[DataFrame], DataFrame], conf
     if seams is None:
         return moved
     prepare(moved.sparkSession)
-    moved, same = moved.checkpoint(), F.col("frame") == F.col("_of")
-    sliced = chosen.filter("slice IS NOT NULL").select(F.col("frame").alias("_of"))
-    return moved.join(sliced, same, "left_anti").unionByName(fusion.merge_seams(moved.join(sliced, same, "left_semi"), seams))
+    sliced = chosen.filter("slice IS NOT NULL").select(F.col("frame").alias("_of")).distinct().hint("merge")  # there may be millions of frames
+    told = moved.join(sliced, F.col("frame") == F.col("_of"), "left").checkpoint()
+    return told.filter("_of IS NULL").drop("_of").unionByName(fusion.merge_seams(told.filter("_of IS NOT NULL").drop("_of"), seams))
 
 
 def ensemble_predict(frames: DataFrame, models: Sequence[dict], fuse: str = "wbf", weights: Sequence[float] | None = None, threshold: float | None = None, least: float = 0.0, overlap: float = 0.2, seams: float | None = 0.5, **decision: Column) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]]]:

@@ -9,7 +9,9 @@ never meet. Boxes without extent overlap nothing; null coordinates meet nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from transect.functions import geometry as g
@@ -38,6 +40,26 @@ def divided(rows: DataFrame, hot: DataFrame, by: str = "frame") -> tuple[DataFra
     return rows.join(hot, same, "left_anti"), rows.join(hot, same, "left_semi")
 
 
+def in_rows(rows: DataFrame, *by: str, alone: bool = True) -> GroupedData:
+    """rows by frame (or ``by``), to fold each group in one row; with ``alone``, rows without a frame stay so.
+
+    As many partitions as Spark is told to have: it would join small ones, but folds cost far more than their bytes say.
+    """
+    by = list(by or ["frame"])
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return numbered_alone(dealt).groupBy(*by, "_alone") if alone else dealt.groupBy(*by)
+
+
+def numbered_alone(rows: DataFrame) -> DataFrame:
+    """rows with ``_alone``: a number for each that has no frame."""
+    return rows.withColumn("_alone", F.when(F.col("frame").isNull(), F.monotonically_increasing_id()))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often body has it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _class(x1: str, y1: str, x2: str, y2: str) -> Column:
     longer = F.greatest(F.col(x2) - F.col(x1), F.col(y2) - F.col(y1))
     return F.when(longer > 0, F.least(F.greatest(F.ceil(F.log2(longer)), F.lit(-30)), F.lit(40)).cast("int"))
