@@ -76,3 +76,14 @@ def test_tiles_are_not_broadcast(spark, way):
     }
     run[way]()
     assert plans and all("Broadcast" not in p and "SortMergeJoin" in p for p in plans)
+
+
+def test_members_of_an_ensemble_are_not_fused(spark, smallest):
+    """What the models decide and find takes no job before its own: nothing of it is fused."""
+    from transect.plans import evaluation
+
+    spark.sparkContext.setJobGroup("members", "")
+    evaluation.q79_ensemble_models(spark, smallest)
+    jobs = [spark.sparkContext.statusTracker().getJobInfo(j) for j in spark.sparkContext.statusTracker().getJobIdsForGroup("members")]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 3  # schemas of three tables

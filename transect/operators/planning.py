@@ -173,9 +173,8 @@ def _predicted(chosen: DataFrame, detect: Callable[[DataFrame], DataFrame], conf
     return told.filter("_of IS NULL").drop("_of").unionByName(fusion.merge_seams(told.filter("_of IS NOT NULL").drop("_of"), seams))
 
 
-def ensemble_predict(frames: DataFrame, models: Sequence[dict], fuse: str = "wbf", weights: Sequence[float] | None = None, threshold: float | None = None, least: float = 0.0, overlap: float = 0.2, seams: float | None = 0.5, **decision: Column) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]]]:
-    """Fused detections of several models, each with tiles of its own scale; and by label of the model its decisions (frames with
-    mode and slice) and detections.
+def ensemble_members(frames: DataFrame, models: Sequence[dict], overlap: float = 0.2, seams: float | None = 0.5, **decision: Column) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """By label of a model its decisions (frames with mode and slice) and detections, each with tiles of its own scale.
 
     A model is a dict of ``detect`` (as in ``adaptive_prediction``), ``label`` (its number by default) and of what is its own: conf, and
     target_px, target_len_m and min_slice of its decision.
@@ -187,6 +186,13 @@ def ensemble_predict(frames: DataFrame, models: Sequence[dict], fuse: str = "wbf
         found[str(model.get("label", k))] = chosen, _predicted(chosen, model["detect"], model.get("conf", 0.3), overlap, seams)
     if len(found) < len(models):
         raise ValueError("labels of models differ")
+    return found
+
+
+def ensemble_predict(frames: DataFrame, models: Sequence[dict], fuse: str = "wbf", weights: Sequence[float] | None = None, threshold: float | None = None, least: float = 0.0, overlap: float = 0.2, seams: float | None = 0.5, **decision: Column) -> tuple[DataFrame, dict[str, tuple[DataFrame, DataFrame]]]:
+    """Fused detections of several models, and what ``ensemble_members`` gives. Fusion counts boxes of frames, so it runs all detectors once before
+    its own job: who needs no fusion takes the members alone."""
+    found = ensemble_members(frames, models, overlap, seams, **decision)
     return fusion.fuse_detections([dets for _, dets in found.values()], fuse, weights, threshold, least), found
 
 

@@ -83,7 +83,7 @@ def q79_ensemble_models(spark: SparkSession, d: str) -> DataFrame:
     """What each model of an ensemble decides for a frame, and how many detections its tiles give."""
     detect = _cutting_detector(_spread_objects(spark, d))
     models = [{"label": "fine", "detect": detect, "conf": 0.3, "target_px": 45.0}, {"label": "coarse", "detect": detect, "conf": 0.1, "target_px": 60.0}]
-    _, found = planning.ensemble_predict(_planned_frames(spark, d), models, seams=None, given_gsd=F.col("gsd"))
+    found = planning.ensemble_members(_planned_frames(spark, d), models, seams=None, given_gsd=F.col("gsd"))
     out = None
     for label, (chosen, dets) in found.items():
         counts = dets.groupBy(F.col("frame").alias("of")).agg(F.count("*").alias("n"))
