@@ -298,3 +298,33 @@ def test_average_precision(spark, survey):
             points.append((new, tp / n))
         assert got[level] == pytest.approx(sum(new * max(p for _, p in points[k:]) for k, (new, _) in enumerate(points)) / len(truth))
     assert {r.average_precision for r in matching.average_precision(d.limit(0), t).collect()} == {0.0} == {r.average_precision for r in matching.average_precision(d, t.limit(0)).collect()}
+
+
+def test_a_match_runs_once_and_deals_nothing_out_again(spark):
+    """Detections and boxes are dealt out by frame, and nothing after that: neither what a detection takes, nor a frame's best for the counts."""
+    rows = spark.range(4000).select((F.col("id") % 400).alias("frame"), (F.col("id") / 400).cast("long").alias("n"), *[(F.col("id") % 7 + k).cast("double").alias(c) for k, c in ((0, "x1"), (0, "y1"), (9, "x2"), (9, "y2"))], (F.col("id") % 97 / 97).alias("score"))
+    d, t = rows.withColumnRenamed("n", "det_seq"), rows.withColumnRenamed("n", "gt_idx").drop("score")
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        match = planned(matching.greedy_match(d, t).select("frame", "det_seq", "score", "gt_idx"))
+        counts = planned(matching.counts_at(matching.greedy_match(d, t), spark.createDataFrame([(0.5,)], "conf double")))
+    finally:
+        spark.conf.set(key, before)
+    assert match.count("Exchange hashpartitioning(") == 2
+    assert counts.count("aggregate(") == 1
+
+
+def test_a_match_of_columns_of_other_kinds_and_rows_without_a_frame(spark):
+    boxes = [(1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 5.0, 0.0, 15.0, 10.0), (None, 0, 0.0, 0.0, 10.0, 10.0)]
+    t = spark.createDataFrame(boxes, "frame int, gt_idx int, x1 double, y1 double, x2 double, y2 double")
+    rows = [(1, 0, 1.0, 0.0, 11.0, 10.0, 0.5, {"k": 0}), (1, 1, 0.0, 0.0, 10.0, 10.0, 0.9, {"k": 1}), (1, 2, 90.0, 0.0, 95.0, 9.0, 0.9, {"k": 2}), (None, 0, 0.0, 0.0, 10.0, 10.0, 0.5, {"k": 3}), (None, 0, 0.0, 0.0, 10.0, 10.0, 0.5, {"k": 4})]
+    d = spark.createDataFrame(rows, "frame int, det_seq int, x1 double, y1 double, x2 double, y2 double, score double, more map<string, int>")
+    want = [(0, 1), (1, 0), (2, None), (3, None), (4, None)]
+    assert sorted((r.more["k"], r.gt_idx) for r in matching.greedy_match(d, t).collect()) == want
+    bare = d.drop("more")
+    found = matching.greedy_match(bare, t)
+    assert found.columns == [*bare.columns, "gt_idx"]
+    assert sorted((r.frame or 0, r.det_seq, -1 if r.gt_idx is None else r.gt_idx) for r in found.collect()) == [(0, 0, -1), (0, 0, -1), (1, 0, 1), (1, 1, 0), (1, 2, -1)]

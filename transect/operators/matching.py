@@ -5,8 +5,8 @@ highest IoU, at the threshold or above, of equal ones the last; with centres, th
 What a detection gets depends on higher scores alone, so one match without a threshold serves all thresholds: counts at a
 threshold are those of the detections that reach it.
 
-A frame's detections fold in one row, JVM-side, after a join on the frame with the overlap as a residual: detections that
-overlap nothing never enter the fold. Frames with more than ``spatial.HOT_BOXES`` boxes aren't folded: their pairs come from a join by
+A frame's detections fold in one row, JVM-side, after an outer join on the frame with the overlap as a residual, all in the partition that
+the frame is dealt to. Frames with more than ``spatial.HOT_BOXES`` boxes aren't folded: their pairs come from a join by
 cells, and are matched by deferred acceptance, in rounds of joins and minima over all of them (``by_rounds``), with the same result.
 """
 
@@ -79,28 +79,40 @@ def greedy_match(dets: DataFrame, truth: DataFrame, mode: str = "iou", threshold
     hot = spatial.hot_frames(dets, truth, most=most)
     few, many = (dets, None) if hot is None else spatial.divided(dets, hot)
     of_few, of_many = (truth, None) if hot is None else spatial.divided(truth, hot)
-    b = _truth(of_few)
-    met = few.join(b, (F.col("frame") == F.col("gframe")) & (g.overlaps(*_D, *_G) if mode == "iou" else g.centre_inside(*_D, *_G)))
-    taken = _folded(_iou_pairs(met, threshold) if mode == "iou" else met.select("frame", "det_seq", "score", "gt_idx", F.lit(1.0).alias("iou")), mode, dets, truth)
-    if hot is not None:
-        found = _iou_pairs(spatial.overlapping(many, _truth(of_many)), threshold) if mode == "iou" else spatial.centred_in(many, _truth(of_many)).withColumn("iou", F.lit(1.0))
-        taken = taken.unionByName(by_rounds(found, mode))
-    return dets.join(taken, (F.col("frame") == F.col("m_frame")) & (F.col("det_seq") == F.col("m_seq")), "left").drop("m_frame", "m_seq")
+    whole, back = ["frame", "det_seq", *_D, "score"], lambda taken: (F.col("frame") == F.col("m_frame")) & (F.col("det_seq") == F.col("m_seq"))
+    near = g.overlaps(*_D, *_G) & (g.iou(*_D, *_G) >= threshold) if mode == "iou" else g.centre_inside(*_D, *_G)
+    # detections that meet nothing stay in the join and in the fold, so that none is dealt out again to be put beside what it takes
+    met = few.select(*whole).join(_truth(of_few), (F.col("frame") == F.col("gframe")) & near, "left")
+    found = met.withColumn("iou", g.iou(*_D, *_G) if mode == "iou" else F.lit(1.0))
+    matched = _folded(found, mode, dets, truth)
+    if set(dets.columns) - set(whole):  # columns of other kinds needn't be sorted with the detections
+        taken = matched.filter("gt_idx IS NOT NULL").select(F.col("frame").alias("m_frame"), F.col("det_seq").alias("m_seq"), "gt_idx")
+        matched = few.join(taken, back(taken), "left")
+    matched = matched.select(*dets.columns, "gt_idx")
+    if hot is None:
+        return matched
+    found = _iou_pairs(spatial.overlapping(many, _truth(of_many)), threshold) if mode == "iou" else spatial.centred_in(many, _truth(of_many)).withColumn("iou", F.lit(1.0))
+    taken = by_rounds(found, mode)
+    return matched.unionByName(many.join(taken, back(taken), "left").select(*dets.columns, "gt_idx"))
 
 
 def _folded(found: DataFrame, mode: str, dets: DataFrame, truth: DataFrame) -> DataFrame:
-    """As by_rounds, by a fold over a frame's detections in one row."""
-    listed = found.groupBy("frame", "det_seq", "score").agg(F.array_sort(F.collect_list(_choices(mode))).alias("c"))
-    listed = listed.select("frame", "det_seq", "score", F.transform("c", lambda x: x.g).alias("choices"))
-    lists = listed.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "det_seq", "choices"))).alias("ds"))
+    """(frame, det_seq, score, gt_idx) and the box where found has it: what each detection takes of its pairs, as by_rounds, or null. A detection
+    that meets nothing has one row without gt_idx. By a fold over a frame's pairs in one row, in order of their detections and choices."""
+    kind, own = {**dict(dets.dtypes), "gt_idx": dict(truth.dtypes)["gt_idx"]}, [c for c in _D if c in found.columns]
+    pair = F.struct((-F.col("score")).alias("s"), "det_seq", _choices(mode).alias("choice"), "gt_idx", "score", *own)
+    listed = spatial.numbered_alone(found).groupBy("frame", "_alone").agg(F.array_sort(F.collect_list(pair)).alias("ps"))
 
-    def step(acc: Column, d: Column) -> Column:
-        free = F.get(F.filter(d.choices, lambda c: ~F.array_contains(acc.used, c)), F.lit(0))
-        return F.struct(F.when(free.isNull(), acc.used).otherwise(F.array_append(acc.used, free)).alias("used"), F.array_append(acc.out, F.struct(d.det_seq.alias("m_seq"), free.alias("gt_idx"))).alias("out"))
+    def step(acc: Column, p: Column) -> Column:
+        takes = p.gt_idx.isNotNull() & ~F.array_contains(acc.used, p.gt_idx) & ~F.array_contains(acc.of, p.det_seq)
+        return F.when(takes, F.struct(F.array_append(acc.used, p.gt_idx).alias("used"), F.array_append(acc.of, p.det_seq).alias("of"))).otherwise(acc)
 
-    kind = dict(truth.dtypes)["gt_idx"], dict(dets.dtypes)["det_seq"]
-    start = F.struct(F.expr(f"cast(array() as array<{kind[0]}>)").alias("used"), F.expr(f"cast(array() as array<struct<m_seq:{kind[1]},gt_idx:{kind[0]}>>)").alias("out"))
-    return lists.select(F.col("frame").alias("m_frame"), F.explode(F.aggregate("ds", start, step, lambda acc: acc.out)).alias("m")).select("m_frame", "m.m_seq", "m.gt_idx").filter("gt_idx IS NOT NULL")
+    start = F.struct(F.expr(f"cast(array() AS array<{kind['gt_idx']}>)").alias("used"), F.expr(f"cast(array() AS array<{kind['det_seq']}>)").alias("of"))
+    told = listed.select("frame", "ps", F.aggregate("ps", start, step).alias("t"))
+    last = lambda p, k: F.coalesce(p.det_seq != F.get(F.col("ps"), k + 1).det_seq, F.lit(True))
+    each = told.select("frame", "t", F.explode(F.filter("ps", last)).alias("p"))
+    taken = F.get(F.col("t.used"), (F.array_position(F.col("t.of"), F.col("p.det_seq")) - 1).cast("int"))
+    return each.select("frame", "p.det_seq", *[f"p.{c}" for c in own], "p.score", taken.alias("gt_idx"))
 
 
 def greedy_match_grouped(dets: DataFrame, truth: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -130,18 +142,26 @@ def greedy_match_grouped(dets: DataFrame, truth: DataFrame, threshold: float = 0
     return dets.groupBy("frame").cogroup(truth.groupBy("frame")).applyInPandas(lambda k, a, b: match(k, a, b)[columns], f"{types}, gt_idx long")
 
 
+def by_score(matched: DataFrame) -> DataFrame:
+    """(score, tp, fp, frames_hit) of matched detections (frame, score, gt_idx): a frame is hit at the best score that takes something there."""
+    hit = F.col("gt_idx").isNotNull()
+    best = F.row_number().over(Window.partitionBy("frame").orderBy(hit.desc(), F.col("score").desc()))  # a frame's detections
+    told = matched.select("score", hit.alias("_hit"), (hit & (best == 1)).alias("_best"))
+    return told.groupBy("score").agg(F.count_if("_hit").alias("tp"), F.count_if(~F.col("_hit")).alias("fp"), F.count_if("_best").alias("frames_hit"))
+
+
 def counts_at(matched: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """thresholds (conf) with tp, fp and frames_hit: of detections with score >= conf.
+    """thresholds (conf) with tp, fp and frames_hit: of detections (frame, score, gt_idx) with score >= conf."""
+    return _counts_of(by_score(matched), thresholds)
 
-    Detections are summed by score, and a score counts for the largest threshold that it reaches; running sums over the
+
+def _counts_of(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """As counts_at, of detections summed by score: a score counts for the largest threshold that it reaches; running sums over the
     thresholds, a few hundred rows, do the rest.
     """
     listed = thresholds.agg(F.array_sort(F.collect_set("conf")).alias("ts"))
     reached = F.array_max(F.filter("ts", lambda t: t <= F.col("score")))
-    by_score = matched.groupBy("score").agg(F.count_if(F.col("gt_idx").isNotNull()).alias("tp"), F.count_if(F.col("gt_idx").isNull()).alias("fp"))
-    best = matched.filter("gt_idx IS NOT NULL").groupBy("frame").agg(F.max("score").alias("score")).groupBy("score").agg(F.count("*").alias("frames_hit"))
-    both = by_score.withColumn("frames_hit", F.lit(0).cast("long")).unionByName(best.withColumn("tp", F.lit(0).cast("long")).withColumn("fp", F.lit(0).cast("long")))
-    per = both.crossJoin(F.broadcast(listed)).withColumn("conf", reached).filter("conf IS NOT NULL").groupBy("conf").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "frames_hit")])
+    per = scores.crossJoin(F.broadcast(listed)).withColumn("conf", reached).filter("conf IS NOT NULL").groupBy("conf").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "frames_hit")])
     down = Window.orderBy(F.col("conf").desc()).rowsBetween(Window.unboundedPreceding, 0)
     joined = thresholds.select("conf").distinct().join(per, "conf", "left").fillna(0)
     return joined.select("conf", *[F.sum(c).over(down).alias(c) for c in ("tp", "fp", "frames_hit")])
@@ -177,10 +197,10 @@ def froc_thresholds(dets: DataFrame, at_most: int = 200) -> DataFrame:
 
 
 def froc(dets: DataFrame, truth: DataFrame, frames: DataFrame, mode: str = "iou", threshold: float = 0.3, at_most: int = 200) -> DataFrame:
-    """Points of the curve, from one match, which is checkpointed: its scores give the thresholds and the counts."""
+    """Points of the curve, from one match, whose sums by score are checkpointed: they give the thresholds and the counts."""
     prepare(dets.sparkSession)
-    matched = greedy_match(dets, truth, mode, threshold).select("frame", "score", "gt_idx").checkpoint()
-    return operating_points(counts_at(matched, froc_thresholds(matched, at_most)), totals(frames, truth))
+    scores = by_score(greedy_match(dets, truth, mode, threshold)).checkpoint()
+    return operating_points(_counts_of(scores, froc_thresholds(scores, at_most)), totals(frames, truth))
 
 
 def recall_at(points: DataFrame, targets: Sequence[float] = (0.1, 0.5, 1.0, 2.0)) -> DataFrame:
@@ -204,13 +224,13 @@ def average_precision(dets: DataFrame, truth: DataFrame, levels: Sequence[float]
     level = F.explode(F.filter(F.array(*[F.lit(float(v)) for v in levels]), lambda v: v <= F.col("iou")))
     each = found.withColumn("level", level).withColumn("frame", F.struct("frame", "level")).drop("level")
     hot = spatial.hot_frames(each, most=most * 10)
-    if hot is None:
-        taken = _folded(each, "iou", dets, truth)
-    else:
-        few, many = spatial.divided(each, hot)
-        taken = _folded(few, "iou", dets, truth).unionByName(by_rounds(many, "iou"))
-    scores = each.select("frame", "det_seq", "score").distinct()
-    hits = taken.join(scores, (F.col("m_frame") == F.col("frame")) & (F.col("m_seq") == F.col("det_seq"))).groupBy(F.col("frame.level").alias("level"), "score").agg(F.count("*").alias("tp"))
+    few, many = (each, None) if hot is None else spatial.divided(each, hot)
+    hits = _folded(few, "iou", dets, truth).filter("gt_idx IS NOT NULL").select(F.col("frame.level").alias("level"), "score")
+    if hot is not None:
+        scores = many.select("frame", "det_seq", "score").distinct()
+        held = by_rounds(many, "iou").join(scores, (F.col("m_frame") == F.col("frame")) & (F.col("m_seq") == F.col("det_seq")))
+        hits = hits.unionByName(held.select(F.col("frame.level").alias("level"), "score"))
+    hits = hits.groupBy("level", "score").agg(F.count("*").alias("tp"))
     every = F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level")
     points = dets.groupBy("score").agg(F.count("*").alias("n")).select("score", "n", every).join(hits, ["level", "score"], "left").fillna(0, ["tp"])
     order = [F.col("level"), F.col("score").desc()]
