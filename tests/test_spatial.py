@@ -191,3 +191,10 @@ def test_seams_of_small_frames_take_no_rounds(spark):
     assert jobs < 6
     assert pick(merged) == pick(fusion.merge_seams(dets, 0.3, most=0))
     assert len(pick(merged)) == 6 + 3
+
+
+def test_fusion_goes_in_as_many_tasks_as_told(spark, smallest):
+    """Small partitions aren't joined before the fold, which costs far more than their bytes say."""
+    from transect.plans import queries
+
+    assert queries.q26_wbf(spark, smallest).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -46,27 +46,30 @@ def weighted_fusion(dets: DataFrame, weights: Sequence[float], threshold: float
     entry = F.struct((-(F.col("score") * trust)).alias("order"), "model", "det_seq", (F.col("score") * trust).alias("t"), *_D)
     hot = spatial.hot_frames(dets, most=most)
     if hot is None:
-        listed = dets.groupBy("frame").agg(F.array_sort(F.collect_list(entry)).alias("ds"))
+        listed = spatial.in_rows(dets, alone=False).agg(F.array_sort(F.collect_list(entry)).alias("ds"))
     else:
         few, many = spatial.divided(dets, hot)
         rows = few.withColumn("part", F.lit(None).cast("long")).unionByName(spatial.separate(many))
-        listed = rows.groupBy("frame", "part").agg(F.array_sort(F.collect_list(entry)).alias("ds"))
+        listed = spatial.in_rows(rows, "frame", "part", alone=False).agg(F.array_sort(F.collect_list(entry)).alias("ds"))
 
     def cluster(values: Sequence[Column]) -> Column:
         return F.struct(*[v.cast("double").alias(n) for n, v in zip(_NUMBERS, values, strict=True)])
 
     def step(clusters: Column, d: Column) -> Column:
         box = [d[c] for c in _D]
-        shares = F.transform(clusters, lambda c: g.iou(*box, *[c[n] for n in _D]))
-        best = F.array_max(shares)
 
         def joined(c: Column) -> Column:
             sums = [c[f"s{n}"] + v * d.t for n, v in zip(_D, box, strict=True)]
             weight = c.w + d.t
             return cluster([*[F.when(weight != 0, v / weight).otherwise(c[n]) for n, v in zip(_D, sums, strict=True)], weight, *sums])
 
-        moved = F.transform(clusters, lambda c, k: F.when(k + 1 == F.array_position(shares, best), joined(c)).otherwise(c))
-        return F.when(best > threshold, moved).otherwise(F.array_append(clusters, cluster([*box, d.t, *[v * d.t for v in box]])))
+        def moved(at: Column) -> Column:
+            there = F.transform(clusters, lambda c, k: F.when(k + 1 == at, joined(c)).otherwise(c))
+            return F.when(at > 0, there).otherwise(F.array_append(clusters, cluster([*box, d.t, *[v * d.t for v in box]])))
+
+        # shares and the place of the best are computed once for a detection, not once for each cluster
+        place = lambda shares: F.when(F.array_max(shares) > threshold, F.array_position(shares, F.array_max(shares))).otherwise(0)
+        return spatial.let(spatial.let(F.transform(clusters, lambda c: g.iou(*box, *[c[n] for n in _D])), place), moved)
 
     start = F.expr(f"cast(array() AS array<struct<{', '.join(f'{n}: double' for n in _NUMBERS)}>>)")
     scored = F.transform(F.col("_cs"), lambda c, k: F.struct((-F.least(F.lit(1.0), c.w / whole)).alias("order"), k.alias("k"), *[c[n].alias(n) for n in _D]))

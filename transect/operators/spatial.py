@@ -40,14 +40,16 @@ def divided(rows: DataFrame, hot: DataFrame, by: str = "frame") -> tuple[DataFra
     return rows.join(hot, same, "left_anti"), rows.join(hot, same, "left_semi")
 
 
-def in_rows(rows: DataFrame, *by: str, alone: bool = True) -> GroupedData:
-    """rows by frame (or ``by``), to fold each group in one row; with ``alone``, rows without a frame stay so.
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt out by frame (or ``by``) to as many partitions as Spark is told to have: it would join small ones, but folds cost far
+    more than their bytes say. It leaves rows that it has dealt out so already, joined partitions too, so those need it before they are numbered."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(by or ["frame"]))
 
-    As many partitions as Spark is told to have: it would join small ones, but folds cost far more than their bytes say.
-    """
+
+def in_rows(rows: DataFrame, *by: str, alone: bool = True) -> GroupedData:
+    """rows by frame (or ``by``), to fold each group in one row; with ``alone``, rows without a frame stay so."""
     by = list(by or ["frame"])
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
-    return numbered_alone(dealt).groupBy(*by, "_alone") if alone else dealt.groupBy(*by)
+    return numbered_alone(dealt(rows, *by)).groupBy(*by, "_alone") if alone else dealt(rows, *by).groupBy(*by)
 
 
 def numbered_alone(rows: DataFrame) -> DataFrame:

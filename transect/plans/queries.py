@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from transect.functions import flight, naming
 from transect.functions import geometry as g
-from transect.operators import annotation, curation, fusion, matching, negatives, planning, splits
+from transect.operators import annotation, curation, fusion, matching, negatives, planning, spatial, splits
 from transect.operators.ordering import hash_rank, seeded
 from transect.plans import fixtures as fx
 from transect.session import table
@@ -342,7 +342,7 @@ a AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY {', '.join(fx
 
 def _two_models(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = fx._by_customer(spark, d).filter("l_linestatus = 'F'")
-    return fx._numbered(rows.filter("l_returnflag = 'A'"), "det_seq"), fx._numbered(rows.filter("l_returnflag = 'R'"), "det_seq")
+    return tuple(fx._numbered(spatial.dealt(rows.filter(F.col("l_returnflag") == flag)), "det_seq") for flag in ("A", "R"))
 
 
 @query(_TWO_SQL + """ SELECT frame, det_seq, score FROM a WHERE EXISTS (SELECT 1 FROM c WHERE c.frame = a.frame
