@@ -5,7 +5,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from transect.operators import curation, fusion, matching, negatives, planning, splits
+from transect.operators import curation, fusion, matching, negatives, planning, spatial, splits
 from transect.operators.ordering import hash_rank, running_total, seeded
 
 
@@ -328,3 +328,36 @@ def test_a_match_of_columns_of_other_kinds_and_rows_without_a_frame(spark):
     found = matching.greedy_match(bare, t)
     assert found.columns == [*bare.columns, "gt_idx"]
     assert sorted((r.frame or 0, r.det_seq, -1 if r.gt_idx is None else r.gt_idx) for r in found.collect()) == [(0, 0, -1), (0, 0, -1), (1, 0, 1), (1, 1, 0), (1, 2, -1)]
+
+
+def test_a_curve_counts_the_truth_once(spark, survey, tmp_path):
+    """The totals of a curve come from the count that finds hot frames; the truth isn't read again for them."""
+    d, t, frames, _, truth = survey
+    t.write.parquet(str(tmp_path / "truth_of_a_curve"))
+    points = matching.froc(d, spark.read.parquet(str(tmp_path / "truth_of_a_curve")), frames)
+    assert not [f for f in points.inputFiles() if "truth_of_a_curve" in f]
+    assert {r.tp + r.fn for r in points.collect()} == {len(truth)}
+    with pytest.raises(ValueError, match="unknown matching mode"):
+        matching.froc(d, t, frames, "other")
+
+
+def test_a_census_is_hot_frames_and_totals(spark, survey):
+    d, t, frames, dets, truth = survey
+    bare = spark.createDataFrame([(None, k, 0.0, 0.0, 9.0, 9.0) for k in range(20)], t.schema)
+    for most in (0, 4, 7, 100):
+        for a, b in ((d, t), (d, t.unionByName(bare)), (d, t.limit(0)), (d.limit(0), t), (d.limit(0), t.limit(0))):
+            hot, told = matching.census(a, b, most)
+            want = spatial.hot_frames(a, b, most=most)
+            listed = lambda x: set() if x is None else {r.hot for r in x.collect()} - {None}
+            assert listed(hot) == listed(want)
+            assert (hot is None) == (not listed(hot))
+            assert told.collect() == matching.totals(frames, b).select("total_gt", "n_pos_frames").collect()
+
+
+def test_a_curve_of_hot_frames(spark, survey, monkeypatch):
+    d, t, frames, _, _ = survey
+    want = sorted(matching.froc(d, t, frames).collect())
+    found, census = [], matching.census
+    monkeypatch.setattr(matching, "census", lambda a, b: found.append(census(a, b, 4)) or found[-1])
+    assert sorted(matching.froc(d, t, frames).collect()) == want
+    assert found[0][0] is not None

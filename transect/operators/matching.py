@@ -71,12 +71,20 @@ def by_rounds(found: DataFrame, mode: str) -> DataFrame:
             return asks.select(F.col("frame").alias("m_frame"), F.col("det_seq").alias("m_seq"), "gt_idx")
 
 
+def _known(mode: str) -> None:
+    if mode not in ("iou", "centre"):
+        raise ValueError(f"unknown matching mode: {mode}")
+
+
 def greedy_match(dets: DataFrame, truth: DataFrame, mode: str = "iou", threshold: float = 0.3, most: int = spatial.HOT_BOXES) -> DataFrame:
     """dets (frame, det_seq, box, score) with ``gt_idx``: what each one takes, or null for a false positive. Frames with more
     than ``most`` boxes go by cells and rounds, others fold in a row each."""
-    if mode not in ("iou", "centre"):
-        raise ValueError(f"unknown matching mode: {mode}")
-    hot = spatial.hot_frames(dets, truth, most=most)
+    _known(mode)
+    return _matched(dets, truth, spatial.hot_frames(dets, truth, most=most), mode, threshold)
+
+
+def _matched(dets: DataFrame, truth: DataFrame, hot: DataFrame | None, mode: str, threshold: float) -> DataFrame:
+    """As greedy_match, where the frames that don't fold are known."""
     few, many = (dets, None) if hot is None else spatial.divided(dets, hot)
     of_few, of_many = (truth, None) if hot is None else spatial.divided(truth, hot)
     whole, back = ["frame", "det_seq", *_D, "score"], lambda taken: (F.col("frame") == F.col("m_frame")) & (F.col("det_seq") == F.col("m_seq"))
@@ -169,8 +177,24 @@ def _counts_of(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def totals(frames: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: n_img (frames without boxes too), total_gt, n_pos_frames."""
-    t = truth.agg(F.count("*").alias("total_gt"), F.count_distinct("frame").alias("n_pos_frames"))
-    return frames.agg(F.count("*").alias("n_img")).crossJoin(t)
+    return _with_images(frames, truth.agg(F.count("*").alias("total_gt"), F.count_distinct("frame").alias("n_pos_frames")))
+
+
+def _with_images(frames: DataFrame, told: DataFrame) -> DataFrame:
+    return frames.agg(F.count("*").alias("n_img")).crossJoin(told)
+
+
+def census(dets: DataFrame, truth: DataFrame, most: int = spatial.HOT_BOXES) -> tuple[DataFrame | None, DataFrame]:
+    """spatial.hot_frames of both, and one row (total_gt, n_pos_frames) of truth, from one count by frame. A row for each hot frame and one for
+    all others are checkpointed, so that neither is counted again."""
+    prepare(dets.sparkSession)
+    rows = dets.select("frame", F.lit(False).alias("_of_truth")).unionByName(truth.select("frame", F.lit(True).alias("_of_truth")))
+    per = rows.groupBy("frame").agg(F.count_if(~F.col("_of_truth")).alias("_d"), F.count_if("_of_truth").alias("_t"))
+    hot = F.col("frame").isNotNull() & (F.greatest("_d", "_t") > most)
+    sums = [F.sum("_t").alias("total_gt"), F.count_if(F.col("frame").isNotNull() & (F.col("_t") > 0)).alias("n_pos_frames")]
+    found = per.groupBy(F.when(hot, F.col("frame")).alias("hot")).agg(*sums).checkpoint()
+    told = found.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("total_gt", "n_pos_frames")])
+    return spatial.listed(found.select("hot").filter("hot IS NOT NULL")), told
 
 
 def operating_points(counts: DataFrame, total: DataFrame) -> DataFrame:
@@ -197,10 +221,12 @@ def froc_thresholds(dets: DataFrame, at_most: int = 200) -> DataFrame:
 
 
 def froc(dets: DataFrame, truth: DataFrame, frames: DataFrame, mode: str = "iou", threshold: float = 0.3, at_most: int = 200) -> DataFrame:
-    """Points of the curve, from one match, whose sums by score are checkpointed: they give the thresholds and the counts."""
-    prepare(dets.sparkSession)
-    scores = by_score(greedy_match(dets, truth, mode, threshold)).checkpoint()
-    return operating_points(_counts_of(scores, froc_thresholds(scores, at_most)), totals(frames, truth))
+    """Points of the curve, from one match, whose sums by score are checkpointed: they give the thresholds and the counts. One count by frame
+    before it gives what is hot and the totals."""
+    _known(mode)
+    hot, told = census(dets, truth)
+    scores = by_score(_matched(dets, truth, hot, mode, threshold)).checkpoint()
+    return operating_points(_counts_of(scores, froc_thresholds(scores, at_most)), _with_images(frames, told))
 
 
 def recall_at(points: DataFrame, targets: Sequence[float] = (0.1, 0.5, 1.0, 2.0)) -> DataFrame:

@@ -29,9 +29,13 @@ def hot_frames(*sides: DataFrame, most: int = HOT_BOXES, by: str = "frame") -> D
     for side in sides:
         own = side.groupBy(F.col(by).alias("hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("hot")
         found = own if found is None else found.unionByName(own)
-    found = found.distinct().checkpoint()
-    n = found.count()
-    return None if not n else F.broadcast(found) if n <= MAX_BROADCAST_FRAMES else found
+    return listed(found.distinct().checkpoint())
+
+
+def listed(hot: DataFrame) -> DataFrame | None:
+    """hot, to be broadcast if it is small; None if it is empty."""
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= MAX_BROADCAST_FRAMES else hot
 
 
 def divided(rows: DataFrame, hot: DataFrame, by: str = "frame") -> tuple[DataFrame, DataFrame]:
